@@ -148,7 +148,8 @@ def validate_telemetry(
         F.struct(*[typed_vitals[n].alias(n) for n in schemas.VITAL_NAMES]).alias("vitals"),
         notes.alias("nursing_notes"),
         F.coalesce(sim_val, F.lit(False)).alias("is_simulated"),
-        F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("rejection_reasons"),
+        # barrier: filters on the reasons must not be inlined into the stages below
+        F.explode(F.array(F.filter(F.array(*reasons), lambda r: r.isNotNull()))).alias("rejection_reasons"),
     )
     return out
 
@@ -172,8 +173,10 @@ def check_typed(telemetry: DataFrame) -> DataFrame:
     for f in REQUIRED_TEXT_FIELDS[1:]:
         reasons.append(_reason(F.col(f).isNull(), MISSING + f))
     reasons.append(_reason(F.length("nursing_notes") > schemas.NURSING_NOTES_MAX_LEN, NOTES_TOO_LONG))
-    return telemetry.withColumn("patient_id", F.upper(pid)).withColumn(
-        "rejection_reasons", F.filter(F.array(*reasons), lambda r: r.isNotNull())
+    return parse_once(
+        telemetry.withColumn("patient_id", F.upper(pid)),
+        F.filter(F.array(*reasons), lambda r: r.isNotNull()),
+        "rejection_reasons",
     )
 
 
