@@ -96,6 +96,24 @@ def q_alert_json(spark, sf_dir):
     return ru.to_keyed_json(alerts(spark, sf_dir))
 
 
+def q_cooldown_60s(spark, sf_dir):
+    from wardwatch.operators.cooldown import accepted_alerts
+
+    return accepted_alerts(alerts(spark, sf_dir), 60).select("alert_id", "patient_id", "timestamp_utc")
+
+
+def q_cooldown_12h(spark, sf_dir):
+    from wardwatch.operators.cooldown import accepted_alerts
+
+    return accepted_alerts(alerts(spark, sf_dir), 12 * 3600).select("alert_id", "patient_id", "timestamp_utc")
+
+
+def q_cooldown_skipped(spark, sf_dir):
+    from wardwatch.operators.cooldown import apply_cooldown, skipped_per_patient
+
+    return skipped_per_patient(apply_cooldown(alerts(spark, sf_dir), 60))
+
+
 def build() -> dict[str, Query]:
     return {
         "telemetry_valid": q_telemetry_valid,
@@ -108,4 +126,7 @@ def build() -> dict[str, Query]:
         "alert_summary": q_alert_summary,
         "rule_labels": q_rule_labels,
         "alert_json": q_alert_json,
+        "cooldown_60s": q_cooldown_60s,
+        "cooldown_12h": q_cooldown_12h,
+        "cooldown_skipped": q_cooldown_skipped,
     }

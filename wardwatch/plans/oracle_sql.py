@@ -153,8 +153,37 @@ def _w(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def cooldown_cte(seconds: int) -> str:
+    """Greedy cooldown as a recursive walk over 'next alert at least C later' pointers."""
+    return (
+        ALERTS_CTE
+        + f""",
+a AS (SELECT alert_id, patient_id, timestamp_utc, epoch_us(timestamp_utc) AS t,
+             epoch_us(timestamp_utc) + CAST({seconds} AS BIGINT) * 1000000 AS tc FROM alerts),
+nx AS (SELECT a1.alert_id, a2.alert_id AS next_id
+       FROM a a1 ASOF LEFT JOIN a a2 ON a1.patient_id = a2.patient_id AND a1.tc <= a2.t),
+firsts AS (SELECT arg_min(alert_id, t) AS alert_id FROM a GROUP BY patient_id),
+chain AS (
+  SELECT nx.alert_id, nx.next_id FROM firsts JOIN nx USING (alert_id)
+  UNION ALL
+  SELECT nx.alert_id, nx.next_id FROM chain c JOIN nx ON nx.alert_id = c.next_id
+),
+accepted AS (SELECT a.* FROM a JOIN chain USING (alert_id))"""
+    )
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["cooldown_60s"] = "WITH RECURSIVE " + cooldown_cte(60) + "\nSELECT alert_id, patient_id, timestamp_utc FROM accepted"
+    q["cooldown_12h"] = "WITH RECURSIVE " + cooldown_cte(43200) + "\nSELECT alert_id, patient_id, timestamp_utc FROM accepted"
+    q["cooldown_skipped"] = (
+        "WITH RECURSIVE "
+        + cooldown_cte(60)
+        + """
+SELECT a.patient_id, count(*) AS n_alerts, count(acc.alert_id) AS n_accepted,
+       count(*) - count(acc.alert_id) AS n_skipped
+FROM a LEFT JOIN accepted acc USING (alert_id) GROUP BY a.patient_id"""
+    )
     q["telemetry_valid"] = _w(
         f"tel AS ({TEL})",
         f"""SELECT event_id, upper(patient_id) AS patient_id, timestamp_utc, heart_rate_bpm, systolic_bp_mmhg,
