@@ -114,6 +114,105 @@ def q_cooldown_skipped(spark, sf_dir):
     return skipped_per_patient(apply_cooldown(alerts(spark, sf_dir), 60))
 
 
+def triage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.triage_events_from_alerts(alerts(spark, sf_dir))
+
+
+def as_of(spark: SparkSession, sf_dir: str):
+    """Reporting instant: the newest reading (scalar subquery, no driver round trip)."""
+    return tb.table(spark, sf_dir, "events").select(F.max("ts")).scalar()
+
+
+def q_patient_list(spark, sf_dir, hospital_id=None, ward=None):
+    from wardwatch.operators import analytics as an
+    from wardwatch.operators.context import medication_text
+
+    pl = an.patient_list(tb.patients(spark, sf_dir), triage_events(spark, sf_dir), as_of(spark, sf_dir), hospital_id, ward)
+    return pl.select(
+        "patient_id", "full_name", "age_years", "gender", "ward", "bed_number",
+        F.array_join("chronic_conditions", ", ").alias("conditions"),
+        medication_text(F.col("active_medications")).alias("medications"),
+        "recent_alert_count",
+    )
+
+
+def q_patient_list_filtered(spark, sf_dir):
+    return q_patient_list(spark, sf_dir, hospital_id="HOSP-001", ward="BUILDING")
+
+
+def q_patient_history(spark, sf_dir):
+    from wardwatch.operators import analytics as an
+
+    return an.patient_history(triage_events(spark, sf_dir), "pt-000007", 10)
+
+
+def q_recent_feed_page(spark, sf_dir):
+    from wardwatch.operators import analytics as an
+
+    items, _ = an.recent_feed(triage_events(spark, sf_dir), page=2, page_size=20, severity="critical")
+    return items
+
+
+def q_recent_feed_total(spark, sf_dir):
+    from wardwatch.operators import analytics as an
+
+    _, total = an.recent_feed(triage_events(spark, sf_dir), page=2, page_size=20, severity="critical")
+    return total
+
+
+def q_dashboard_stats(spark, sf_dir):
+    from wardwatch.operators import analytics as an
+
+    return an.dashboard_stats(triage_events(spark, sf_dir), as_of(spark, sf_dir))
+
+
+def q_billing_by_hospital_day(spark, sf_dir):
+    from wardwatch.operators import analytics as an
+
+    return an.billing_rollup(triage_events(spark, sf_dir))
+
+
+def q_alert_patient_context(spark, sf_dir):
+    from wardwatch.operators.context import medication_text, with_patient_context
+
+    al = alerts(spark, sf_dir)
+    ctx = with_patient_context(al, tb.patients(spark, sf_dir), tb.triage_events_from_alerts(al))
+    c = F.col("patient_context")
+    return ctx.select(
+        "alert_id", "patient_id", c["full_name"].alias("full_name"), c["age_years"].alias("age_years"),
+        c["gender"].alias("gender"), c["blood_type"].alias("blood_type"), c["weight_kg"].alias("weight_kg"),
+        F.array_join(c["allergies"], ", ").alias("allergies"),
+        F.array_join(c["chronic_conditions"], ", ").alias("conditions"),
+        F.when(c.isNotNull(), medication_text(c["active_medications"])).alias("medications"),
+        c["recent_triage_count"].alias("recent_triage_count"),
+        "context_fetch_error",
+    )
+
+
+def q_context_misses(spark, sf_dir):
+    from wardwatch.operators.context import with_patient_context
+
+    al = alerts(spark, sf_dir)
+    ctx = with_patient_context(al, tb.patients(spark, sf_dir), tb.triage_events_from_alerts(al))
+    return ctx.agg(F.count(F.lit(1)).alias("n_alerts"), F.count("context_fetch_error").alias("n_missing"))
+
+
+def q_trailing_24h_count(spark, sf_dir):
+    from wardwatch.operators.context import trailing_count
+
+    al = alerts(spark, sf_dir).select("alert_id", "patient_id", "timestamp_utc")
+    te = tb.triage_events_from_alerts(alerts(spark, sf_dir))
+    return trailing_count(al, te, "patient_id", "timestamp_utc", "created_at").select("alert_id", "patient_id", "recent_count")
+
+
+def q_patient_age(spark, sf_dir):
+    from wardwatch.operators.context import age_years
+
+    return tb.patients(spark, sf_dir).select(
+        "patient_id", "date_of_birth", age_years(F.col("date_of_birth"), F.to_date(as_of(spark, sf_dir))).alias("age_years")
+    )
+
+
 def build() -> dict[str, Query]:
     return {
         "telemetry_valid": q_telemetry_valid,
@@ -129,4 +228,15 @@ def build() -> dict[str, Query]:
         "cooldown_60s": q_cooldown_60s,
         "cooldown_12h": q_cooldown_12h,
         "cooldown_skipped": q_cooldown_skipped,
+        "patient_list": q_patient_list,
+        "patient_list_filtered": q_patient_list_filtered,
+        "patient_history": q_patient_history,
+        "recent_feed_page": q_recent_feed_page,
+        "recent_feed_total": q_recent_feed_total,
+        "dashboard_stats": q_dashboard_stats,
+        "billing_by_hospital_day": q_billing_by_hospital_day,
+        "alert_patient_context": q_alert_patient_context,
+        "context_misses": q_context_misses,
+        "trailing_24h_count": q_trailing_24h_count,
+        "patient_age": q_patient_age,
     }

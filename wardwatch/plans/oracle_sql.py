@@ -172,8 +172,97 @@ accepted AS (SELECT a.* FROM a JOIN chain USING (alert_id))"""
     )
 
 
+AGE_SQL = (
+    "CAST(year({on}) - year({born}) - CASE WHEN month({on}) * 100 + day({on}) "
+    "< month({born}) * 100 + day({born}) THEN 1 ELSE 0 END AS INT)"
+)
+MEDS_SQL = (
+    "array_to_string(list_transform(coalesce({m}, []), "
+    "lambda x: coalesce(x['name'], '?') || ' ' || coalesce(x['dose'], '')), ', ')"
+)
+REPORT_CTE = TRIAGE_CTE + f""",
+patients AS ({PATIENTS}),
+ref_time AS (SELECT max(ts) AS as_of FROM events)"""
+SUMMARY_COLS = """id, alert_id, patient_id, severity, CAST(NULL AS VARCHAR) AS urgency_level, recommendation_text,
+       CASE WHEN confidence_score <> 0 THEN confidence_score END AS confidence_score, processing_ms, created_at"""
+
+
+def _patient_list(where: str) -> str:
+    return _w(
+        REPORT_CTE,
+        f"""SELECT p.patient_id, p.full_name, {AGE_SQL.format(on='CAST(a.as_of AS DATE)', born='p.date_of_birth')} AS age_years,
+       p.gender, p.ward, p.bed_number,
+       array_to_string(coalesce(p.chronic_conditions, []), ', ') AS conditions,
+       {MEDS_SQL.format(m='p.active_medications')} AS medications,
+       count(t.id) AS recent_alert_count
+FROM patients p CROSS JOIN ref_time a
+LEFT JOIN triage_events t ON t.patient_id = p.patient_id AND t.created_at > a.as_of - INTERVAL 24 HOURS
+WHERE {where}
+GROUP BY ALL""",
+    )
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["patient_list"] = _patient_list("1 = 1")
+    q["patient_list_filtered"] = _patient_list("p.hospital_id = 'HOSP-001' AND p.ward = 'BUILDING'")
+    q["patient_history"] = _w(
+        REPORT_CTE,
+        f"SELECT {SUMMARY_COLS} FROM triage_events WHERE patient_id = upper('pt-000007') "
+        "ORDER BY created_at DESC, id DESC LIMIT 10",
+    )
+    q["recent_feed_page"] = _w(
+        REPORT_CTE,
+        f"SELECT {SUMMARY_COLS} FROM triage_events WHERE severity = upper('critical') "
+        "ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 20",
+    )
+    q["recent_feed_total"] = _w(REPORT_CTE, "SELECT count(*) AS total FROM triage_events WHERE severity = upper('critical')")
+    q["dashboard_stats"] = _w(
+        REPORT_CTE,
+        """SELECT 'last_24_hours' AS period, count(*) AS total_events,
+       count(*) FILTER (WHERE severity = 'CRITICAL') AS critical_count,
+       count(*) FILTER (WHERE severity = 'HIGH') AS high_count,
+       count(*) FILTER (WHERE severity = 'MEDIUM') AS medium_count,
+       coalesce(round(avg(confidence_score), 3), 0) AS avg_confidence,
+       CAST(coalesce(round(avg(processing_ms), 0), 0) AS BIGINT) AS avg_processing_ms,
+       count(DISTINCT patient_id) AS patients_triaged
+FROM triage_events, ref_time WHERE created_at > as_of - INTERVAL 24 HOURS""",
+    )
+    q["billing_by_hospital_day"] = _w(
+        REPORT_CTE,
+        """SELECT hospital_id, CAST(created_at AS DATE) AS day, count(DISTINCT alert_id) AS units,
+       round(CAST(count(DISTINCT alert_id) AS DOUBLE) * 0.05, 2) AS amount
+FROM triage_events GROUP BY hospital_id, CAST(created_at AS DATE)""",
+    )
+    ctx_body = f"""SELECT a.alert_id, a.patient_id, p.full_name,
+       {AGE_SQL.format(on='CAST(a.timestamp_utc AS DATE)', born='p.date_of_birth')} AS age_years,
+       p.gender, p.blood_type, CASE WHEN p.weight_kg <> 0 THEN p.weight_kg END AS weight_kg,
+       CASE WHEN p.patient_id IS NOT NULL THEN array_to_string(coalesce(p.allergies, []), ', ') END AS allergies,
+       CASE WHEN p.patient_id IS NOT NULL THEN array_to_string(coalesce(p.chronic_conditions, []), ', ') END AS conditions,
+       CASE WHEN p.patient_id IS NOT NULL THEN {MEDS_SQL.format(m='p.active_medications')} END AS medications,
+       CASE WHEN p.patient_id IS NOT NULL THEN (SELECT count(*) FROM triage_events t WHERE t.patient_id = a.patient_id
+            AND t.created_at > a.timestamp_utc - INTERVAL 24 HOURS AND t.created_at < a.timestamp_utc) END
+            AS recent_triage_count,
+       CASE WHEN p.patient_id IS NULL THEN 'Patient ' || a.patient_id || ' not found in database' END
+            AS context_fetch_error
+FROM alerts a LEFT JOIN patients p ON p.patient_id = a.patient_id"""
+    q["alert_patient_context"] = _w(REPORT_CTE, ctx_body)
+    q["context_misses"] = _w(
+        REPORT_CTE + f", ctx AS ({ctx_body})",
+        "SELECT count(*) AS n_alerts, count(context_fetch_error) AS n_missing FROM ctx",
+    )
+    q["trailing_24h_count"] = _w(
+        REPORT_CTE,
+        """SELECT a.alert_id, a.patient_id, count(t.id) AS recent_count
+FROM alerts a LEFT JOIN triage_events t ON t.patient_id = a.patient_id
+  AND t.created_at > a.timestamp_utc - INTERVAL 24 HOURS AND t.created_at < a.timestamp_utc
+GROUP BY a.alert_id, a.patient_id""",
+    )
+    q["patient_age"] = _w(
+        f"patients AS ({PATIENTS}), ref_time AS (SELECT max(ts) AS as_of FROM events)",
+        f"SELECT patient_id, date_of_birth, {AGE_SQL.format(on='CAST(as_of AS DATE)', born='date_of_birth')} AS age_years "
+        "FROM patients, ref_time",
+    )
     q["cooldown_60s"] = "WITH RECURSIVE " + cooldown_cte(60) + "\nSELECT alert_id, patient_id, timestamp_utc FROM accepted"
     q["cooldown_12h"] = "WITH RECURSIVE " + cooldown_cte(43200) + "\nSELECT alert_id, patient_id, timestamp_utc FROM accepted"
     q["cooldown_skipped"] = (
