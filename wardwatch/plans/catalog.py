@@ -213,6 +213,65 @@ def q_patient_age(spark, sf_dir):
     )
 
 
+def q_retrieval_query_text(spark, sf_dir):
+    from wardwatch.operators.retrieval import query_text
+
+    al = alerts(spark, sf_dir)
+    return al.select("alert_id", query_text(F.col("triggered_rules"), F.col("vitals_snapshot"), F.col("severity")).alias("query_text"))
+
+
+def q_keyword_terms(spark, sf_dir):
+    from wardwatch.operators.retrieval import keyword_terms
+
+    return alerts(spark, sf_dir).select("alert_id", keyword_terms(F.col("triggered_rules")).alias("terms"))
+
+
+def _sop_vectors(spark, sf_dir):
+    return tb.sops(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
+
+
+def _sop_index(spark, sf_dir):
+    from wardwatch.operators.retrieval import bm25_index
+
+    s = tb.sops(spark, sf_dir).select(F.col("id").alias("doc_id"), "title", "content")
+    return bm25_index(s, F.concat_ws(" ", "title", "content"))
+
+
+def q_vector_top5(spark, sf_dir):
+    from wardwatch.operators.retrieval import vector_topk
+
+    qv = tb.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    hits = vector_topk(qv, _sop_vectors(spark, sf_dir), k=5)
+    return hits.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _keyword(spark, sf_dir, match):
+    from wardwatch.operators.retrieval import keyword_topk
+
+    q = tb.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = keyword_topk(q, _sop_index(spark, sf_dir), k=5, match=match)
+    return hits.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def q_keyword_top5_any(spark, sf_dir):
+    return _keyword(spark, sf_dir, "any")
+
+
+def q_keyword_top5_all(spark, sf_dir):
+    return _keyword(spark, sf_dir, "all")
+
+
+def q_rrf_top3(spark, sf_dir):
+    from wardwatch.operators.retrieval import keyword_topk, rrf_fuse, vector_topk
+
+    vec = _sop_vectors(spark, sf_dir)
+    v_hits = vector_topk(vec.withColumnRenamed("doc_id", "query_id"), vec, k=5)
+    texts = tb.sops(spark, sf_dir).select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "content").alias("text"))
+    k_hits = keyword_topk(texts, _sop_index(spark, sf_dir), k=5, match="any")
+    fused = rrf_fuse(v_hits, k_hits, k_final=3)
+    return fused.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "relevance_score", "retrieval_method")
+
+
 def build() -> dict[str, Query]:
     return {
         "telemetry_valid": q_telemetry_valid,
@@ -239,4 +298,10 @@ def build() -> dict[str, Query]:
         "context_misses": q_context_misses,
         "trailing_24h_count": q_trailing_24h_count,
         "patient_age": q_patient_age,
+        "retrieval_query_text": q_retrieval_query_text,
+        "keyword_terms": q_keyword_terms,
+        "vector_top5": q_vector_top5,
+        "keyword_top5_any": q_keyword_top5_any,
+        "keyword_top5_all": q_keyword_top5_all,
+        "rrf_top3": q_rrf_top3,
     }

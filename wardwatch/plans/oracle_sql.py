@@ -202,8 +202,92 @@ GROUP BY ALL""",
     )
 
 
+def _stop_list() -> str:
+    from wardwatch.operators.retrieval import STOP_WORDS
+
+    return "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+def _tokens(x: str) -> str:
+    return (
+        f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), "
+        f"lambda t: length(t) > 0 AND NOT list_contains({_stop_list()}, t))"
+    )
+
+
+BM25_CTE = f"""sops AS ({SOPS}),
+dt AS (SELECT doc_id, term, count(*) AS tf FROM (
+         SELECT id AS doc_id, unnest({_tokens("title || ' ' || content")}) AS term FROM sops) GROUP BY doc_id, term),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM dt GROUP BY doc_id),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+dfreq AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+w AS (SELECT dt.doc_id, dt.term,
+        ln(1 + (st.n_docs - dfreq.df + 0.5) / (dfreq.df + 0.5)) * dt.tf * 2.2
+        / (dt.tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / st.avgdl)) AS w
+      FROM dt JOIN dfreq USING (term) JOIN dl USING (doc_id) CROSS JOIN st)"""
+
+
+def _keyword_sql(query_src: str, all_terms: bool, k: int = 5) -> str:
+    cond = "WHERE sc.matched = nq.n_terms" if all_terms else ""
+    return f"""qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({_tokens("text")}) AS term FROM ({query_src}))),
+nq AS (SELECT query_id, count(*) AS n_terms FROM qt GROUP BY query_id),
+sc AS (SELECT qt.query_id, w.doc_id, sum(w.w) AS score, count(*) AS matched FROM qt JOIN w USING (term)
+       GROUP BY qt.query_id, w.doc_id),
+kr AS (SELECT sc.query_id, sc.doc_id, sc.score,
+         row_number() OVER (PARTITION BY sc.query_id ORDER BY round(sc.score, 9) DESC, sc.doc_id) AS rank
+       FROM sc JOIN nq USING (query_id) {cond}),
+kw AS (SELECT * FROM kr WHERE rank <= {k})"""
+
+
+def _vector_sql(query_src: str, k: int = 5) -> str:
+    return f"""vs AS (SELECT q.query_id, s.id AS doc_id,
+         list_cosine_similarity(CAST(q.vec AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])) AS score
+       FROM ({query_src}) q CROSS JOIN sops s),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+       FROM vs WHERE score IS NOT NULL AND NOT isnan(score)),
+vh AS (SELECT * FROM vr WHERE rank <= {k})"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["retrieval_query_text"] = _w(
+        ALERTS_CTE,
+        """SELECT alert_id, 'Clinical protocol for: ' || array_to_string(triggered_rules, '. ')
+       || '. Patient presenting with HR ' || heart_rate_bpm || ' bpm, BP ' || systolic_bp_mmhg || '/'
+       || diastolic_bp_mmhg || ' mmHg, SpO2 ' || CAST(spo2_percent AS VARCHAR) || '%, RR ' || respiratory_rate_rpm
+       || ' rpm, Temp ' || CAST(temperature_celsius AS VARCHAR) || '°C. Severity: ' || severity || '.' AS query_text
+FROM alerts""",
+    )
+    q["keyword_terms"] = _w(
+        ALERTS_CTE,
+        """SELECT alert_id, array_to_string(list_filter(flatten(list_transform(triggered_rules,
+         lambda r: regexp_split_to_array(r, '\\s+'))), lambda x: length(x) > 4), ' | ') AS terms FROM alerts""",
+    )
+    q["vector_top5"] = _w(
+        f"sops AS ({SOPS}), " + _vector_sql("SELECT vec_id AS query_id, embedding AS vec FROM embeddings"),
+        "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM vh",
+    )
+    for mode, flag in (("any", False), ("all", True)):
+        q[f"keyword_top5_{mode}"] = _w(
+            BM25_CTE + ",\n" + _keyword_sql("SELECT item_id AS query_id, text FROM benchmark", flag),
+            "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM kw",
+        )
+    q["rrf_top3"] = _w(
+        BM25_CTE + ",\n"
+        + _vector_sql("SELECT id AS query_id, embedding AS vec FROM sops") + ",\n"
+        + _keyword_sql("SELECT id AS query_id, title || ' ' || content AS text FROM sops", False)
+        + """,
+u AS (SELECT query_id, doc_id, rank AS v_rank, CAST(NULL AS BIGINT) AS k_rank FROM vh
+      UNION ALL SELECT query_id, doc_id, NULL, rank FROM kw),
+g AS (SELECT query_id, doc_id, sum(1.0 / (60 + coalesce(v_rank, k_rank))) AS rrf,
+             min(v_rank) AS v_rank, min(k_rank) AS k_rank FROM u GROUP BY query_id, doc_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY round(rrf, 9) DESC, v_rank ASC NULLS LAST, k_rank) AS rank FROM g)""",
+        """SELECT query_id, doc_id, rank, round(rrf, 6) AS relevance_score,
+       CASE WHEN v_rank IS NOT NULL AND k_rank IS NOT NULL THEN 'hybrid'
+            WHEN v_rank IS NOT NULL THEN 'vector' ELSE 'keyword' END AS retrieval_method
+FROM f WHERE rank <= 3""",
+    )
     q["patient_list"] = _patient_list("1 = 1")
     q["patient_list_filtered"] = _patient_list("p.hospital_id = 'HOSP-001' AND p.ward = 'BUILDING'")
     q["patient_history"] = _w(
