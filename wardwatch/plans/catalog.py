@@ -272,6 +272,64 @@ def q_rrf_top3(spark, sf_dir):
     return fused.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "relevance_score", "retrieval_method")
 
 
+def _parsed_replies(spark, sf_dir):
+    from wardwatch.operators.reasoning import parse_replies
+
+    al = alerts(spark, sf_dir)
+    return parse_replies(tb.model_replies(al).join(al.select("alert_id", "hospital_id", "timestamp_utc"), "alert_id"))
+
+
+def q_reply_parse(spark, sf_dir):
+    r = F.col("reply")
+    return _parsed_replies(spark, sf_dir).select(
+        "alert_id", "repaired", "llm_error", r["urgency_level"].alias("urgency_level"),
+        F.when(r.isNotNull(), F.size(r["recommended_actions"])).cast("bigint").alias("n_actions"),
+        r["confidence_score"].alias("confidence_score"),
+    )
+
+
+def q_reply_repair(spark, sf_dir):
+    from wardwatch.operators.reasoning import repair_json
+
+    return tb.model_replies(alerts(spark, sf_dir)).select("alert_id", repair_json(F.col("raw_reply")).alias("repaired_text"))
+
+
+def q_reply_policy(spark, sf_dir):
+    from wardwatch.operators.reasoning import policy_checks
+
+    p = _parsed_replies(spark, sf_dir).where(F.col("llm_error").isNull())
+    return policy_checks(p).select("alert_id", "actions_count_ok", "actions_ordered_ok", "urgency_ok")
+
+
+def q_prompt_text(spark, sf_dir):
+    from wardwatch.operators.context import with_patient_context
+    from wardwatch.operators.reasoning import build_prompts
+
+    al = alerts(spark, sf_dir)
+    ctx = with_patient_context(al, tb.patients(spark, sf_dir), tb.triage_events_from_alerts(al))
+    pr = build_prompts(ctx, None)
+    return pr.select("alert_id", F.length("prompt").cast("bigint").alias("prompt_length"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+def q_audit_insert_if_absent(spark, sf_dir):
+    from wardwatch.operators.audit import insert_if_absent
+
+    te = triage_events(spark, sf_dir)
+    stored = te.where(F.col("created_at") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    batch = te.unionByName(te)  # every alert delivered twice (at-least-once)
+    return insert_if_absent(batch, stored, "alert_id", ["id"]).select("id", "alert_id", "patient_id", "severity")
+
+
+def q_corpus_incremental_load(spark, sf_dir):
+    from wardwatch.operators.audit import load_new_documents
+
+    docs = tb.sops(spark, sf_dir).join(
+        tb.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id"
+    )
+    stored = docs.where(F.col("lang") == "en")
+    return load_new_documents(docs.select("id", "title", "category"), stored.select("title")).select("id", "title", "category")
+
+
 def build() -> dict[str, Query]:
     return {
         "telemetry_valid": q_telemetry_valid,
@@ -304,4 +362,10 @@ def build() -> dict[str, Query]:
         "keyword_top5_any": q_keyword_top5_any,
         "keyword_top5_all": q_keyword_top5_all,
         "rrf_top3": q_rrf_top3,
+        "reply_parse": q_reply_parse,
+        "reply_repair": q_reply_repair,
+        "reply_policy": q_reply_policy,
+        "prompt_text": q_prompt_text,
+        "audit_insert_if_absent": q_audit_insert_if_absent,
+        "corpus_incremental_load": q_corpus_incremental_load,
     }

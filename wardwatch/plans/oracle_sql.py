@@ -248,8 +248,81 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 vh AS (SELECT * FROM vr WHERE rank <= {k})"""
 
 
+REPLY_CTE = (
+    ALERTS_CTE
+    + f""",
+rep AS (SELECT alert_id, severity, {fx.reply_text_sql(D)} AS raw FROM alerts),
+r1 AS (SELECT *, raw IS NOT NULL AND json_valid(raw) AND starts_with(trim(raw), '{{')
+                 AND ends_with(trim(raw), '}}') AS first_ok,
+              regexp_extract(raw, '(?s)^(.*\\}})', 1) AS cut FROM rep),
+r2 AS (SELECT *, CASE WHEN NOT first_ok AND raw IS NOT NULL AND cut <> '' THEN
+                   cut || CASE WHEN length(cut) - length(replace(cut, '{{', '')) > length(cut) - length(replace(cut, '}}', ''))
+                               THEN '}}' ELSE '' END END AS fixed FROM r1),
+r3 AS (SELECT *, fixed IS NOT NULL AND json_valid(fixed) AND starts_with(trim(fixed), '{{')
+                 AND ends_with(trim(fixed), '}}') AS second_ok FROM r2),
+r4 AS (SELECT *, CASE WHEN first_ok THEN raw WHEN second_ok THEN fixed END AS pj FROM r3),
+r5 AS (SELECT *,
+         json_extract_string(pj, '$.urgency_level') AS urgency_level,
+         json_extract_string(pj, '$.clinical_summary') AS clinical_summary,
+         json_extract_string(pj, '$.primary_concern') AS primary_concern,
+         from_json(json_extract(pj, '$.recommended_actions'),
+           '[{{"priority":"INTEGER","action":"VARCHAR","rationale":"VARCHAR","time_window":"VARCHAR"}}]') AS actions,
+         TRY_CAST(json_extract_string(pj, '$.confidence_score') AS DOUBLE) AS confidence_score FROM r4),
+r6 AS (SELECT *, CASE
+         WHEN raw IS NULL THEN 'JSON parse error'
+         WHEN NOT first_ok AND fixed IS NULL THEN 'No closing brace found - JSON unrecoverable'
+         WHEN pj IS NULL THEN 'JSON parse error'
+         WHEN urgency_level IS NULL THEN 'missing required key: urgency_level'
+         WHEN clinical_summary IS NULL THEN 'missing required key: clinical_summary'
+         WHEN primary_concern IS NULL THEN 'missing required key: primary_concern'
+         WHEN actions IS NULL THEN 'missing required key: recommended_actions'
+         WHEN confidence_score IS NULL THEN 'missing required key: confidence_score'
+         WHEN urgency_level NOT IN ('IMMEDIATE', 'URGENT', 'SEMI_URGENT', 'NON_URGENT') THEN 'invalid value: urgency_level'
+         WHEN NOT (confidence_score BETWEEN 0 AND 1) THEN 'invalid value: confidence_score'
+         WHEN len(list_filter(actions, lambda a: a.priority IS NULL OR NOT (a.priority BETWEEN 1 AND 5)
+              OR a.action IS NULL OR a.rationale IS NULL OR a.time_window IS NULL)) > 0
+              THEN 'invalid value: recommended_actions'
+         END AS llm_error FROM r5)"""
+)
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["reply_repair"] = _w(
+        REPLY_CTE,
+        """SELECT alert_id, CASE WHEN cut <> '' THEN cut || CASE WHEN length(cut) - length(replace(cut, '{', ''))
+       > length(cut) - length(replace(cut, '}', '')) THEN '}' ELSE '' END END AS repaired_text FROM r1""",
+    )
+    q["reply_parse"] = _w(
+        REPLY_CTE,
+        """SELECT alert_id, (NOT first_ok AND second_ok) AS repaired, llm_error,
+       CASE WHEN llm_error IS NULL THEN urgency_level END AS urgency_level,
+       CASE WHEN llm_error IS NULL THEN CAST(len(actions) AS BIGINT) END AS n_actions,
+       CASE WHEN llm_error IS NULL THEN confidence_score END AS confidence_score
+FROM r6""",
+    )
+    q["reply_policy"] = _w(
+        REPLY_CTE,
+        """SELECT alert_id, len(actions) BETWEEN 3 AND 5 AS actions_count_ok,
+       list_sort(list_transform(actions, lambda a: a.priority)) = list_transform(actions, lambda a: a.priority)
+         AS actions_ordered_ok,
+       (severity <> 'CRITICAL' OR urgency_level IN ('IMMEDIATE', 'URGENT')) AS urgency_ok
+FROM r6 WHERE llm_error IS NULL""",
+    )
+    q["audit_insert_if_absent"] = _w(
+        REPORT_CTE,
+        """SELECT DISTINCT b.id, b.alert_id, b.patient_id, b.severity
+FROM (SELECT * FROM triage_events UNION ALL SELECT * FROM triage_events) b
+WHERE NOT EXISTS (SELECT 1 FROM triage_events s
+                  WHERE s.created_at < TIMESTAMP '2024-01-15 00:00:00' AND s.alert_id = b.alert_id)""",
+    )
+    q["corpus_incremental_load"] = _w(
+        f"""sops AS ({SOPS}),
+docs AS (SELECT s.id, s.title, s.category, d.lang FROM sops s JOIN documents d ON d.doc_id = s.id),
+firsts AS (SELECT min(id) AS id FROM docs GROUP BY title)""",
+        """SELECT d.id, d.title, d.category FROM docs d JOIN firsts USING (id)
+WHERE NOT EXISTS (SELECT 1 FROM docs e WHERE e.lang = 'en' AND e.title = d.title)""",
+    )
     q["retrieval_query_text"] = _w(
         ALERTS_CTE,
         """SELECT alert_id, 'Clinical protocol for: ' || array_to_string(triggered_rules, '. ')

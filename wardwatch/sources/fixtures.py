@@ -239,7 +239,7 @@ def reply_text_sql(dialect: str) -> str:
     )
     n_actions = "CAST(2 + event_seq % 4 AS INT)"
     action = (
-        "'{\"priority\": ' || CAST({p} AS STRING) || ', \"action\": \"step {p}\", "
+        "'{{\"priority\": ' || CAST({p} AS STRING) || ', \"action\": \"step {p}\", "
         "\"rationale\": \"per protocol\", \"time_window\": \"within {w} minutes\"}}'"
     )
     a1 = action.format(p=1, w=15)
