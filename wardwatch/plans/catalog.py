@@ -330,6 +330,90 @@ def q_corpus_incremental_load(spark, sf_dir):
     return load_new_documents(docs.select("id", "title", "category"), stored.select("title")).select("id", "title", "category")
 
 
+def _recommendations(spark, sf_dir):
+    from wardwatch.operators.reasoning import recommendations
+
+    return recommendations(_parsed_replies(spark, sf_dir), "fixture-model")
+
+
+def q_feed_envelope(spark, sf_dir):
+    from wardwatch.operators import live
+
+    f = live.feed(alerts(spark, sf_dir).drop("event_seq"), _recommendations(spark, sf_dir))
+    return f.select("event_type", "key", "timestamp")
+
+
+def q_feed_demux(spark, sf_dir):
+    from wardwatch import schemas
+    from wardwatch.operators import live
+
+    f = live.feed(alerts(spark, sf_dir).drop("event_seq"), _recommendations(spark, sf_dir))
+    back = live.demux(f, "alert_received", schemas.ALERT)
+    return back.select("alert_id", "patient_id", "severity", "timestamp_utc",
+                       F.array_join("triggered_rules", " | ").alias("rules_text"),
+                       F.col("vitals_snapshot.spo2_percent").alias("spo2_percent"))
+
+
+def q_live_feed_join(spark, sf_dir):
+    from wardwatch.operators import live
+
+    st = live.feed_status(alerts(spark, sf_dir), _recommendations(spark, sf_dir))
+    return st.select("alert_id", "status", "urgency_level")
+
+
+def q_live_feed_top50(spark, sf_dir):
+    from wardwatch.operators import live
+
+    top = live.latest(ru.with_summary(alerts(spark, sf_dir)), 50)
+    return live.display_columns(top).select("alert_id", "patient_id", "timestamp_utc", "rule_labels", "summary_short")
+
+
+def q_live_counts_after_ack(spark, sf_dir):
+    from wardwatch.operators import live
+
+    return live.live_counts(alerts(spark, sf_dir), tb.acks(spark, sf_dir))
+
+
+def q_ward_roster(spark, sf_dir):
+    from wardwatch.operators import live
+
+    return live.ward_roster(tb.patients(spark, sf_dir))
+
+
+def q_feed_display(spark, sf_dir):
+    from wardwatch.operators import live
+
+    te = triage_events(spark, sf_dir).join(_recommendations(spark, sf_dir).select("alert_id", "urgency_level"), "alert_id", "left")
+    return live.display_columns(te).select("alert_id", "confidence_text", "processing_text", "urgency_text")
+
+
+def q_request_log_rollup(spark, sf_dir):
+    from wardwatch.operators import live
+
+    return live.request_log_rollup(tb.request_log(spark, sf_dir))
+
+
+def q_request_rate_breach(spark, sf_dir):
+    from wardwatch.operators import live
+
+    return live.rate_breaches(tb.request_log(spark, sf_dir), 60)
+
+
+def q_stream_alerts(spark, sf_dir):
+    from wardwatch.sources import fixtures as fx
+    from wardwatch.streaming.alert_stream import run_available, telemetry_to_alerts
+
+    events_schema = tb.table(spark, sf_dir, "events").schema
+    stream = (
+        spark.readStream.format("parquet").schema(events_schema)
+        .option("pathGlobFilter", "events.parquet").load(sf_dir)
+    )
+    raw = tb._derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=stream)
+    out, _ = telemetry_to_alerts(raw)
+    got = run_available(out.select("alert_id", "patient_id", "severity", "timestamp_utc"), "stream_alerts")
+    return got
+
+
 def build() -> dict[str, Query]:
     return {
         "telemetry_valid": q_telemetry_valid,
@@ -368,4 +452,14 @@ def build() -> dict[str, Query]:
         "prompt_text": q_prompt_text,
         "audit_insert_if_absent": q_audit_insert_if_absent,
         "corpus_incremental_load": q_corpus_incremental_load,
+        "feed_envelope": q_feed_envelope,
+        "feed_demux": q_feed_demux,
+        "live_feed_join": q_live_feed_join,
+        "live_feed_top50": q_live_feed_top50,
+        "live_counts_after_ack": q_live_counts_after_ack,
+        "ward_roster": q_ward_roster,
+        "feed_display": q_feed_display,
+        "request_log_rollup": q_request_log_rollup,
+        "request_rate_breach": q_request_rate_breach,
+        "stream_alerts": q_stream_alerts,
     }

@@ -286,8 +286,81 @@ r6 AS (SELECT *, CASE
 )
 
 
+LIVE_CTE = REPLY_CTE + """,
+recs AS (SELECT alert_id, urgency_level, confidence_score FROM r6 WHERE llm_error IS NULL)"""
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["feed_envelope"] = _w(
+        LIVE_CTE,
+        """SELECT 'alert_received' AS event_type, alert_id AS key, timestamp_utc AS timestamp FROM alerts
+UNION ALL
+SELECT 'triage_recommendation', r.alert_id, a.timestamp_utc FROM recs r JOIN alerts a USING (alert_id)""",
+    )
+    q["feed_demux"] = _w(
+        ALERTS_CTE,
+        """SELECT alert_id, patient_id, severity, timestamp_utc, array_to_string(triggered_rules, ' | ') AS rules_text,
+       spo2_percent FROM alerts""",
+    )
+    q["live_feed_join"] = _w(
+        LIVE_CTE,
+        """SELECT a.alert_id, CASE WHEN r.urgency_level IS NULL THEN 'processing' ELSE 'complete' END AS status,
+       r.urgency_level FROM alerts a LEFT JOIN recs r USING (alert_id)""",
+    )
+    q["live_feed_top50"] = _w(
+        ALERTS_CTE,
+        """SELECT alert_id, patient_id, timestamp_utc,
+       array_to_string(list_transform(triggered_rules, lambda r: split_part(r, ':', 1)), ', ') AS rule_labels,
+       substr('[' || severity || '] ' || patient_id || ' @ ' || ward || '/' || bed_number || ' — '
+              || array_to_string(triggered_rules, ', '), 1, 60) || '...' AS summary_short
+FROM alerts ORDER BY timestamp_utc DESC, alert_id DESC LIMIT 50""",
+    )
+    q["live_counts_after_ack"] = _w(
+        ALERTS_CTE + f", acks AS ({fx.acks_select_sql(D)})",
+        """SELECT a.patient_id, count(*) FILTER (WHERE k.acked_at IS NULL OR a.timestamp_utc > k.acked_at) AS live_count,
+       CASE WHEN count(*) FILTER (WHERE k.acked_at IS NULL OR a.timestamp_utc > k.acked_at) > 0
+            THEN 'red' ELSE 'green' END AS status
+FROM alerts a LEFT JOIN acks k USING (patient_id) GROUP BY a.patient_id""",
+    )
+    q["ward_roster"] = _w(
+        f"patients AS ({PATIENTS})",
+        "SELECT ward, count(*) AS n_patients, count(DISTINCT hospital_id) AS n_hospitals FROM patients GROUP BY ward",
+    )
+    q["feed_display"] = _w(
+        LIVE_CTE + TRIAGE_CTE[len(ALERTS_CTE):],
+        """SELECT t.alert_id,
+       CAST(round(t.confidence_score * 100, 0) AS BIGINT) || '%' AS confidence_text,
+       CAST(floor((t.processing_ms + 50) / 100) AS BIGINT) // 10 || '.'
+         || CAST(floor((t.processing_ms + 50) / 100) AS BIGINT) % 10 || 's' AS processing_text,
+       replace(r.urgency_level, '_', '-') AS urgency_text
+FROM triage_events t LEFT JOIN recs r USING (alert_id)""",
+    )
+    q["request_log_rollup"] = _w(
+        f"log AS ({fx.request_log_select_sql(D)})",
+        """SELECT path, status, count(*) AS n_requests, round(avg(duration_ms), 3) AS avg_ms, max(duration_ms) AS max_ms
+FROM log WHERE path <> '/health' GROUP BY path, status""",
+    )
+    q["request_rate_breach"] = _w(
+        f"log AS ({fx.request_log_select_sql(D)})",
+        """SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, client, count(*) AS n_requests
+FROM log GROUP BY 1, 2 HAVING count(*) > 60""",
+    )
+    q["stream_alerts"] = _w(
+        PARSED_CTE + """,
+valid AS (SELECT coalesce(j_event_id, 'offset-' || msg_offset) AS event_id, upper(j_patient_id) AS patient_id,
+       coalesce(TRY_CAST(j_timestamp_utc AS TIMESTAMP), received_at) AS timestamp_utc,
+       CAST(d_heart_rate_bpm AS INT) AS heart_rate_bpm, CAST(d_systolic_bp_mmhg AS INT) AS systolic_bp_mmhg,
+       CAST(d_diastolic_bp_mmhg AS INT) AS diastolic_bp_mmhg, d_spo2_percent AS spo2_percent,
+       CAST(d_respiratory_rate_rpm AS INT) AS respiratory_rate_rpm, d_temperature_celsius AS temperature_celsius
+  FROM checked WHERE len(reasons) = 0),
+flagged AS (SELECT *, """ + RULE_FLAGS + """ FROM valid),
+texted AS (SELECT *, """ + RULE_TEXTS + """ AS rules FROM flagged)""",
+        """SELECT sha256('alert|' || event_id) AS alert_id, patient_id,
+       CASE WHEN f8 THEN 'CRITICAL' WHEN n9 >= 2 THEN 'HIGH' WHEN len(rules) >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       timestamp_utc
+FROM texted WHERE len(rules) > 0""",
+    )
     q["reply_repair"] = _w(
         REPLY_CTE,
         """SELECT alert_id, CASE WHEN cut <> '' THEN cut || CASE WHEN length(cut) - length(replace(cut, '{', ''))

@@ -273,3 +273,21 @@ def reply_text_sql(dialect: str) -> str:
         f"WHEN event_seq % 25 = 0 THEN {full} || ' -- end of reply' "
         f"ELSE {full} END"
     )
+
+
+def request_log_select_sql(dialect: str, source: str = "events") -> str:
+    """Request log rows ``(ts, method, path, status, duration_ms, client)`` from events."""
+    return (
+        "SELECT ts, 'GET' AS method, '/' || event_type AS path, "
+        "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS duration_ms, "
+        "'client-' || lpad(CAST(user_id % 20 AS STRING), 2, '0') AS client "
+        f"FROM {source}"
+    )
+
+
+def acks_select_sql(dialect: str, source: str = "events") -> str:
+    """Per patient the last time a nurse viewed the record (``view`` events)."""
+    return (
+        "SELECT 'PT-' || lpad(CAST(user_id AS STRING), 6, '0') AS patient_id, max(ts) AS acked_at "
+        f"FROM {source} WHERE event_type = 'view' GROUP BY user_id"
+    )

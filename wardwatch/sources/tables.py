@@ -93,3 +93,11 @@ def triage_events_from_alerts(alerts: DataFrame) -> DataFrame:
 def model_replies(alerts: DataFrame) -> DataFrame:
     """Deterministic reply text per alert, standing in for an external model."""
     return alerts.select("alert_id", "event_seq", "patient_id", "severity", F.expr(fx.reply_text_sql(fx.SPARK)).alias("raw_reply"))
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, fx.request_log_select_sql(fx.SPARK, "{events}"), events=table(spark, sf_dir, "events"))
+
+
+def acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, fx.acks_select_sql(fx.SPARK, "{events}"), events=table(spark, sf_dir, "events"))
