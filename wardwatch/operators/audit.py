@@ -22,7 +22,7 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str = "alert_id
     """
     order = order or [key]
     dedup = first_per_key(batch, key, order)
-    return dedup.join(existing.select(key).distinct(), key, "left_anti")
+    return dedup.join(existing.select(key), key, "left_anti")
 
 
 def append_audit(batch: DataFrame, target_path: str, key: str = "alert_id", order: list[str] | None = None) -> int:
