@@ -175,14 +175,15 @@ def bm25_index(docs: DataFrame, text: Column) -> DataFrame:
     toks = docs.select(F.col("doc_id"), F.explode(tokens(text)).alias("term"))
     tf = toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    # corpus statistics: one row, attached by a broadcast equi-join on a constant key
+    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("_one", F.lit(1))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / avgdl)
-    w = tf.join(dfreq, "term").join(dl, "doc_id").select(
-        "doc_id", "term", (idf * F.col("tf") * (BM25_K1 + 1) / norm).alias("w")
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
+    w = (
+        tf.join(dfreq, "term").join(dl, "doc_id").withColumn("_one", F.lit(1))
+        .join(F.broadcast(stats), "_one")
+        .select("doc_id", "term", (idf * F.col("tf") * (BM25_K1 + 1) / norm).alias("w"))
     )
     return w.groupBy("doc_id").agg(
         F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights")
