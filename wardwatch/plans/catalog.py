@@ -414,6 +414,27 @@ def q_stream_alerts(spark, sf_dir):
     return got
 
 
+def q_stream_cooldown(spark, sf_dir):
+    """Streaming cooldown over the alert stream; rows are emitted once final
+    (below the watermark), i.e. every accepted alert older than the newest alert."""
+    from wardwatch.streaming.alert_stream import run_available, telemetry_to_alerts
+    from wardwatch.streaming.cooldown_state import stream_cooldown
+    from wardwatch.sources import fixtures as fx
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(key, "") or ""):
+        # transformWithState keeps its state in the RocksDB state store
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events_schema = tb.table(spark, sf_dir, "events").schema
+    stream = (
+        spark.readStream.format("parquet").schema(events_schema)
+        .option("pathGlobFilter", "events.parquet").load(sf_dir)
+    )
+    raw = tb._derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=stream)
+    al, _ = telemetry_to_alerts(raw)
+    return run_available(stream_cooldown(al, 60), "stream_cooldown")
+
+
 def build() -> dict[str, Query]:
     return {
         "telemetry_valid": q_telemetry_valid,
@@ -462,4 +483,5 @@ def build() -> dict[str, Query]:
         "request_log_rollup": q_request_log_rollup,
         "request_rate_breach": q_request_rate_breach,
         "stream_alerts": q_stream_alerts,
+        "stream_cooldown": q_stream_cooldown,
     }

@@ -346,6 +346,29 @@ FROM log WHERE path <> '/health' GROUP BY path, status""",
         """SELECT time_bucket(INTERVAL '1 minute', ts) AS window_start, client, count(*) AS n_requests
 FROM log GROUP BY 1, 2 HAVING count(*) > 60""",
     )
+    stream_valid = PARSED_CTE + """,
+valid AS (SELECT coalesce(j_event_id, 'offset-' || msg_offset) AS event_id, upper(j_patient_id) AS patient_id,
+       coalesce(TRY_CAST(j_timestamp_utc AS TIMESTAMP), received_at) AS timestamp_utc,
+       CAST(d_heart_rate_bpm AS INT) AS heart_rate_bpm, CAST(d_systolic_bp_mmhg AS INT) AS systolic_bp_mmhg,
+       CAST(d_diastolic_bp_mmhg AS INT) AS diastolic_bp_mmhg, d_spo2_percent AS spo2_percent,
+       CAST(d_respiratory_rate_rpm AS INT) AS respiratory_rate_rpm, d_temperature_celsius AS temperature_celsius
+  FROM checked WHERE len(reasons) = 0),
+flagged AS (SELECT *, """ + RULE_FLAGS + """ FROM valid),
+texted AS (SELECT *, """ + RULE_TEXTS + """ AS rules FROM flagged),
+alerts AS (SELECT sha256('alert|' || event_id) AS alert_id, patient_id, timestamp_utc FROM texted WHERE len(rules) > 0),
+a AS (SELECT alert_id, patient_id, timestamp_utc, epoch_us(timestamp_utc) AS t,
+             epoch_us(timestamp_utc) + CAST(60 AS BIGINT) * 1000000 AS tc FROM alerts),
+nx AS (SELECT a1.alert_id, a2.alert_id AS next_id
+       FROM a a1 ASOF LEFT JOIN a a2 ON a1.patient_id = a2.patient_id AND a1.tc <= a2.t),
+firsts AS (SELECT arg_min(alert_id, t) AS alert_id FROM a GROUP BY patient_id),
+chain AS (
+  SELECT nx.alert_id, nx.next_id FROM firsts JOIN nx USING (alert_id)
+  UNION ALL
+  SELECT nx.alert_id, nx.next_id FROM chain c JOIN nx ON nx.alert_id = c.next_id
+)"""
+    q["stream_cooldown"] = "WITH RECURSIVE " + stream_valid + """
+SELECT a.alert_id, a.patient_id, a.timestamp_utc FROM a JOIN chain USING (alert_id)
+WHERE a.t < (SELECT max(t) FROM a)"""
     q["stream_alerts"] = _w(
         PARSED_CTE + """,
 valid AS (SELECT coalesce(j_event_id, 'offset-' || msg_offset) AS event_id, upper(j_patient_id) AS patient_id,
