@@ -35,14 +35,17 @@ STOP_WORDS = [
     "this", "to", "was", "will", "with",
 ]
 
-_HITS = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
-_HITS_ARROW = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+def _hits_schema(qtype: T.DataType) -> tuple[T.StructType, pa.Schema]:
+    """Output of a scoring task; the query id keeps the caller's type (long or string)."""
+    st = T.StructType(
+        [
+            T.StructField("query_id", qtype),
+            T.StructField("doc_id", T.LongType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    qa = pa.string() if isinstance(qtype, T.StringType) else pa.int64()
+    return st, pa.schema([("query_id", qa), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 
 # --- text -------------------------------------------------------------------
@@ -121,14 +124,14 @@ def _merge_topk(hits: DataFrame, k: int) -> DataFrame:
 
 # --- vector search -------------------------------------------------------------
 
-def _cosine_task(k: int):
+def _cosine_task(k: int, arrow_schema: pa.Schema):
     def fn(batches):
         for b in batches:
             for row in b.to_pylist():
                 qs, ds = row["_qs"], row["_ds"]
                 if not qs or not ds:
                     continue
-                qids = np.array([q["query_id"] for q in qs], dtype=np.int64)
+                qids = [q["query_id"] for q in qs]
                 dids = np.array([d["doc_id"] for d in ds], dtype=np.int64)
                 qm = np.array([q["vec"] for q in qs], dtype=np.float64)
                 dm = np.array([d["vec"] for d in ds], dtype=np.float64)
@@ -140,7 +143,9 @@ def _cosine_task(k: int):
                 q, d, s = _topk_rows(qids, dids, np.where(ok, sc, 0.0), k, ok)
                 if q:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], schema=_HITS_ARROW
+                        [pa.array(q, arrow_schema.field("query_id").type), pa.array(d, pa.int64()),
+                         pa.array(s, pa.float64())],
+                        schema=arrow_schema,
                     )
 
     return fn
@@ -160,7 +165,8 @@ def vector_topk(
     n_d = _n_blocks(docs, dims * 8 + 16, block_bytes)
     n_q = _n_blocks(queries, dims * 8 + 16, block_bytes)
     pairs = _blocked_pairs(queries.select("query_id", "vec"), docs.select("doc_id", "vec"), n_q, n_d)
-    hits = pairs.select("_qs", "_ds").mapInArrow(_cosine_task(k), _HITS)
+    st, ar = _hits_schema(queries.schema["query_id"].dataType)
+    hits = pairs.select("_qs", "_ds").mapInArrow(_cosine_task(k, ar), st)
     return _merge_topk(hits, k)
 
 
@@ -190,7 +196,7 @@ def bm25_index(docs: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def _bm25_task(k: int, require_all: bool):
+def _bm25_task(k: int, require_all: bool, arrow_schema: pa.Schema):
     def fn(batches):
         for b in batches:
             for row in b.to_pylist():
@@ -208,7 +214,7 @@ def _bm25_task(k: int, require_all: bool):
                 post_term, post_doc, post_w = post_term[order], post_doc[order], post_w[order]
                 uniq, starts = np.unique(post_term, return_index=True)
                 ends = np.append(starts[1:], len(post_term))
-                qids = np.array([q["query_id"] for q in qs], dtype=np.int64)
+                qids = [q["query_id"] for q in qs]
                 scores = np.zeros((len(qs), len(ds)), dtype=np.float64)
                 matched = np.zeros((len(qs), len(ds)), dtype=np.int32)
                 n_terms = np.zeros(len(qs), dtype=np.int32)
@@ -230,7 +236,9 @@ def _bm25_task(k: int, require_all: bool):
                 q, d, s = _topk_rows(qids, dids, scores, k, ok)
                 if q:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.float64())], schema=_HITS_ARROW
+                        [pa.array(q, arrow_schema.field("query_id").type), pa.array(d, pa.int64()),
+                         pa.array(s, pa.float64())],
+                        schema=arrow_schema,
                     )
 
     return fn
@@ -253,7 +261,8 @@ def keyword_topk(
     n_d = _n_blocks(index, 4096, block_bytes)
     n_q = _n_blocks(q, 1024, block_bytes)
     pairs = _blocked_pairs(q, index.select("doc_id", "terms", "weights"), n_q, n_d)
-    hits = pairs.select("_qs", "_ds").mapInArrow(_bm25_task(k, match == "all"), _HITS)
+    st, ar = _hits_schema(queries.schema["query_id"].dataType)
+    hits = pairs.select("_qs", "_ds").mapInArrow(_bm25_task(k, match == "all", ar), st)
     return _merge_topk(hits, k)
 
 

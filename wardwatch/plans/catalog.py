@@ -435,6 +435,19 @@ def q_stream_cooldown(spark, sf_dir):
     return run_available(stream_cooldown(al, 60), "stream_cooldown")
 
 
+def q_triage_recommendations(spark, sf_dir):
+    """The whole agent chain on every accepted alert, with offline model stand-ins."""
+    from wardwatch.plans.triage import hashing_embedder, rule_based_replier, triage
+
+    al = alerts(spark, sf_dir)
+    sops = tb.sops(spark, sf_dir)
+    dims = len(tb.table(spark, sf_dir, "embeddings").select("embedding").first()[0])
+    recs, _ = triage(al, tb.patients(spark, sf_dir), tb.triage_events_from_alerts(al), sops,
+                     rule_based_replier, hashing_embedder(dims), model_name="rule-based")
+    return recs.select("alert_id", "patient_id", "urgency_level", "confidence_score",
+                       F.size("recommended_actions").cast("bigint").alias("n_actions"))
+
+
 def build() -> dict[str, Query]:
     return {
         "telemetry_valid": q_telemetry_valid,
@@ -484,4 +497,5 @@ def build() -> dict[str, Query]:
         "request_rate_breach": q_request_rate_breach,
         "stream_alerts": q_stream_alerts,
         "stream_cooldown": q_stream_cooldown,
+        "triage_recommendations": q_triage_recommendations,
     }
