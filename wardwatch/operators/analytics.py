@@ -13,10 +13,15 @@ def _since(as_of: Column, hours: int = 24) -> Column:
     return as_of - F.expr(f"INTERVAL {hours} HOURS")
 
 
+def _bind(df: DataFrame, as_of: Column) -> DataFrame:
+    """Evaluate ``as_of`` (often a scalar subquery) once per input instead of once per reference."""
+    return df.withColumn("_as_of", as_of)
+
+
 def recent_counts(triage_events: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """``COUNT(id)`` per patient over the trailing window (pre-aggregated before the join)."""
     return (
-        triage_events.where(F.col("created_at") > _since(as_of, hours))
+        _bind(triage_events, as_of).where(F.col("created_at") > _since(F.col("_as_of"), hours))
         .groupBy("patient_id")
         .agg(F.count("id").alias("recent_alert_count"))
     )
@@ -35,11 +40,11 @@ def patient_list(
         p = p.where(F.col("hospital_id") == hospital_id)
     if ward:
         p = p.where(F.col("ward") == ward)
-    j = p.join(recent_counts(triage_events, as_of), "patient_id", "left")
+    j = _bind(p, F.to_date(as_of)).join(recent_counts(triage_events, as_of), "patient_id", "left")
     return j.select(
         "patient_id",
         "full_name",
-        age_years(F.col("date_of_birth"), F.to_date(as_of)).alias("age_years"),
+        age_years(F.col("date_of_birth"), F.col("_as_of")).alias("age_years"),
         "gender",
         "ward",
         "bed_number",
@@ -91,7 +96,7 @@ def recent_feed(triage_events: DataFrame, page: int = 1, page_size: int = 20, se
 
 def dashboard_stats(triage_events: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """One row of trailing-window counters; one aggregation pass."""
-    t = triage_events.where(F.col("created_at") > _since(as_of, hours))
+    t = _bind(triage_events, as_of).where(F.col("created_at") > _since(F.col("_as_of"), hours))
     sev = F.col("severity")
     return t.agg(
         F.lit(schemas.DASHBOARD_PERIOD).alias("period"),

@@ -208,9 +208,8 @@ def q_trailing_24h_count(spark, sf_dir):
 def q_patient_age(spark, sf_dir):
     from wardwatch.operators.context import age_years
 
-    return tb.patients(spark, sf_dir).select(
-        "patient_id", "date_of_birth", age_years(F.col("date_of_birth"), F.to_date(as_of(spark, sf_dir))).alias("age_years")
-    )
+    p = tb.patients(spark, sf_dir).withColumn("_on", F.to_date(as_of(spark, sf_dir)))
+    return p.select("patient_id", "date_of_birth", age_years(F.col("date_of_birth"), F.col("_on")).alias("age_years"))
 
 
 def q_retrieval_query_text(spark, sf_dir):
