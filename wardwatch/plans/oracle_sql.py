@@ -369,6 +369,41 @@ chain AS (
     q["stream_cooldown"] = "WITH RECURSIVE " + stream_valid + """
 SELECT a.alert_id, a.patient_id, a.timestamp_utc FROM a JOIN chain USING (alert_id)
 WHERE a.t < (SELECT max(t) FROM a)"""
+    from wardwatch.operators import reasoning as rs
+
+    def lit(x: str) -> str:
+        return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+    nd = lit(rs.NONE_DOCUMENTED)
+    meds = MEDS_SQL.format(m="p.active_medications")
+    prompt = f"""{lit("You support the clinical team with a triage recommendation for one bedside alert.\n\n")}
+  || 'ALERT:' || chr(10) || '- Patient: ' || a.patient_id || ' | Ward: ' || a.ward || ' | Bed: ' || a.bed_number
+  || chr(10) || '- Severity: ' || a.severity
+  || chr(10) || '- Triggered rules: ' || array_to_string(a.triggered_rules, '; ')
+  || chr(10) || '- Vitals: HR ' || a.heart_rate_bpm || ' bpm, BP ' || a.systolic_bp_mmhg || '/' || a.diastolic_bp_mmhg
+  || ' mmHg, SpO2 ' || CAST(a.spo2_percent AS VARCHAR) || '%, RR ' || a.respiratory_rate_rpm || ' rpm, Temp '
+  || CAST(a.temperature_celsius AS VARCHAR) || '°C' || chr(10) || '- Nursing notes: '
+  || coalesce(a.nursing_notes, {lit(rs.NO_NOTES)}) || chr(10) || chr(10)
+  || CASE WHEN p.patient_id IS NULL THEN {lit(rs.NO_CONTEXT)} ELSE
+       'PATIENT CONTEXT:' || chr(10) || '- Name: ' || p.full_name || ', Age: '
+       || {AGE_SQL.format(on='CAST(a.timestamp_utc AS DATE)', born='p.date_of_birth')} || 'y, Gender: ' || p.gender
+       || chr(10) || '- Blood type: ' || coalesce(p.blood_type, {lit(rs.UNKNOWN)}) || ', Weight: '
+       || coalesce(CAST(CASE WHEN p.weight_kg <> 0 THEN p.weight_kg END AS VARCHAR), {lit(rs.UNKNOWN)}) || ' kg'
+       || chr(10) || '- Allergies: ' || CASE WHEN array_to_string(coalesce(p.allergies, []), ', ') = '' THEN {nd}
+            ELSE array_to_string(p.allergies, ', ') END
+       || chr(10) || '- Chronic conditions: ' || CASE WHEN array_to_string(coalesce(p.chronic_conditions, []), ', ') = ''
+            THEN {nd} ELSE array_to_string(p.chronic_conditions, ', ') END
+       || chr(10) || '- Active medications: ' || CASE WHEN {meds} = '' THEN {nd} ELSE {meds} END
+       || chr(10) || '- Triage alerts in last 24h: ' || (SELECT count(*) FROM triage_events t
+            WHERE t.patient_id = a.patient_id AND t.created_at > a.timestamp_utc - INTERVAL 24 HOURS
+              AND t.created_at < a.timestamp_utc) || chr(10) END
+  || chr(10) || 'RELEVANT CLINICAL SOPs:' || chr(10) || {lit(rs.NO_DOCS)} || chr(10) || {lit(rs.RESPONSE_CONTRACT)}"""
+    q["prompt_text"] = _w(
+        REPORT_CTE,
+        f"""SELECT alert_id, CAST(length(prompt) AS BIGINT) AS prompt_length, sha256(prompt) AS prompt_sha256 FROM (
+  SELECT a.alert_id, {prompt} AS prompt
+  FROM alerts a LEFT JOIN patients p ON p.patient_id = a.patient_id)""",
+    )
     q["stream_alerts"] = _w(
         PARSED_CTE + """,
 valid AS (SELECT coalesce(j_event_id, 'offset-' || msg_offset) AS event_id, upper(j_patient_id) AS patient_id,
