@@ -144,7 +144,11 @@ def alert_id(source_event_id: Column) -> Column:
 
 def detect_alerts(telemetry: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, keep: tuple[str, ...] = ("event_seq",)) -> DataFrame:
     """Valid telemetry -> alerts (one row per reading where a rule fired)."""
-    with_rules = telemetry.withColumn("_rules", fired_rules("vitals", rules))
+    from wardwatch.operators.validate import parse_once
+
+    # barrier: the "any rule fired" filter must stay here, not be pushed (with the
+    # whole rule array inlined) below an upstream repartition into its map side
+    with_rules = parse_once(telemetry, fired_rules("vitals", rules), "_rules")
     extra = [c for c in keep if c in telemetry.columns]
     return (
         with_rules.where(F.size("_rules") > 0)  # normal readings leave here

@@ -44,8 +44,11 @@ def parse_once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
 
 def parse_telemetry(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Tombstones dropped, JSON parsed with string leaves into ``_msg``."""
-    return parse_once(
-        raw.where(F.col(value_col).isNotNull()),
+    # a null payload parses to null (dropped as a tombstone); a malformed one
+    # to a struct carrying the corrupt record.  Filtering on the parsed column
+    # keeps the predicate above the parse barrier.
+    parsed = parse_once(
+        raw,
         F.from_json(
             F.col(value_col).cast("string"),
             schemas.RAW_TELEMETRY,
@@ -53,6 +56,7 @@ def parse_telemetry(raw: DataFrame, value_col: str = "value") -> DataFrame:
         ),
         "_msg",
     )
+    return parsed.where(F.col("_msg").isNotNull())
 
 
 def _reason(cond: Column, code: str) -> Column:
