@@ -124,6 +124,15 @@ def _merge_topk(hits: DataFrame, k: int) -> DataFrame:
 
 # --- vector search -------------------------------------------------------------
 
+MAX_CELLS = 4_000_000  # dense score cells per sub-batch (32 MB of float64)
+
+
+def _sub_batches(n_rows: int, n_cols: int):
+    step = max(1, MAX_CELLS // max(1, n_cols))
+    for lo in range(0, n_rows, step):
+        yield lo, min(n_rows, lo + step)
+
+
 def _cosine_task(k: int, arrow_schema: pa.Schema):
     def fn(batches):
         for b in batches:
@@ -133,18 +142,24 @@ def _cosine_task(k: int, arrow_schema: pa.Schema):
                     continue
                 qids = [q["query_id"] for q in qs]
                 dids = np.array([d["doc_id"] for d in ds], dtype=np.int64)
-                qm = np.array([q["vec"] for q in qs], dtype=np.float64)
+                qm_all = np.array([q["vec"] for q in qs], dtype=np.float64)
                 dm = np.array([d["vec"] for d in ds], dtype=np.float64)
-                qn = np.linalg.norm(qm, axis=1)
                 dn = np.linalg.norm(dm, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sc = (qm @ dm.T) / np.outer(qn, dn)
-                ok = np.isfinite(sc)
-                q, d, s = _topk_rows(qids, dids, np.where(ok, sc, 0.0), k, ok)
-                if q:
+                out_q, out_d, out_s = [], [], []
+                for lo, hi in _sub_batches(len(qs), len(ds)):
+                    qm = qm_all[lo:hi]
+                    qn = np.linalg.norm(qm, axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sc = (qm @ dm.T) / np.outer(qn, dn)
+                    ok = np.isfinite(sc)
+                    q, d, s_ = _topk_rows(qids[lo:hi], dids, np.where(ok, sc, 0.0), k, ok)
+                    out_q += q
+                    out_d += d
+                    out_s += s_
+                if out_q:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q, arrow_schema.field("query_id").type), pa.array(d, pa.int64()),
-                         pa.array(s, pa.float64())],
+                        [pa.array(out_q, arrow_schema.field("query_id").type), pa.array(out_d, pa.int64()),
+                         pa.array(out_s, pa.float64())],
                         schema=arrow_schema,
                     )
 
@@ -203,41 +218,58 @@ def _bm25_task(k: int, require_all: bool, arrow_schema: pa.Schema):
                 qs, ds = row["_qs"], row["_ds"]
                 if not qs or not ds:
                     continue
+                nd = len(ds)
                 dids = np.array([d["doc_id"] for d in ds], dtype=np.int64)
                 lens = [len(d["terms"]) for d in ds]
                 if sum(lens) == 0:
                     continue
-                post_doc = np.repeat(np.arange(len(ds)), lens)
+                # in-task inverted index of the block: postings sorted by term
+                post_doc = np.repeat(np.arange(nd), lens)
                 post_term = np.array([t for d in ds for t in d["terms"]], dtype=object)
                 post_w = np.array([x for d in ds for x in d["weights"]], dtype=np.float64)
                 order = np.argsort(post_term, kind="stable")
                 post_term, post_doc, post_w = post_term[order], post_doc[order], post_w[order]
                 uniq, starts = np.unique(post_term, return_index=True)
                 ends = np.append(starts[1:], len(post_term))
-                qids = [q["query_id"] for q in qs]
-                scores = np.zeros((len(qs), len(ds)), dtype=np.float64)
-                matched = np.zeros((len(qs), len(ds)), dtype=np.int32)
-                n_terms = np.zeros(len(qs), dtype=np.int32)
-                for i, q in enumerate(qs):
-                    terms = q["terms"] or []
-                    n_terms[i] = len(terms)
-                    if not terms:
-                        continue
-                    pos = np.searchsorted(uniq, np.array(terms, dtype=object))
-                    for t, p in zip(terms, pos.tolist()):
-                        if p < len(uniq) and uniq[p] == t:
-                            sl = slice(starts[p], ends[p])
-                            scores[i, post_doc[sl]] += post_w[sl]
-                            matched[i, post_doc[sl]] += 1
-                if require_all:
-                    ok = (matched == n_terms[:, None]) & (n_terms[:, None] > 0)
-                else:
-                    ok = matched > 0
-                q, d, s = _topk_rows(qids, dids, scores, k, ok)
-                if q:
+                out_q, out_d, out_s = [], [], []
+                for lo, hi in _sub_batches(len(qs), nd):
+                    sub = qs[lo:hi]
+                    nq = len(sub)
+                    qids = [q["query_id"] for q in sub]
+                    n_terms = np.array([len(q["terms"] or []) for q in sub], dtype=np.int64)
+                    q_of = np.repeat(np.arange(nq), n_terms)
+                    terms = np.array([t for q in sub for t in (q["terms"] or [])], dtype=object)
+                    scores = np.zeros(nq * nd)
+                    matched = np.zeros(nq * nd, dtype=np.int64)
+                    if len(terms):
+                        pos = np.searchsorted(uniq, terms)
+                        pc_ = np.minimum(pos, len(uniq) - 1)
+                        hit = (pos < len(uniq)) & (uniq[pc_] == terms)
+                        qi, p = q_of[hit], pc_[hit]
+                        plen = ends[p] - starts[p]
+                        if plen.sum():
+                            # term-at-a-time, vectorised: every posting of every query term,
+                            # accumulated per (query, doc) cell in query-term order
+                            rep_q = np.repeat(qi, plen)
+                            base = np.repeat(starts[p] - np.concatenate(([0], np.cumsum(plen)[:-1])), plen)
+                            idx = base + np.arange(plen.sum())
+                            cell = rep_q * nd + post_doc[idx]
+                            scores = np.bincount(cell, weights=post_w[idx], minlength=nq * nd)
+                            matched = np.bincount(cell, minlength=nq * nd)
+                    scores = scores.reshape(nq, nd)
+                    matched = matched.reshape(nq, nd)
+                    if require_all:
+                        ok = (matched == n_terms[:, None]) & (n_terms[:, None] > 0)
+                    else:
+                        ok = matched > 0
+                    q, d, s_ = _topk_rows(qids, dids, scores, k, ok)
+                    out_q += q
+                    out_d += d
+                    out_s += s_
+                if out_q:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(q, arrow_schema.field("query_id").type), pa.array(d, pa.int64()),
-                         pa.array(s, pa.float64())],
+                        [pa.array(out_q, arrow_schema.field("query_id").type), pa.array(out_d, pa.int64()),
+                         pa.array(out_s, pa.float64())],
                         schema=arrow_schema,
                     )
 
