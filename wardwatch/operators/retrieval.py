@@ -50,11 +50,31 @@ def _hits_schema(qtype: T.DataType) -> tuple[T.StructType, pa.Schema]:
 
 # --- text -------------------------------------------------------------------
 
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), TOKEN_SPLIT)
+
+
+def _is_token(word: Column) -> Column:
+    return (F.length(word) > 0) & ~word.isin(STOP_WORDS)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case word tokens without English stop words (no stemming)."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    parts = F.split(F.lower(text), TOKEN_SPLIT)
-    return F.filter(parts, lambda t: (F.length(t) > 0) & ~F.array_contains(stop, t))
+    """Lower-case word tokens without English stop words (no stemming).
+
+    A lambda ``filter`` is evaluated interpreted (outside whole-stage
+    codegen); the hot paths below use ``explode_tokens`` / ``distinct_tokens``.
+    """
+    return F.filter(_words(text), _is_token)
+
+
+def explode_tokens(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """``(key, term)`` per token occurrence: explode, then a codegen'd ``IN`` filter."""
+    return df.select(F.col(key), F.explode(_words(text)).alias("term")).where(_is_token(F.col("term")))
+
+
+def distinct_tokens(text: Column) -> Column:
+    """Distinct tokens in first-occurrence order (``array_except`` removes duplicates)."""
+    return F.array_except(_words(text), F.array(*[F.lit(w) for w in STOP_WORDS + [""]]))
 
 
 def query_text(rules: Column, vitals: Column, severity: Column) -> Column:
@@ -193,7 +213,7 @@ def bm25_index(docs: DataFrame, text: Column) -> DataFrame:
     Statistics (N, average length, document frequency) are ordinary
     aggregates; frequent terms only cost partial counts, never pairs.
     """
-    toks = docs.select(F.col("doc_id"), F.explode(tokens(text)).alias("term"))
+    toks = explode_tokens(docs, "doc_id", text)
     tf = toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     # corpus statistics: one row, attached by a broadcast equi-join on a constant key
@@ -289,7 +309,7 @@ def keyword_topk(
     (the behaviour of a plain AND full-text query); ``"any"`` keeps
     documents with at least one (OR).
     """
-    q = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    q = queries.select("query_id", distinct_tokens(F.col("text")).alias("terms"))
     n_d = _n_blocks(index, 4096, block_bytes)
     n_q = _n_blocks(q, 1024, block_bytes)
     pairs = _blocked_pairs(q, index.select("doc_id", "terms", "weights"), n_q, n_d)
