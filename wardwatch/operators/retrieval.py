@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -142,6 +143,39 @@ def _merge_topk(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+# --- Arrow -> numpy without per-element Python objects ------------------------
+
+def _blocks(batch: pa.RecordBatch):
+    """Per (chunk, block) row the element columns of ``_qs`` and ``_ds`` by name."""
+    qcol, dcol = batch.column("_qs"), batch.column("_ds")
+    for i in range(batch.num_rows):
+        q, d = qcol[i], dcol[i]
+        if not q.is_valid or not d.is_valid or len(q) == 0 or len(d) == 0:
+            continue
+        qa, da = q.values, d.values
+        yield (dict(zip([f.name for f in qa.type], qa.flatten())),
+               dict(zip([f.name for f in da.type], da.flatten())))
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _matrix(vecs: pa.Array) -> np.ndarray:
+    """Rows of a ``list<double>`` array as a dense float64 matrix (NaN-padded if ragged or null)."""
+    lens = _lengths(vecs)
+    flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    width = int(lens.max()) if len(lens) else 0
+    if vecs.null_count == 0 and (lens == width).all():
+        return flat.reshape(len(lens), width)
+    out = np.full((len(lens), width), np.nan)
+    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
+    for r in np.flatnonzero(lens):
+        out[r, : lens[r]] = flat[starts[r] : starts[r] + lens[r]]
+    out[np.asarray(vecs.is_null().to_numpy(zero_copy_only=False))] = np.nan
+    return out
+
+
 # --- vector search -------------------------------------------------------------
 
 MAX_CELLS = 4_000_000  # dense score cells per sub-batch (32 MB of float64)
@@ -156,17 +190,16 @@ def _sub_batches(n_rows: int, n_cols: int):
 def _cosine_task(k: int, arrow_schema: pa.Schema):
     def fn(batches):
         for b in batches:
-            for row in b.to_pylist():
-                qs, ds = row["_qs"], row["_ds"]
-                if not qs or not ds:
-                    continue
-                qids = [q["query_id"] for q in qs]
-                dids = np.array([d["doc_id"] for d in ds], dtype=np.int64)
-                qm_all = np.array([q["vec"] for q in qs], dtype=np.float64)
-                dm = np.array([d["vec"] for d in ds], dtype=np.float64)
+            for qs, ds in _blocks(b):
+                qids = qs["query_id"].to_pylist()
+                dids = ds["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+                qm_all = _matrix(qs["vec"])
+                dm = _matrix(ds["vec"])
+                if qm_all.shape[1] != dm.shape[1]:
+                    continue  # no defined cosine between vectors of different lengths
                 dn = np.linalg.norm(dm, axis=1)
                 out_q, out_d, out_s = [], [], []
-                for lo, hi in _sub_batches(len(qs), len(ds)):
+                for lo, hi in _sub_batches(len(qids), len(dids)):
                     qm = qm_all[lo:hi]
                     qn = np.linalg.norm(qm, axis=1)
                     with np.errstate(divide="ignore", invalid="ignore"):
@@ -234,31 +267,29 @@ def bm25_index(docs: DataFrame, text: Column) -> DataFrame:
 def _bm25_task(k: int, require_all: bool, arrow_schema: pa.Schema):
     def fn(batches):
         for b in batches:
-            for row in b.to_pylist():
-                qs, ds = row["_qs"], row["_ds"]
-                if not qs or not ds:
-                    continue
-                nd = len(ds)
-                dids = np.array([d["doc_id"] for d in ds], dtype=np.int64)
-                lens = [len(d["terms"]) for d in ds]
-                if sum(lens) == 0:
+            for qs, ds in _blocks(b):
+                dids = ds["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+                nd = len(dids)
+                lens = _lengths(ds["terms"])
+                if lens.sum() == 0:
                     continue
                 # in-task inverted index of the block: postings sorted by term
                 post_doc = np.repeat(np.arange(nd), lens)
-                post_term = np.array([t for d in ds for t in d["terms"]], dtype=object)
-                post_w = np.array([x for d in ds for x in d["weights"]], dtype=np.float64)
+                post_term = ds["terms"].flatten().to_numpy(zero_copy_only=False).astype(object)
+                post_w = ds["weights"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 order = np.argsort(post_term, kind="stable")
                 post_term, post_doc, post_w = post_term[order], post_doc[order], post_w[order]
                 uniq, starts = np.unique(post_term, return_index=True)
                 ends = np.append(starts[1:], len(post_term))
                 out_q, out_d, out_s = [], [], []
-                for lo, hi in _sub_batches(len(qs), nd):
-                    sub = qs[lo:hi]
-                    nq = len(sub)
-                    qids = [q["query_id"] for q in sub]
-                    n_terms = np.array([len(q["terms"] or []) for q in sub], dtype=np.int64)
+                all_qids = qs["query_id"].to_pylist()
+                for lo, hi in _sub_batches(len(all_qids), nd):
+                    sub_terms = qs["terms"].slice(lo, hi - lo)
+                    nq = hi - lo
+                    qids = all_qids[lo:hi]
+                    n_terms = _lengths(sub_terms)
                     q_of = np.repeat(np.arange(nq), n_terms)
-                    terms = np.array([t for q in sub for t in (q["terms"] or [])], dtype=object)
+                    terms = sub_terms.flatten().to_numpy(zero_copy_only=False).astype(object)
                     scores = np.zeros(nq * nd)
                     matched = np.zeros(nq * nd, dtype=np.int64)
                     if len(terms):
