@@ -43,3 +43,29 @@ def test_bm25_modes(spark):
     all_ = {(r.query_id, r.doc_id) for r in rt.keyword_topk(q, index, 5, "all").collect()}
     assert any_ == {(1, 1), (1, 2), (1, 3), (2, 1)}
     assert all_ == {(1, 3), (2, 1)}
+
+
+def test_matrix_from_arrow_slices_ragged_and_null():
+    import pyarrow as pa
+
+    m = rt._matrix(pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]]).slice(1, 2))
+    assert m.tolist() == [[1.0, 2.0], [3.0, 4.0]]
+    r = rt._matrix(pa.array([[1.0, 2.0], None, [3.0]]))
+    assert r[0].tolist() == [1.0, 2.0] and np.isnan(r[1]).all() and r[2, 0] == 3.0 and np.isnan(r[2, 1])
+    assert rt._lengths(pa.array([["a"], None, []])).tolist() == [1, 0, 0]
+
+
+def test_codegen_tokenizers_agree_with_reference_filter(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["The Patient, the PATIENT and a sepsis-risk: SpO2 < 90%!", "", "of the and", "Élan naïve 12 12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    ref = {r.id: r.t for r in df.select("id", rt.tokens(F.col("text")).alias("t")).collect()}
+    dist = {r.id: r.t for r in df.select("id", rt.distinct_tokens(F.col("text")).alias("t")).collect()}
+    for i, toks in ref.items():
+        assert dist[i] == list(dict.fromkeys(toks))
+    exploded = {}
+    for r in rt.explode_tokens(df, "id", F.col("text")).collect():
+        exploded.setdefault(r.id, []).append(r.term)
+    for i, toks in ref.items():
+        assert sorted(exploded.get(i, [])) == sorted(toks)
