@@ -75,3 +75,47 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if assigned is None:
         return left.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     return assigned
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, label, text)`` of at most ``per_label`` labelled rows of each label, 0 and 1.
+
+    Only ids whose crc32 modulo ``modulus`` is not ``held_out`` take part;
+    of those the ones with the smallest hash are taken, so the choice is the
+    same on every run.  Null labels don't count; of several labels of one id
+    the mean decides, from one half on for 1.  A repeated id counts once.
+    """
+    voted = (
+        labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("vote"))
+        .where("doc_id IS NOT NULL AND vote IS NOT NULL")
+        .where(crc_mod(F.col("doc_id"), modulus) != held_out)
+        .groupBy("doc_id")
+        .agg((F.avg("vote") >= 0.5).cast("int").alias("label"))
+    )
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = [voted.where(F.col("label") == x).orderBy(order, "doc_id").limit(per_label) for x in (0, 1)]
+    chosen = cut_lineage(chosen[0].union(chosen[1]))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+
+
+def fit_logistic(rows: list[list[int]], labels: list[int], n_features: int, rounds: int = 300, ridge: float = 0.02):
+    """Weights and intercept of a class-balanced logistic regression on 0/1 features, by accelerated full-batch descent."""
+    import numpy as np
+
+    y = np.asarray(labels, float)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.fromiter((x for r in rows for x in r), np.int64, len(row))
+    pos = y.sum()
+    if not 0 < pos < len(y):
+        return np.zeros(n_features), -4.0 if pos == 0 else 4.0
+    share = np.where(y == 1, 0.5 / pos, 0.5 / (len(y) - pos))
+    w, b, grads = np.zeros(n_features), 0.0, np.full(n_features + 1, 1e-8)
+    for _ in range(rounds):
+        z = b + np.bincount(row, w[col], len(y))
+        g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        step = np.append(np.bincount(col, g[row], n_features) + ridge * w / len(y), g.sum())
+        grads += step**2
+        move = 0.5 * step / np.sqrt(grads)
+        w, b = w - move[:-1], b - move[-1]
+    return w, float(b)

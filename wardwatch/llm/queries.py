@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwatch.llm import exact_dedup, simhash_golay
+from wardwatch.llm import exact_dedup, mbs_packing, mix_flow, simhash_golay, toxicity
+
+#: Weights of the sources in code point order, repeating.
+MIX_WEIGHTS = (5.0, 2.0, 1.0)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +22,24 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_flow.mix_words(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
+def op6_mbs_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mbs_packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_golay, op8_exact_dedup)}
+    return {f.__name__: f for f in (op3_simhash_golay, op5_mix_flow, op6_mbs_packing, op7_toxicity, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
