@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwatch.llm import exact_dedup, mbs_packing, mix_flow, simhash_golay, toxicity
+from wardwatch.llm import exact_dedup, mbs_packing, mix_flow, pii_disclosure, quality_fm, quality_rules, simhash_golay, toxicity
 
 #: Weights of the sources in code point order, repeating.
 MIX_WEIGHTS = (5.0, 2.0, 1.0)
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_disclosure.find(_table(spark, sf_dir, "documents"))
+
+
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash_golay.near_classes(_table(spark, sf_dir, "documents"), width=3, max_bits=3)
     return classes.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,8 +46,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_golay, op5_mix_flow, op6_mbs_packing, op7_toxicity, op8_exact_dedup)}
+    found = (op1_pii_disclosure, op2_quality_fm, op3_simhash_golay, op5_mix_flow, op6_mbs_packing, op7_toxicity, op8_exact_dedup, op9_quality_rules)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
