@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwatch.llm import exact_dedup, mbs_packing, mix_flow, pii_disclosure, quality_fm, quality_rules, simhash_golay, toxicity
+from wardwatch.llm import exact_dedup, mbs_packing, mix_flow, pii_disclosure, quality_fm, quality_rules, quote_links, simhash_golay, token_rollup, toxicity
+from wardwatch.session import cut_lineage, ensure_checkpoint_dir
 
 #: Weights of the sources in code point order, repeating.
 MIX_WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,6 +32,19 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted with estimates (a token for four characters), then revised to true counts; both batches are sent twice."""
+    true = cut_lineage(token_rollup.count_tokens(_table(spark, sf_dir, "documents"), token_rollup.public_vocabularies()).drop("doc_id"))
+    docs = _table(spark, sf_dir, "documents").select("source", "lang", F.coalesce(F.ceil(F.length("text") / 4), F.lit(0)).alias("tokens"))
+    versions = F.explode(F.array(*map(F.lit, token_rollup.public_vocabularies()))).alias("version")
+    estimated = cut_lineage(docs.select("source", "lang", versions, "tokens"))
+    rollup = token_rollup.Rollup(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+    for _ in range(2):
+        rollup.commit("estimates", token_rollup.delta(new=estimated))
+        rollup.commit("true-counts", token_rollup.delta(new=true, old=estimated))
+    return rollup.totals()
+
+
 def op5_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_flow.mix_words(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -52,8 +67,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.rendered(quote_links.format_chats(_table(spark, sf_dir, "conversations")))
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii_disclosure, op2_quality_fm, op3_simhash_golay, op5_mix_flow, op6_mbs_packing, op7_toxicity, op8_exact_dedup, op9_quality_rules)
+    found = (op1_pii_disclosure, op2_quality_fm, op3_simhash_golay, op4_token_rollup, op5_mix_flow, op6_mbs_packing, op7_toxicity, op8_exact_dedup, op9_quality_rules, op10_quote_links)
     return {f.__name__: f for f in found}
 
 
