@@ -53,6 +53,13 @@ def test_decision_list():
     assert quality_rules.learn(rows, [False] * 900) == []
 
 
+def test_rules_as_one_expression(spark):
+    one, two = quality_rules.Test("a", True, 5.0), quality_rules.Test("b", False, 1.0)
+    df = spark.createDataFrame([(6.0, 9.0), (5.0, 1.0), (0.0, 1.0), (0.0, 2.0)], "a double, b double")
+    for rules, kept in (([(one, two)], [True, False, True, True]), ([(one,), (two,)], [False, False, False, True]), ([], [True] * 4)):
+        assert [r.kept for r in df.select(quality_rules.as_column(rules).alias("kept")).collect()] == kept
+
+
 def test_sum_of_squares_identity():
     machine = quality_fm.Machine(20)
     machine.w, machine.b = np.arange(20) / 7, 0.3

@@ -194,7 +194,7 @@ def as_column(rules: list[tuple[Test, ...]]) -> Column:
         holds = rule[0].column()
         for t in rule[1:]:
             holds = holds & t.column()
-        verdict = (verdict or F).when(holds, F.lit(False))
+        verdict = (F if verdict is None else verdict).when(holds, F.lit(False))
     return verdict.otherwise(F.lit(True)) if verdict is not None else F.lit(True)
 
 
