@@ -35,8 +35,8 @@ CASES = [
     ({"heart_rate_bpm": 100, "systolic_bp_mmhg": 99, "diastolic_bp_mmhg": 60, "spo2_percent": 94.9}, [], None),
     ({"heart_rate_bpm": 101, "systolic_bp_mmhg": 99, "diastolic_bp_mmhg": 60, "spo2_percent": 94.9,
       "respiratory_rate_rpm": 21}, ["R8", "R9"], "CRITICAL"),
-    ({"heart_rate_bpm": 132, "systolic_bp_mmhg": 84, "diastolic_bp_mmhg": 52, "spo2_percent": 89.0,
-      "respiratory_rate_rpm": 28, "temperature_celsius": 39.1}, ["R8", "R9", "R1", "R3", "R4", "R6", "R7"], "CRITICAL"),
+    ({"heart_rate_bpm": 127, "systolic_bp_mmhg": 79, "diastolic_bp_mmhg": 47, "spo2_percent": 87.5,
+      "respiratory_rate_rpm": 31, "temperature_celsius": 40.2}, ["R8", "R9", "R1", "R3", "R4", "R6", "R7"], "CRITICAL"),
 ]
 
 
@@ -69,8 +69,8 @@ def test_golden_rule_rows(evaluated, i):
 
 def test_sirs_text(evaluated):
     row = evaluated[str(len(CASES) - 1)]
-    assert row.triggered_rules[1] == "R9 SIRS (3/3 criteria): Temp=39.1°C, HR=132 bpm, RR=28 rpm"
-    assert row.triggered_rules[0] == "R8 SHOCK PATTERN: HR=132 bpm, SBP=84 mmHg, SpO2=89.0%"
+    assert row.triggered_rules[1] == "R9 SIRS (3/3 criteria): Temp=40.2°C, HR=127 bpm, RR=31 rpm"
+    assert row.triggered_rules[0] == "R8 SHOCK PATTERN: HR=127 bpm, SBP=79 mmHg, SpO2=87.5%"
 
 
 def test_alert_id_is_deterministic(evaluated):

@@ -269,9 +269,9 @@ r5 AS (SELECT *,
            '[{{"priority":"INTEGER","action":"VARCHAR","rationale":"VARCHAR","time_window":"VARCHAR"}}]') AS actions,
          TRY_CAST(json_extract_string(pj, '$.confidence_score') AS DOUBLE) AS confidence_score FROM r4),
 r6 AS (SELECT *, CASE
-         WHEN raw IS NULL THEN 'JSON parse error'
-         WHEN NOT first_ok AND fixed IS NULL THEN 'No closing brace found - JSON unrecoverable'
-         WHEN pj IS NULL THEN 'JSON parse error'
+         WHEN raw IS NULL THEN 'reply_not_json'
+         WHEN NOT first_ok AND fixed IS NULL THEN 'reply_not_closed'
+         WHEN pj IS NULL THEN 'reply_not_json'
          WHEN urgency_level IS NULL THEN 'missing required key: urgency_level'
          WHEN clinical_summary IS NULL THEN 'missing required key: clinical_summary'
          WHEN primary_concern IS NULL THEN 'missing required key: primary_concern'
@@ -374,30 +374,36 @@ WHERE a.t < (SELECT max(t) FROM a)"""
     def lit(x: str) -> str:
         return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
-    nd = lit(rs.NONE_DOCUMENTED)
+    def line(name: str, value: str) -> str:
+        return f"'{name}=' || coalesce(nullif(CAST({value} AS VARCHAR), ''), '?') || chr(10)"
+
     meds = MEDS_SQL.format(m="p.active_medications")
-    prompt = f"""{lit("You support the clinical team with a triage recommendation for one bedside alert.\n\n")}
-  || 'ALERT:' || chr(10) || '- Patient: ' || a.patient_id || ' | Ward: ' || a.ward || ' | Bed: ' || a.bed_number
-  || chr(10) || '- Severity: ' || a.severity
-  || chr(10) || '- Triggered rules: ' || array_to_string(a.triggered_rules, '; ')
-  || chr(10) || '- Vitals: HR ' || a.heart_rate_bpm || ' bpm, BP ' || a.systolic_bp_mmhg || '/' || a.diastolic_bp_mmhg
-  || ' mmHg, SpO2 ' || CAST(a.spo2_percent AS VARCHAR) || '%, RR ' || a.respiratory_rate_rpm || ' rpm, Temp '
-  || CAST(a.temperature_celsius AS VARCHAR) || '°C' || chr(10) || '- Nursing notes: '
-  || coalesce(a.nursing_notes, {lit(rs.NO_NOTES)}) || chr(10) || chr(10)
-  || CASE WHEN p.patient_id IS NULL THEN {lit(rs.NO_CONTEXT)} ELSE
-       'PATIENT CONTEXT:' || chr(10) || '- Name: ' || p.full_name || ', Age: '
-       || {AGE_SQL.format(on='CAST(a.timestamp_utc AS DATE)', born='p.date_of_birth')} || 'y, Gender: ' || p.gender
-       || chr(10) || '- Blood type: ' || coalesce(p.blood_type, {lit(rs.UNKNOWN)}) || ', Weight: '
-       || coalesce(CAST(CASE WHEN p.weight_kg <> 0 THEN p.weight_kg END AS VARCHAR), {lit(rs.UNKNOWN)}) || ' kg'
-       || chr(10) || '- Allergies: ' || CASE WHEN array_to_string(coalesce(p.allergies, []), ', ') = '' THEN {nd}
-            ELSE array_to_string(p.allergies, ', ') END
-       || chr(10) || '- Chronic conditions: ' || CASE WHEN array_to_string(coalesce(p.chronic_conditions, []), ', ') = ''
-            THEN {nd} ELSE array_to_string(p.chronic_conditions, ', ') END
-       || chr(10) || '- Active medications: ' || CASE WHEN {meds} = '' THEN {nd} ELSE {meds} END
-       || chr(10) || '- Triage alerts in last 24h: ' || (SELECT count(*) FROM triage_events t
-            WHERE t.patient_id = a.patient_id AND t.created_at > a.timestamp_utc - INTERVAL 24 HOURS
-              AND t.created_at < a.timestamp_utc) || chr(10) END
-  || chr(10) || 'RELEVANT CLINICAL SOPs:' || chr(10) || {lit(rs.NO_DOCS)} || chr(10) || {lit(rs.RESPONSE_CONTRACT)}"""
+    person = " || ".join([
+        line("allergic_to", "array_to_string(p.allergies, ', ')"),
+        line("takes", meds),
+        line("conditions", "array_to_string(p.chronic_conditions, ', ')"),
+        line("alerts_past_day", """(SELECT count(*) FROM triage_events t WHERE t.patient_id = a.patient_id
+            AND t.created_at > a.timestamp_utc - INTERVAL 24 HOURS AND t.created_at < a.timestamp_utc)"""),
+        line("age", AGE_SQL.format(on="CAST(a.timestamp_utc AS DATE)", born="p.date_of_birth")),
+        line("sex", "p.gender"),
+        line("weight_kg", "CASE WHEN p.weight_kg <> 0 THEN p.weight_kg END"),
+        line("blood", "p.blood_type"),
+        line("name", "p.full_name"),
+    ])
+    bedside = " || ".join([
+        "array_to_string(list_transform(a.triggered_rules, lambda r: 'fired=' || r || chr(10)), '')",
+        line("severity", "a.severity"),
+        line("temp_c", "a.temperature_celsius"),
+        line("resp_per_min", "a.respiratory_rate_rpm"),
+        line("spo2_pct", "a.spo2_percent"),
+        line("pulse_per_min", "a.heart_rate_bpm"),
+        line("pressure_mmhg", "a.systolic_bp_mmhg || ' over ' || a.diastolic_bp_mmhg"),
+        line("nurse_wrote", "a.nursing_notes"),
+        line("bed", "a.bed_number || ' in ' || a.ward"),
+        line("patient_id", "a.patient_id"),
+    ])
+    prompt = f"""{lit(rs.INTRO + chr(10) + rs.RESPONSE_CONTRACT + chr(10))} || 'protocol=none' || chr(10)
+  || CASE WHEN p.patient_id IS NULL THEN 'record=missing' || chr(10) ELSE {person} END || {bedside}"""
     q["prompt_text"] = _w(
         REPORT_CTE,
         f"""SELECT alert_id, CAST(length(prompt) AS BIGINT) AS prompt_length, sha256(prompt) AS prompt_sha256 FROM (

@@ -90,8 +90,8 @@ def rule_based_replier(prompts: list[str]) -> list[str]:
     for p in prompts:
         sev = "MEDIUM"
         for line in p.splitlines():
-            if line.startswith("- Severity: "):
-                sev = line.split(": ", 1)[1].strip()
+            if line.startswith("severity="):
+                sev = line.split("=", 1)[1].strip()
         urgency = {"CRITICAL": "IMMEDIATE", "HIGH": "URGENT", "MEDIUM": "SEMI_URGENT"}.get(sev, "NON_URGENT")
         out.append(
             json.dumps(

@@ -14,29 +14,29 @@ is an equi-join of documents with their vectors.
 
 from __future__ import annotations
 
-# --- FIXED VALUES: fixture parameters ---------------------------------------
-# profile per events.event_type (others -> normal)
-PROFILE_OF_EVENT_TYPE = [("error", "deteriorating"), ("signup", "critical"), ("purchase", "elevated")]
-PROFILES = ["deteriorating", "critical", "elevated", "normal"]
-# inclusive generator ranges; SpO2 and temperature are in tenths
+# --- fixture parameters (chosen for this library) ------------------------------
+# profile per events.event_type (others -> steady)
+PROFILE_OF_EVENT_TYPE = [("error", "infected"), ("signup", "bleeding"), ("purchase", "pressure")]
+PROFILES = ["infected", "bleeding", "pressure", "steady"]
+# inclusive ranges; SpO2 and temperature are in tenths
 PROFILE_RANGES = {
-    #                 HR          SBP        DBP       SpO2x10      RR        Tx10
-    "deteriorating": [(118, 145), (72, 92), (45, 60), (870, 930), (26, 36), (386, 399)],
-    "critical": [(98, 118), (88, 108), (56, 70), (900, 945), (19, 25), (376, 384)],
-    "elevated": [(82, 102), (132, 158), (86, 98), (945, 980), (15, 21), (365, 374)],
-    "normal": [(60, 88), (112, 132), (70, 84), (965, 995), (12, 18), (362, 371)],
+    #            HR          SBP         DBP        SpO2x10     RR        Tx10
+    "infected": [(99, 134), (81, 109), (41, 64), (855, 949), (20, 35), (377, 407)],
+    "bleeding": [(94, 129), (74, 103), (36, 59), (911, 961), (16, 28), (349, 368)],
+    "pressure": [(69, 97), (151, 189), (89, 113), (933, 972), (13, 24), (361, 381)],
+    "steady": [(51, 86), (103, 141), (58, 79), (949, 999), (10, 17), (358, 375)],
 }
 # value = low + (event_id * p + user_id * q) % span, per vital in the order above
 VITAL_MULTIPLIERS = [(7919, 31), (104729, 17), (1299709, 13), (15485863, 7), (32452843, 5), (49979687, 3)]
 WARDS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 NOTE_TEXTS = [
-    "Patient reports chest tightness",
-    "Appears drowsy, responds to voice",
-    "Skin clammy and pale",
-    "Refused evening medication",
-    "Complains of shortness of breath",
-    "Family at bedside, patient anxious",
-    "Wound dressing changed, no discharge",
+    "Slept badly, asks for water",
+    "Cannula replaced in left arm",
+    "Walked to the window with help",
+    "Dinner untouched",
+    "Dizzy on sitting up",
+    "Relatives called twice",
+    "Drain emptied, 40 ml",
 ]
 BLOOD_TYPES = ["A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-"]
 ALLERGIES = ["penicillin", "latex", "sulfa", "iodine"]
@@ -70,7 +70,7 @@ def _case_index(expr: str, values: list[str], default: str = "NULL") -> str:
 
 def _profile_expr() -> str:
     whens = " ".join(f"WHEN {_q(t)} THEN {PROFILES.index(p)}" for t, p in PROFILE_OF_EVENT_TYPE)
-    return f"CASE event_type {whens} ELSE {PROFILES.index('normal')} END"
+    return f"CASE event_type {whens} ELSE {PROFILES.index('steady')} END"
 
 
 def _vital_raw(i: int) -> str:
