@@ -69,9 +69,18 @@ def event_summary(triage_events: DataFrame) -> DataFrame:
     )
 
 
+#: Most rows that one page or history may ask for.
+MAX_PAGE = 100
+
+
+def _check_range(name: str, value: int, low: int, high: int | None = None) -> None:
+    if value < low or (high is not None and value > high):
+        raise ValueError(f"{name} must be at least {low}" + (f" and at most {high}" if high is not None else ""))
+
+
 def patient_history(triage_events: DataFrame, patient_id: str, limit: int = 10) -> DataFrame:
-    """Newest ``limit`` (1..100) events of one patient; ``id`` breaks ties."""
-    limit = max(1, min(100, int(limit)))
+    """Newest ``limit`` events of one patient; ``id`` breaks ties. Raises outside 1..100."""
+    _check_range("limit", limit, 1, MAX_PAGE)
     rows = triage_events.where(F.col("patient_id") == F.upper(F.lit(patient_id)))
     return event_summary(rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit))
 
@@ -83,9 +92,9 @@ def _feed_filter(triage_events: DataFrame, severity: str | None) -> DataFrame:
 
 
 def recent_feed(triage_events: DataFrame, page: int = 1, page_size: int = 20, severity: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(page of items newest first, one-row total)."""
-    page = max(1, int(page))
-    page_size = max(1, min(100, int(page_size)))
+    """(page of items newest first, one-row total). Raises for a page below 1 or a size outside 1..100."""
+    _check_range("page", page, 1)
+    _check_range("page_size", page_size, 1, MAX_PAGE)
     rows = _feed_filter(triage_events, severity)
     items = event_summary(
         rows.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * page_size).limit(page_size)

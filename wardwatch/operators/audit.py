@@ -41,6 +41,12 @@ def append_audit(batch: DataFrame, target_path: str, key: str = "alert_id", orde
     return 0
 
 
-def load_new_documents(corpus: DataFrame, existing: DataFrame, key: str = "title", order: list[str] | None = None) -> DataFrame:
-    """Documents of ``corpus`` whose natural key is not stored yet (first per key)."""
-    return insert_if_absent(corpus, existing, key, order or ["id"])
+def load_new_documents(corpus: DataFrame, existing: DataFrame, text: str = "content", order: list[str] | None = None) -> DataFrame:
+    """Documents of ``corpus`` whose whole text is not stored yet (first per text).
+
+    Texts are compared by SHA-256; a null text is a text of its own.
+    """
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_text_key", F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")))
+
+    return insert_if_absent(keyed(corpus), keyed(existing), "_text_key", order or ["id"]).drop("_text_key")

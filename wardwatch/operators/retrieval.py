@@ -193,22 +193,24 @@ def _cosine_task(k: int, arrow_schema: pa.Schema):
             for qs, ds in _blocks(b):
                 qids = qs["query_id"].to_pylist()
                 dids = ds["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
-                qm_all = _matrix(qs["vec"])
-                dm = _matrix(ds["vec"])
-                if qm_all.shape[1] != dm.shape[1]:
-                    continue  # no defined cosine between vectors of different lengths
-                dn = np.linalg.norm(dm, axis=1)
                 out_q, out_d, out_s = [], [], []
-                for lo, hi in _sub_batches(len(qids), len(dids)):
-                    qm = qm_all[lo:hi]
-                    qn = np.linalg.norm(qm, axis=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sc = (qm @ dm.T) / np.outer(qn, dn)
-                    ok = np.isfinite(sc)
-                    q, d, s_ = _topk_rows(qids[lo:hi], dids, np.where(ok, sc, 0.0), k, ok)
-                    out_q += q
-                    out_d += d
-                    out_s += s_
+                q_len, d_len = _lengths(qs["vec"]), _lengths(ds["vec"])
+                # a cosine is defined between vectors of one length only, so each length is scored by itself
+                for width in np.intersect1d(q_len[q_len > 0], d_len[d_len > 0]):
+                    q_at, d_at = np.flatnonzero(q_len == width), np.flatnonzero(d_len == width)
+                    qm_all = _matrix(qs["vec"].take(pa.array(q_at)))
+                    dm = _matrix(ds["vec"].take(pa.array(d_at)))
+                    dn = np.linalg.norm(dm, axis=1)
+                    for lo, hi in _sub_batches(len(q_at), len(d_at)):
+                        qm = qm_all[lo:hi]
+                        qn = np.linalg.norm(qm, axis=1)
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            sc = (qm @ dm.T) / np.outer(qn, dn)
+                        ok = np.isfinite(sc)
+                        q, d, s_ = _topk_rows([qids[i] for i in q_at[lo:hi]], dids[d_at], np.where(ok, sc, 0.0), k, ok)
+                        out_q += q
+                        out_d += d
+                        out_s += s_
                 if out_q:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out_q, arrow_schema.field("query_id").type), pa.array(out_d, pa.int64()),
@@ -229,6 +231,8 @@ def vector_topk(
     """``queries(query_id, vec)`` x ``docs(doc_id, vec)`` -> ``(query_id, doc_id, score, rank)``.
 
     ``dims`` only sizes the blocks (bytes per row); any vector length works.
+    Vectors of different lengths, empty, null and zero vectors have no cosine:
+    such pairs get no score, whatever block their rows fall into.
     """
     n_d = _n_blocks(docs, dims * 8 + 16, block_bytes)
     n_q = _n_blocks(queries, dims * 8 + 16, block_bytes)

@@ -27,6 +27,7 @@ NOTES_TOO_LONG = "nursing_notes_too_long"
 BAD_TIMESTAMP = "bad_timestamp"
 BAD_BOOLEAN = "bad_boolean:is_simulated"
 
+NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 REQUIRED_TEXT_FIELDS = ["patient_id", "hospital_id", "ward", "bed_number"]
 
 
@@ -72,7 +73,9 @@ def validate_telemetry(
 
     Adds the typed telemetry columns plus ``rejection_reasons``
     (``array<string>``, empty for a valid row).  Defaults: ``event_id`` is
-    ``offset-<offset>``, ``timestamp_utc`` the broker receive time,
+    ``offset-<offset>``, led by topic and partition where the input has the
+    columns ``msg_topic`` and ``msg_partition`` (an offset alone is unique in
+    one partition only), ``timestamp_utc`` the broker receive time,
     ``is_simulated`` false.
 
     Three staged projections (texts -> numbers -> reasons) so that every
@@ -89,11 +92,19 @@ def validate_telemetry(
     )
     stage2 = stage1.select(
         "*",
-        *[F.expr(f"try_cast(_t_{n} AS DOUBLE)").alias(f"_d_{n}") for n in schemas.VITAL_NAMES],
+        # the pattern keeps out what a cast takes beside plain numbers ("120d", "120f", "Infinity")
+        *[
+            F.when(F.col(f"_t_{n}").rlike(NUMBER_TEXT), F.expr(f"try_cast(_t_{n} AS DOUBLE)")).alias(f"_d_{n}")
+            for n in schemas.VITAL_NAMES
+        ],
         F.expr("try_cast(try_cast(_j_timestamp_utc AS TIMESTAMP) AS TIMESTAMP_NTZ)").alias("_ts"),
         F.lower("_j_is_simulated").alias("_sim"),
     )
 
+    place = [c for c in ("msg_topic", "msg_partition") if c in parsed.columns]
+    default_id = F.concat(F.lit("offset-"), *[x for c in place for x in (F.col(c).cast("string"), F.lit("-"))],
+                          F.col(offset_col).cast("string"))
+
     bad = F.col("_bad_json")
     has_v = F.col("_has_vitals")
     reasons: list[Column] = [_reason(bad, MALFORMED)]
@@ -143,7 +154,7 @@ def validate_telemetry(
 
     out = stage2.select(
         *parsed.columns,
-        F.coalesce(F.col("_j_event_id"), F.concat(F.lit("offset-"), F.col(offset_col).cast("string"))).alias("event_id"),
+        F.coalesce(F.col("_j_event_id"), default_id).alias("event_id"),
         F.upper(pid).alias("patient_id"),
         F.col("_j_hospital_id").alias("hospital_id"),
         F.col("_j_ward").alias("ward"),

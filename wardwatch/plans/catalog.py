@@ -226,7 +226,8 @@ def q_keyword_terms(spark, sf_dir):
 
 
 def _sop_vectors(spark, sf_dir):
-    return tb.sops(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
+    vectors = tb.sops(spark, sf_dir).where(F.col("embedding").isNotNull())
+    return vectors.select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
 
 
 def _sop_index(spark, sf_dir):
@@ -265,7 +266,8 @@ def q_rrf_top3(spark, sf_dir):
 
     vec = _sop_vectors(spark, sf_dir)
     v_hits = vector_topk(vec.withColumnRenamed("doc_id", "query_id"), vec, k=5)
-    texts = tb.sops(spark, sf_dir).select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "content").alias("text"))
+    asked = tb.sops(spark, sf_dir).where(F.col("embedding").isNotNull())  # a fused query has a vector and a text
+    texts = asked.select(F.col("id").alias("query_id"), F.concat_ws(" ", "title", "content").alias("text"))
     k_hits = keyword_topk(texts, _sop_index(spark, sf_dir), k=5, match="any")
     fused = rrf_fuse(v_hits, k_hits, k_final=3)
     return fused.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "relevance_score", "retrieval_method")
@@ -326,7 +328,7 @@ def q_corpus_incremental_load(spark, sf_dir):
         tb.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id"
     )
     stored = docs.where(F.col("lang") == "en")
-    return load_new_documents(docs.select("id", "title", "category"), stored.select("title")).select("id", "title", "category")
+    return load_new_documents(docs.select("id", "title", "category", "content"), stored.select("content")).select("id", "title", "category")
 
 
 def _recommendations(spark, sf_dir):

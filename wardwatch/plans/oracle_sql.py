@@ -455,10 +455,10 @@ WHERE NOT EXISTS (SELECT 1 FROM triage_events s
     )
     q["corpus_incremental_load"] = _w(
         f"""sops AS ({SOPS}),
-docs AS (SELECT s.id, s.title, s.category, d.lang FROM sops s JOIN documents d ON d.doc_id = s.id),
-firsts AS (SELECT min(id) AS id FROM docs GROUP BY title)""",
+docs AS (SELECT s.id, s.title, s.category, s.content, d.lang FROM sops s JOIN documents d ON d.doc_id = s.id),
+firsts AS (SELECT min(id) AS id FROM docs GROUP BY content)""",
         """SELECT d.id, d.title, d.category FROM docs d JOIN firsts USING (id)
-WHERE NOT EXISTS (SELECT 1 FROM docs e WHERE e.lang = 'en' AND e.title = d.title)""",
+WHERE NOT EXISTS (SELECT 1 FROM docs e WHERE e.lang = 'en' AND e.content IS NOT DISTINCT FROM d.content)""",
     )
     q["retrieval_query_text"] = _w(
         ALERTS_CTE,
@@ -484,8 +484,8 @@ FROM alerts""",
         )
     q["rrf_top3"] = _w(
         BM25_CTE + ",\n"
-        + _vector_sql("SELECT id AS query_id, embedding AS vec FROM sops") + ",\n"
-        + _keyword_sql("SELECT id AS query_id, title || ' ' || content AS text FROM sops", False)
+        + _vector_sql("SELECT id AS query_id, embedding AS vec FROM sops WHERE embedding IS NOT NULL") + ",\n"
+        + _keyword_sql("SELECT id AS query_id, title || ' ' || content AS text FROM sops WHERE embedding IS NOT NULL", False)
         + """,
 u AS (SELECT query_id, doc_id, rank AS v_rank, CAST(NULL AS BIGINT) AS k_rank FROM vh
       UNION ALL SELECT query_id, doc_id, NULL, rank FROM kw),

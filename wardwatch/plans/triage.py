@@ -50,7 +50,7 @@ def triage(
     q = ctx.select("alert_id", query_text(F.col("triggered_rules"), F.col("vitals_snapshot"), F.col("severity")).alias("text"))
     qv = embed(q, "text", embed_fn, "vec")
 
-    doc_vecs = docs.select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
+    doc_vecs = docs.where(F.col("embedding").isNotNull()).select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
     v_hits = vector_topk(qv.select(F.col("alert_id").alias("query_id"), "vec"), doc_vecs, k_each)
     index = bm25_index(docs.select(F.col("id").alias("doc_id"), "title", "content"), F.concat_ws(" ", "title", "content"))
     k_hits = keyword_topk(q.select(F.col("alert_id").alias("query_id"), "text"), index, k_each, match)

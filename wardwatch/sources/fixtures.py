@@ -8,8 +8,8 @@ map literals), so the Spark inputs and the oracle's inputs are the same
 tables by construction.  The operators under test never use these
 expressions; they are written independently with the DataFrame API.
 
-All derivations are projections (no join, no shuffle) except ``sops`` which
-is an equi-join of documents with their vectors.
+All derivations are projections (no join, no shuffle) except ``sops``: all
+documents, left-joined to the vectors that some of them have.
 """
 
 from __future__ import annotations
@@ -223,7 +223,7 @@ def sops_select_sql(dialect: str) -> str:
     return (
         "SELECT d.doc_id AS id, substr(d.text, 1, 60) AS title, d.source AS category, "
         f"{_arr(dialect, ['d.lang'])} AS tags, d.text AS content, e.embedding AS embedding "
-        "FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id"
+        "FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id"
     )
 
 

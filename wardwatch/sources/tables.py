@@ -63,8 +63,8 @@ def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Protocol documents with vectors (documents joined to embeddings)."""
-    sql = fx.sops_select_sql(fx.SPARK).replace("FROM documents d JOIN embeddings e", "FROM {documents} d JOIN {embeddings} e")
+    """All protocol documents; ``embedding`` is null where a document has no vector."""
+    sql = fx.sops_select_sql(fx.SPARK).replace("FROM documents d LEFT JOIN embeddings e", "FROM {documents} d LEFT JOIN {embeddings} e")
     return _derive(
         spark, sql, documents=table(spark, sf_dir, "documents"), embeddings=table(spark, sf_dir, "embeddings")
     )

@@ -39,7 +39,8 @@ def kafka_reader(spark: SparkSession, servers: str, topic: str, **options: str)
     for k, v in options.items():
         reader = reader.option(k, v)
     return reader.load().selectExpr(
-        "offset AS msg_offset", "CAST(timestamp AS TIMESTAMP_NTZ) AS received_at", "CAST(value AS STRING) AS value"
+        "topic AS msg_topic", "partition AS msg_partition", "offset AS msg_offset",
+        "CAST(timestamp AS TIMESTAMP_NTZ) AS received_at", "CAST(value AS STRING) AS value"
     )
 
 
