@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Deterministic de-duplication: the first row per key in ``order`` (hash aggregate, no sort)."""
+    """Deterministic de-duplication: the first row per key in ``order`` (partial aggregate before the shuffle)."""
     cols = [c for c in df.columns]
     best = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return best.select("_r.*")
@@ -25,20 +27,43 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str = "alert_id
     return dedup.join(existing.select(key), key, "left_anti")
 
 
-def append_audit(batch: DataFrame, target_path: str, key: str = "alert_id", order: list[str] | None = None) -> int:
-    """``foreachBatch`` body: append only new keys to a parquet audit table.
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table at ``path``; empty if there is none yet. Any other read error is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def append_audit(
+    batch: DataFrame, target_path: str, key: str = "alert_id", order: list[str] | None = None, time: str | None = None
+) -> int:
+    """``foreachBatch`` body: append only new keys to a parquet audit table; returns the number of rows appended.
 
     Re-running a micro-batch after a failure appends nothing twice: the
-    anti-join sees the rows of the first attempt.
+    anti-join sees the rows of the first attempt.  With ``time`` the table is
+    partitioned by that column's date (``audit_day``) and only the batch's
+    range of dates is searched; a key must then always come with one date.
     """
     spark = batch.sparkSession
-    try:
-        existing = spark.read.parquet(target_path)
-    except Exception:  # first write: no table yet
-        existing = spark.createDataFrame([], batch.select(key).schema)
-    new_rows = insert_if_absent(batch, existing, key, order)
-    new_rows.write.mode("append").parquet(target_path)
-    return 0
+    if time is not None:
+        batch = batch.withColumn("audit_day", F.to_date(time))
+    existing = stored(spark, target_path, batch.schema)
+    if time is not None:
+        first, last = batch.agg(F.min("audit_day"), F.max("audit_day")).first()
+        if first is None and batch.isEmpty():
+            return 0
+        in_range = F.col("audit_day").isNull()  # rows without a time
+        if first is not None:
+            in_range |= F.col("audit_day").between(F.lit(first), F.lit(last))
+        existing = existing.where(in_range)
+    seen = Observation()
+    new_rows = insert_if_absent(batch, existing, key, order).observe(seen, F.count(F.lit(1)).alias("n"))
+    writer = new_rows.write.mode("append")
+    (writer.partitionBy("audit_day") if time is not None else writer).parquet(target_path)
+    return seen.get["n"]
 
 
 def load_new_documents(corpus: DataFrame, existing: DataFrame, text: str = "content", order: list[str] | None = None) -> DataFrame:

@@ -72,29 +72,34 @@ def display_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def live_counts(alerts: DataFrame, acks: DataFrame) -> DataFrame:
-    """Alerts per patient since the patient was last acknowledged; red when > 0.
+def live_counts(alerts: DataFrame, acks: DataFrame, patients: DataFrame) -> DataFrame:
+    """Per patient of ``patients`` the alerts since the last acknowledgement; red when > 0.
 
-    ``acks(patient_id, acked_at)`` has one row per patient; it is joined to
-    the alerts by key (shuffle or broadcast chosen by the optimizer) and the
-    count is a partial aggregate.
+    A patient without alerts has 0; an alert of an unknown patient counts
+    nowhere.  ``acks(patient_id, acked_at)`` has one row per patient.  Alerts
+    are counted before they meet the patients, and the acknowledgement is
+    compared there: per patient and time first, so the joins carry counts.
     """
-    j = alerts.select("patient_id", "timestamp_utc").join(acks, "patient_id", "left")
-    live = j.where(F.col("acked_at").isNull() | (F.col("timestamp_utc") > F.col("acked_at")))
-    counts = live.groupBy("patient_id").agg(F.count(F.lit(1)).alias("live_count"))
-    patients = alerts.select("patient_id").distinct()
-    return patients.join(counts, "patient_id", "left").select(
-        "patient_id",
-        F.coalesce("live_count", F.lit(0)).cast("bigint").alias("live_count"),
-        F.when(F.coalesce("live_count", F.lit(0)) > 0, "red").otherwise("green").alias("status"),
+    hits = alerts.groupBy("patient_id", "timestamp_utc").agg(F.count(F.lit(1)).alias("_n"))
+    new = hits.join(acks, "patient_id", "left").where(
+        F.col("acked_at").isNull() | (F.col("timestamp_utc") > F.col("acked_at"))
+    )
+    counts = new.groupBy("patient_id").agg(F.sum("_n").alias("_live"))
+    live = F.coalesce("_live", F.lit(0)).cast("bigint")
+    return patients.select("patient_id").join(counts, "patient_id", "left").select(
+        "patient_id", live.alias("live_count"), F.when(live > 0, "red").otherwise("green").alias("status")
     )
 
 
 def ward_roster(patients: DataFrame) -> DataFrame:
-    """A10: patients per ward (counts; the per-ward listing is ``orderBy(ward, bed)``)."""
-    return patients.groupBy("ward").agg(
-        F.count(F.lit(1)).alias("n_patients"), F.count_distinct("hospital_id").alias("n_hospitals")
-    )
+    """A10: the patients of each ward, with the ward's size; order by ward and bed to show them.
+
+    The size is joined from a partial aggregate, so a ward that holds a third
+    of all patients is not brought into one task.
+    """
+    sizes = patients.groupBy("ward").agg(F.count(F.lit(1)).alias("n_in_ward"))
+    listed = patients.select("ward", "bed_number", "patient_id", "full_name")
+    return listed.join(sizes.withColumnRenamed("ward", "_w"), F.col("ward").eqNullSafe(F.col("_w"))).drop("_w")
 
 
 def request_log_rollup(log: DataFrame) -> DataFrame:

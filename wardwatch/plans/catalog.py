@@ -372,7 +372,7 @@ def q_live_feed_top50(spark, sf_dir):
 def q_live_counts_after_ack(spark, sf_dir):
     from wardwatch.operators import live
 
-    return live.live_counts(alerts(spark, sf_dir), tb.acks(spark, sf_dir))
+    return live.live_counts(alerts(spark, sf_dir), tb.acks(spark, sf_dir), tb.patients(spark, sf_dir))
 
 
 def q_ward_roster(spark, sf_dir):
@@ -411,15 +411,14 @@ def q_stream_alerts(spark, sf_dir):
     )
     raw = tb._derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=stream)
     out, _ = telemetry_to_alerts(raw)
-    got = run_available(out.select("alert_id", "patient_id", "severity", "timestamp_utc"), "stream_alerts")
+    got = run_available(out.select("alert_id", "patient_id", "severity", "timestamp_utc"), "stream_alerts", time="timestamp_utc")
     return got
 
 
 def q_stream_cooldown(spark, sf_dir):
-    """Streaming cooldown over the alert stream; rows are emitted once final
-    (below the watermark), i.e. every accepted alert older than the newest alert."""
-    from wardwatch.streaming.alert_stream import run_available, telemetry_to_alerts
-    from wardwatch.streaming.cooldown_state import stream_cooldown
+    """Streaming cooldown over the alert stream, drained to the end of its input."""
+    from wardwatch.streaming.alert_stream import telemetry_to_alerts
+    from wardwatch.streaming.cooldown_state import drain_cooldown
     from wardwatch.sources import fixtures as fx
 
     key = "spark.sql.streaming.stateStore.providerClass"
@@ -433,7 +432,7 @@ def q_stream_cooldown(spark, sf_dir):
     )
     raw = tb._derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=stream)
     al, _ = telemetry_to_alerts(raw)
-    return run_available(stream_cooldown(al, 60), "stream_cooldown")
+    return drain_cooldown(al, 60)
 
 
 def q_triage_recommendations(spark, sf_dir):

@@ -317,15 +317,14 @@ SELECT 'triage_recommendation', r.alert_id, a.timestamp_utc FROM recs r JOIN ale
 FROM alerts ORDER BY timestamp_utc DESC, alert_id DESC LIMIT 50""",
     )
     q["live_counts_after_ack"] = _w(
-        ALERTS_CTE + f", acks AS ({fx.acks_select_sql(D)})",
-        """SELECT a.patient_id, count(*) FILTER (WHERE k.acked_at IS NULL OR a.timestamp_utc > k.acked_at) AS live_count,
-       CASE WHEN count(*) FILTER (WHERE k.acked_at IS NULL OR a.timestamp_utc > k.acked_at) > 0
-            THEN 'red' ELSE 'green' END AS status
-FROM alerts a LEFT JOIN acks k USING (patient_id) GROUP BY a.patient_id""",
+        ALERTS_CTE + f", acks AS ({fx.acks_select_sql(D)}), patients AS ({PATIENTS})",
+        """SELECT patient_id, live_count, CASE WHEN live_count > 0 THEN 'red' ELSE 'green' END AS status
+FROM (SELECT p.patient_id, count(a.alert_id) FILTER (WHERE k.acked_at IS NULL OR a.timestamp_utc > k.acked_at) AS live_count
+      FROM patients p LEFT JOIN alerts a USING (patient_id) LEFT JOIN acks k USING (patient_id) GROUP BY p.patient_id)""",
     )
     q["ward_roster"] = _w(
         f"patients AS ({PATIENTS})",
-        "SELECT ward, count(*) AS n_patients, count(DISTINCT hospital_id) AS n_hospitals FROM patients GROUP BY ward",
+        "SELECT ward, bed_number, patient_id, full_name, count(*) OVER (PARTITION BY ward) AS n_in_ward FROM patients",
     )
     q["feed_display"] = _w(
         LIVE_CTE + TRIAGE_CTE[len(ALERTS_CTE):],
@@ -367,8 +366,7 @@ chain AS (
   SELECT nx.alert_id, nx.next_id FROM chain c JOIN nx ON nx.alert_id = c.next_id
 )"""
     q["stream_cooldown"] = "WITH RECURSIVE " + stream_valid + """
-SELECT a.alert_id, a.patient_id, a.timestamp_utc FROM a JOIN chain USING (alert_id)
-WHERE a.t < (SELECT max(t) FROM a)"""
+SELECT a.alert_id, a.patient_id, a.timestamp_utc FROM a JOIN chain USING (alert_id)"""
     from wardwatch.operators import reasoning as rs
 
     def lit(x: str) -> str:

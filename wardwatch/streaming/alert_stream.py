@@ -11,10 +11,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wardwatch.operators import rules as ru
 from wardwatch.operators import validate as va
+from wardwatch.operators.audit import append_audit, stored
 from wardwatch.session import ensure_checkpoint_dir
 
 
@@ -61,17 +63,24 @@ def scratch_checkpoint(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(df: DataFrame, name: str) -> DataFrame:
-    """Drain a streaming DataFrame once (``availableNow``) into a memory table and return it."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (
-        df.writeStream.format("memory")
-        .queryName(table)
-        .outputMode("append")
-        .option("checkpointLocation", scratch_checkpoint(spark, name))
+def audit_sink(
+    df: DataFrame, path: str, checkpoint: str, key: str = "alert_id", order: list[str] | None = None, time: str | None = None
+) -> StreamingQuery:
+    """ST05/UD3: drain what is available into an audit table, each micro-batch through ``append_audit``."""
+    return (
+        df.writeStream.foreachBatch(lambda batch, _: append_audit(batch, path, key, order, time) and None)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    q.awaitTermination()
-    return spark.table(table)
+
+
+def run_available(df: DataFrame, name: str, key: str = "alert_id", order: list[str] | None = None, time: str | None = None) -> DataFrame:
+    """Drain a streaming DataFrame once (``availableNow``) into an audit table in the shared folder and read it back.
+
+    Rows go from the executors to Parquet; none passes through the driver.
+    """
+    at = scratch_checkpoint(df.sparkSession, name)
+    audit_sink(df, f"{at}/table", f"{at}/checkpoint", key, order, time).awaitTermination()
+    schema = df.schema if time is None else T.StructType([*df.schema.fields, T.StructField("audit_day", T.DateType())])
+    return stored(df.sparkSession, f"{at}/table", schema).select(*df.columns)

@@ -1,19 +1,25 @@
 """Streaming per-patient cooldown (ST03 in streaming form, ST04).
 
-``transformWithState`` in event time: per patient a value state (last
-accepted time) and a list state (rows not yet final).  Every row registers a
-timer just after its own time; when the watermark passes it, all buffered
-rows below the watermark are folded in event-time order.  Out-of-order
-arrival within the watermark delay therefore gives the same answer as the
-batch scan.  Output: the accepted alerts, emitted once they are final
-(their time is below the watermark).
+``transformWithState`` in event time.  Per patient: a list state of the rows
+that are not final yet, the last accepted time, and ONE timer, set to the
+earliest pending row.  When the watermark passes it, all pending rows below
+the watermark are folded in event-time order and the timer moves on, so a
+micro-batch costs one pass over what is pending, also for a hot patient.
+Without pending rows the timer waits for the end of the cooldown and then
+clears the state: any later row would be accepted anyway.
+
+Out-of-order arrival within the watermark delay gives the answer of the
+batch scan.  Accepted alerts are emitted once they are final, that is below
+the watermark.  A row of ``end_of_input`` (``alert_id`` null, far in the
+future) ends the stream: it moves the watermark past all rows, which are then
+final; whatever comes later is late.
 """
 
 from __future__ import annotations
 
 from typing import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import (
@@ -23,6 +29,9 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
+from wardwatch.operators.audit import stored
+from wardwatch.streaming.alert_stream import audit_sink, scratch_checkpoint
+
 OUT = T.StructType(
     [
         T.StructField("patient_id", T.StringType()),
@@ -39,32 +48,52 @@ class CooldownProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last_accepted", "t LONG")
+        self.timer = handle.getValueState("timer", "ms LONG")
         self.pending = handle.getListState("pending", "alert_id STRING, t LONG")
 
+    def _set_timer(self, ms: int) -> None:
+        if self.timer.exists():
+            at = self.timer.get()[0]
+            if at == ms:
+                return
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(ms)
+        self.timer.update((ms,))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        for r in rows:
-            t = int(r["ts_us"])
-            self.pending.appendValue((r["alert_id"], t))
-            self.handle.registerTimer(t // 1000 + 1)
+        new = [(r["alert_id"], int(r["ts_us"])) for r in rows if r["alert_id"] is not None]
+        if new:
+            held = self.pending.exists()
+            self.pending.appendList(new)
+            due = min(t for _, t in new) // 1000 + 1
+            # a timer that waits for the cooldown's end gives way to one for the rows
+            self._set_timer(min(due, self.timer.get()[0]) if held and self.timer.exists() else due)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.timer.clear()  # Spark has removed the timer that expired
         wm_us = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted(((p[0], int(p[1])) for p in self.pending.get()), key=lambda x: (x[1], x[0]))
         ready = [x for x in rows if x[1] < wm_us]
-        if not ready:
-            return iter([])
-        rest = [x for x in rows if x[1] >= wm_us]
+        rest = rows[len(ready):]
         last = self.last.get()[0] if self.last.exists() else None
         out = []
         for aid, t in ready:
             if last is None or t - last >= self.cooldown_us:
                 last = t
                 out.append(Row(patient_id=key[0], alert_id=aid, ts_us=t))
-        self.last.update((last,))
         self.pending.clear()
         if rest:
             self.pending.put(rest)
+        free_us = None if last is None else last + self.cooldown_us
+        if free_us is None or free_us <= wm_us:
+            self.last.clear()
+        else:
+            self.last.update((last,))
+        if rest:
+            self._set_timer(rest[0][1] // 1000 + 1)
+        elif free_us is not None and free_us > wm_us:
+            self._set_timer(-(-free_us // 1000) + 1)
         return iter(out)
 
     def close(self) -> None:
@@ -86,3 +115,33 @@ def stream_cooldown(alerts: DataFrame, cooldown_s: int = 60, delay: str = "0 sec
         "alert_id", "patient_id",
         F.expr("timestampadd(MICROSECOND, ts_us, TIMESTAMP_NTZ'1970-01-01 00:00:00')").alias("timestamp_utc"),
     )
+
+
+#: Event time of the row that ends a stream.
+END_OF_INPUT = "9999-01-01 00:00:00"
+
+
+def end_of_input(spark: SparkSession, columns: list[str]) -> DataFrame:
+    """One row that ends a stream of alerts: all ``columns`` null but the time and an empty patient."""
+    values = {"patient_id": F.lit(""), "timestamp_utc": F.lit(END_OF_INPUT).cast("timestamp_ntz")}
+    return spark.range(1).select(*[values.get(c, F.lit(None).cast("string")).alias(c) for c in columns])
+
+
+def drain_cooldown(alerts: DataFrame, cooldown_s: int = 60, delay: str = "0 seconds") -> DataFrame:
+    """All accepted alerts of a streaming DataFrame, its newest included.
+
+    The available input is drained; the row that ends it is then written to a
+    folder which the same query also reads, and the query goes on from its
+    checkpoint, which emits what was still pending.
+    """
+    spark = alerts.sparkSession
+    columns = ["alert_id", "patient_id", "timestamp_utc"]
+    at = scratch_checkpoint(spark, "cooldown")
+    end = end_of_input(spark, columns)
+    end.where("false").write.parquet(f"{at}/end")
+    marker = spark.readStream.schema(end.schema).parquet(f"{at}/end")
+    out = stream_cooldown(alerts.select(*columns).unionByName(marker), cooldown_s, delay)
+    audit_sink(out, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    end.write.mode("append").parquet(f"{at}/end")
+    audit_sink(out, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return stored(spark, f"{at}/table", out.schema)
