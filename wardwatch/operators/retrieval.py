@@ -336,7 +336,7 @@ def keyword_topk(
     index: DataFrame,
     k: int = 5,
     match: str = "any",
-    block_bytes: int = 64 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``queries(query_id, text)`` against a ``bm25_index``.
 
