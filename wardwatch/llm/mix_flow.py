@@ -11,11 +11,17 @@ source; their number doesn't grow with the documents, and more than
 ``MAX_PATTERNS`` are refused.
 
 The flow gives each pattern a number of whole passes and a rest.  The rest
-is filled with documents in seeded hash order: a histogram of 65,536 hash
-ranges finds the range where it ends, the documents of that range alone are
-ordered to find the last hash, and one more document, the one whose size
-fits what is still missing best, tops it up.  A row is thus selected by its
-pattern and hash alone, in one pass without a shuffle.
+is filled with documents in seeded hash order, each one taken if it fits what
+is still open and passed over if not.  That is done in steps: of the
+documents that fit now, a histogram of 65,536 hash ranges finds the range
+where they no longer do, the documents of that range alone are ordered to
+find the hash, and the next step goes on behind it with the documents that
+fit what is then open, until none is left (in random order the number of
+steps grows with the logarithm of the documents).  One more document, the one
+whose size fits what is still missing best, tops it up.  A row is thus
+selected by its pattern, hash and size alone, in one pass without a shuffle;
+rows equal in all columns count as one document, and those of them that don't
+fit together while one alone would are listed and joined.
 
 Defined results: a null text has size 0; null sources form a source of their
 own that comes last; sources without words have target 0; documents without
@@ -39,6 +45,8 @@ MAX_PATTERNS = 50_000
 MAX_REPEATS = 3
 #: Hash ranges of the histogram that finds where a pattern's rest ends.
 RANGE_BITS = 16
+#: Above all hashes, which have 63 bits.
+ALL = 2**63 - 1
 
 
 def word_count(text: Column) -> Column:
@@ -122,29 +130,59 @@ def route(patterns: Mapping[tuple, int], quotas: Mapping[str | None, int], max_r
     return {pattern: room[feeds[i] + 1] for i, pattern in enumerate(names)}
 
 
-def _plan(base: DataFrame, quotas: Mapping[str | None, int], sizes: Mapping[str, int], max_repeats: int) -> DataFrame:
-    """(pattern, passes, cut, fit): whole passes, the hash below which one more is due, and a hash that gets one more too."""
+def _within(step: Column, u: Column, size: Column) -> Column:
+    return (u > step["after"]) & (u < step["cut"]) & (size <= step["cap"])
+
+
+def _fill(units: DataFrame, rests: Mapping[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """Steps (after, cut, cap) of each pattern that take, in hash order, every unit which fits what is still open."""
+    spark, span = units.sparkSession, F.shiftright("u", 63 - RANGE_BITS)
+    steps: dict[str, list[tuple[int, int, int]]] = {k: [] for k, rest in rests.items() if rest}
+    open_ = {k: (rests[k], -1) for k in steps}
+    while open_:
+        state = spark.createDataFrame([(k, *v) for k, v in open_.items()], "pattern string, rest long, after long")
+        left = units.join(F.broadcast(state), "pattern").where((F.col("u") > F.col("after")) & (F.col("size") <= F.col("rest"))).withColumn("span", span)
+        upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("span"))
+        ranges = left.groupBy("pattern", "rest", "span").agg(F.sum("size").alias("size")).withColumn("upto", upto)
+        over = F.when(F.col("upto") > F.col("rest"), F.struct("span", (F.col("upto") - F.col("size")).alias("before")))
+        ends = {r.pattern: r for r in ranges.groupBy("pattern").agg(F.max("upto").alias("total"), F.min(over).alias("end")).collect()}
+        for k in [k for k in open_ if k not in ends or ends[k].end is None]:
+            rest, after = open_.pop(k)
+            if k in ends:  # all that is left fits
+                steps[k].append((after, ALL, rest))
+        if not open_:
+            break
+        found = spark.createDataFrame([(k, ends[k].end["span"], ends[k].end["before"]) for k in open_], "pattern string, span long, before long")
+        running = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("u"))
+        last = left.join(F.broadcast(found), ["pattern", "span"]).withColumn("running", running).where("running > rest")
+        for r in last.groupBy("pattern").agg(F.min(F.struct("u", (F.col("running") - F.col("size")).alias("got"))).alias("cut")).collect():
+            rest, after = open_.pop(r.pattern)
+            steps[r.pattern].append((after, r.cut["u"], rest))
+            if rest > r.cut["got"]:
+                open_[r.pattern] = (rest - r.cut["got"], r.cut["u"])
+    return steps
+
+
+def _plan(base: DataFrame, quotas: Mapping[str | None, int], sizes: Mapping[str, int], max_repeats: int) -> tuple[DataFrame, DataFrame]:
+    """(pattern, passes, steps, fit): whole passes, the steps within which one more is due, and a hash that gets one more too; (pattern, u) of equal rows that a step passes over as they only fit one by one."""
     spark = base.sparkSession
     patterns = {tuple(json.loads(k).get("m") or ()): v for k, v in sizes.items()}
     taken = route(patterns, quotas, max_repeats)
     of = {k: taken[tuple(json.loads(k).get("m") or ())] for k in sizes}
-    plan = [(k, of[k] // v if v else 0, of[k] % v if v else 0) for k, v in sizes.items()]
-    plan = F.broadcast(spark.createDataFrame(plan, "pattern string, passes long, rest long"))
-    span = F.shiftright("u", 63 - RANGE_BITS)
-    ranges = base.groupBy("pattern", span.alias("span")).agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("span"))
-    ends = ranges.withColumn("upto", upto).join(plan, "pattern").where("upto > rest")
-    ends = cut_lineage(ends.groupBy("pattern", "passes", "rest").agg(F.min("span").alias("span"), F.min(F.struct("span", (F.col("upto") - F.col("size")).alias("before")))["before"].alias("before")))
-    last = base.withColumn("span", span).join(F.broadcast(ends), ["pattern", "span"]).groupBy("pattern", "rest", "before", "u").agg(F.sum("size").alias("size"))
-    running = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("u"))
-    cuts = last.withColumn("running", running).where("running > rest")
-    cuts = cut_lineage(
-        cuts.groupBy("pattern", "rest").agg(F.min("u").alias("cut"), F.min(F.struct("u", (F.col("running") - F.col("size")).alias("got")))["got"].alias("got"))
-    ).withColumn("gap", F.col("rest") - F.col("got"))
-    beyond = base.join(F.broadcast(cuts), "pattern").where((F.col("u") >= F.col("cut")) & (F.col("size") < 2 * F.col("gap")))
-    beyond = beyond.groupBy("pattern", "u", "gap").agg(F.sum("size").alias("size")).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-    fits = beyond.groupBy("pattern").agg(F.min(F.struct("off", "u"))["u"].alias("fit"))
-    return plan.join(cuts.select("pattern", "cut"), "pattern", "left").join(fits, "pattern", "left").select("pattern", "passes", "cut", "fit")
+    passes, rests = {k: of[k] // v if v else 0 for k, v in sizes.items()}, {k: of[k] % v if v else 0 for k, v in sizes.items()}
+    units = cut_lineage(base.groupBy("pattern", "u").agg(F.sum("size").alias("size"), F.max("size").alias("own")))
+    steps = _fill(units, rests)
+    rows = [(k, passes[k], rests[k], steps.get(k, [])) for k in sizes]
+    plan = spark.createDataFrame(rows, "pattern string, passes long, rest long, steps array<struct<after:long,cut:long,cap:long>>")
+    chosen = lambda size: F.exists("steps", lambda x: _within(x, F.col("u"), F.col(size)))
+    units = units.join(F.broadcast(plan.where("rest > 0")), "pattern").withColumn("chosen", chosen("size"))
+    got = {r.pattern: r.got for r in units.where("chosen").groupBy("pattern").agg(F.sum("size").alias("got")).collect()}
+    gaps = spark.createDataFrame([(k, rests[k] - got.get(k, 0)) for k in steps], "pattern string, gap long")
+    beyond = units.where("NOT chosen").join(F.broadcast(gaps), "pattern").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+    fits = {r.pattern: r.best["u"] for r in beyond.groupBy("pattern").agg(F.min(F.struct("off", "u")).alias("best")).collect()}
+    plan = spark.createDataFrame([(k, passes[k], steps.get(k, []), fits.get(k)) for k in sizes], "pattern string, passes long, steps array<struct<after:long,cut:long,cap:long>>, fit long")
+    alike = units.where((F.col("size") > F.col("own")) & ~F.col("chosen") & chosen("own")).select("pattern", "u")
+    return plan, cut_lineage(alike)
 
 
 def repeats(docs: DataFrame, members: Column, size: Column, quotas: Mapping[str | None, int] | None = None, weights: tuple[float, ...] = (1.0,), max_repeats: int = MAX_REPEATS, seed: int = 42):
@@ -175,13 +213,19 @@ def repeats(docs: DataFrame, members: Column, size: Column, quotas: Mapping[str
     return rows, plan, targets, source_sizes
 
 
-def _selected(docs: DataFrame, rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, str]:
+def _selected(docs: DataFrame, rows: DataFrame, plan: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, str]:
     """Rows with the number of times each is taken."""
-    pattern, u = fresh(docs, "pattern"), fresh(docs, "u")
-    names = {c: fresh(rows, f"plan_{c}") for c in plan.columns}
-    small = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
-    joined = rows.join(F.broadcast(small), F.col(pattern) == F.col(names["pattern"]), "left")
-    extra = (F.coalesce(F.col(u) < F.col(names["cut"]), F.lit(False)) | F.coalesce(F.col(u) == F.col(names["fit"]), F.lit(False))).cast("long")
+    pattern, size, u = (F.col(fresh(docs, x)) for x in ("pattern", "size", "u"))
+    names = {c: fresh(rows, f"plan_{c}") for c in plan[0].columns}
+    small = plan[0].select(*[F.col(c).alias(n) for c, n in names.items()])
+    joined = rows.join(F.broadcast(small), pattern == F.col(names["pattern"]), "left")
+    taken = F.exists(names["steps"], lambda x: _within(x, u, size))
+    if not plan[1].isEmpty():
+        over = {c: fresh(joined, f"over_{c}") for c in plan[1].columns}
+        alike = plan[1].select(*[F.col(c).alias(n) for c, n in over.items()])
+        joined = joined.join(alike, (pattern == F.col(over["pattern"])) & (u == F.col(over["u"])), "left")
+        taken &= F.col(over["u"]).isNull()
+    extra = (F.coalesce(taken, F.lit(False)) | F.coalesce(u == F.col(names["fit"]), F.lit(False))).cast("long")
     times = fresh(joined, "times")
     return joined.withColumn(times, F.coalesce(F.col(names["passes"]), F.lit(0)) + extra), times
 
