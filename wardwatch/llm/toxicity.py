@@ -4,11 +4,13 @@
     up dense trigram counts with numpy and Spark sums them.  The alphabet has
     64 classes by rule, so the model has a fixed size and its counts grow
     with the corpus.
-2.  Spots that look disguised (digits or signs among letters, letters three
-    times over, single letters set apart) are restored: each spot is a
-    lattice in which a character may stand for itself, for the letters it
-    looks like, repeat the one before or only separate, and Viterbi decoding
-    finds the reading that channel and language model together favour.
+2.  Spots that may be disguised (all runs that hold a digit or sign, words
+    with a doubled letter, single letters set apart, tokens with separators
+    inside) are restored: each spot is a lattice in which a character may
+    stand for itself, for the letters it looks like, repeat the one before or
+    only separate, and Viterbi decoding finds the reading
+    that channel and language model together favour.  A text's words are its
+    words as written and those of the readings.
 3.  Words and word beginnings of the restored texts are counted for a bounded
     sample of labelled rows (``SAMPLE_PER_LABEL``); those that tell toxic
     texts apart become features of a logistic regression, which scores every
@@ -54,16 +56,33 @@ BEAM = 32
 
 _L = r"[^\W\d_]"
 _SIGN = r"[0-9@$!|+€£(*]"
-_SPOT = re.compile(
-    rf"(?<!\S)(?:{_L}|{_SIGN})(?:[ ._*~-](?:{_L}|{_SIGN})){{2,}}(?!\w)"  # single letters set apart
-    rf"|(?:{_L}+|(?<![\w@$!|+€£(*])){_SIGN}{{1,3}}{_L}(?:{_L}|{_SIGN}(?=\w))*"  # signs for letters
-    rf"|\w*({_L})\1\1\w*"  # letters over and over
-    rf"|{_L}{{2,}}[03457]+(?!\w)|{_L}{{1,3}}(?:[._~-]{_L}{{1,3}}){{2,}}(?!\w)"
-)
-_MAYBE = re.compile(rf"[0-9@$|+€£(*!]{_L}|{_L}[0-9]|(?<!\S)\S[ ._*~-]\S[ ._*~-]\S(?!\w)|({_L})\1\1|{_L}[._~-]{_L}+[._~-]{_L}")
+_C = r"\w@$!|+€£(*"  # where "_" has become "-"
+#: A run of letters and signs with a sign in it; a token with separators inside; characters set apart by separators of any length.
+_SIGNED = re.compile(rf"(?<![{_C}]){_L}*+{_SIGN}[{_C}]*+")
+_JOINED = re.compile(rf"(?<![{_C}])[{_C}]++(?:[^{_C}\s]++[{_C}]++)++")
+_APART = re.compile(rf"(?<![{_C}])[{_C}](?![{_C}])(?:[^{_C}]++[{_C}](?![{_C}])){{2,}}+")
+#: Signs that punctuation puts at the ends of a word; a run is read with them and without.
+_ENDS = "!|+(*"
+_DOUBLED = re.compile(rf"({_L})\1")
+_ANY_SIGN = re.compile(_SIGN)
 _WORD = re.compile(rf"{_L}+")
 
 
+def spots(low: str, words: set[str]) -> set[str]:
+    """All that may be disguised in a lower-case text with these words: doubled letters, signs, and separators within."""
+    low = low.replace("_", "-")
+    found = {w for w in words if _DOUBLED.search(w)}
+    tokens = " ".join({t for t in low.split() if not t.isalpha() and not t[:-1].isalpha() or t[-1] in _ENDS or _ANY_SIGN.match(t[-1])})
+    for run in _SIGNED.findall(tokens):
+        found.add(run)
+        bare = run.strip(_ENDS)
+        if bare != run and _ANY_SIGN.search(bare):
+            found.add(bare)
+    found.update(_JOINED.findall(tokens))
+    found.update(_APART.findall(low))
+    return found
+
+
 def _class_table() -> np.ndarray:
     table = np.zeros(256, np.int64)
     table[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -115,22 +134,22 @@ class Restorer:
     def _options(self, spot: str, i: int) -> list[tuple[str | None, float]]:
         """Readings of a character, with their costs; None: nothing of its own."""
         char = spot[i]
+        run = 1
+        while run <= min(i, 2) and spot[i - run] == char:
+            run += 1
+        again = REPEAT_COST[3 if run > 2 or run == 2 and spot[i + 1 : i + 2] == char else 2]
         if char.isalpha():
-            run = 1
-            while run <= i and spot[i - run] == char:
-                run += 1
-            more = i + 1 < len(spot) and spot[i + 1] == char
-            long = run > 2 or run == 2 and more
-            return [(char, 0.0), (None, REPEAT_COST[3 if long else 2])] if run > 1 else [(char, 0.0)]
+            return [(char, 0.0), (None, again)] if run > 1 else [(char, 0.0)]
         letters = LOOKS_LIKE.get(char, "")
         cost = WILD_COST if len(letters) > 2 else SIGN_COST
         found: list[tuple[str | None, float]] = [(x, cost) for x in letters]
-        if char in " ._*~-'":
-            found += [(None, SEPARATOR_DROPPED), (" ", SEPARATOR_KEPT)]
+        if not letters or char == "*":
+            mask = char == "*" and "*" in (spot[i - 1 : i], spot[i + 1 : i + 2])  # several together stand for letters sooner than they separate
+            found += [(None, WILD_COST if mask else SEPARATOR_DROPPED), (" ", SEPARATOR_KEPT)]
         else:
             found.append((" ", SIGN_KEPT))
-            if i and spot[i - 1] == char:
-                found.append((None, REPEAT_COST[3]))
+            if run > 1:
+                found.append((None, again))
         return found
 
     def read(self, spot: str) -> str:
@@ -162,9 +181,8 @@ class Restorer:
         """The distinct lower-case words of a text, disguised ones restored (the whole text counts)."""
         low = (text or "").lower()
         found = set(_WORD.findall(low))
-        if _MAYBE.search(low):
-            for spot in _SPOT.finditer(low):
-                found.update(_WORD.findall(self.read(spot.group())))
+        for spot in spots(low, found):
+            found.update(_WORD.findall(self.read(spot)))
         return found
 
 
