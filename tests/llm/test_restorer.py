@@ -1,5 +1,8 @@
-"""Disguises that the restorer must read."""
+"""Disguises that the restorer must read, and its decoding against enumeration."""
 
+import itertools
+
+import numpy as np
 import pytest
 
 from wardwatch.llm import toxicity
@@ -25,6 +28,32 @@ def test_spots(restorer):
             assert "5h17" in toxicity.spots(f"you {spot} there", set())
 
 
+def _cost(restorer, spot, outs):
+    total, a, b = 0.0, 0, 0
+    for i, out in enumerate(outs):
+        total += dict(restorer._options(spot, i))[out]
+        if out is not None and not (out == " " and b == 0):
+            c = toxicity._class_of(out)
+            total, a, b = total + restorer.costs[a, b, c], b, c
+    return total + restorer.costs[a, b, 0]
+
+
+def _said(outs):
+    said = ""
+    for out in outs:
+        if out is not None and not (out == " " and said[-1:] in ("", " ")):
+            said += out
+    return said
+
+
+@pytest.mark.parametrize("spot", ["s**p1d", "**5", "a$$", "stuu1d", "1**!", "x*-*y"])
+def test_reads_the_cheapest_of_all(spot):
+    rng = np.random.default_rng(7)
+    restorer = toxicity.Restorer(rng.gamma(2.0, 1.5, (toxicity.CLASSES,) * 3))
+    ways = itertools.product(*[[o for o, _ in restorer._options(spot, i)] for i in range(len(spot))])
+    assert restorer.read(spot) == _said(min(ways, key=lambda outs: _cost(restorer, spot, outs)))
+
+
 def test_long_runs_take_linear_time():
     for run in ("a" * 200_000, "1" * 200_000, "a " * 100_000, "a." * 100_000, "((" * 100_000):
         toxicity.spots(run, set())

@@ -8,7 +8,7 @@
     with a doubled letter, single letters set apart, tokens with separators
     inside) are restored: each spot is a lattice in which a character may
     stand for itself, for the letters it looks like, repeat the one before or
-    only separate, and Viterbi decoding finds the reading
+    only separate, and Viterbi decoding over all states finds the reading
     that channel and language model together favour.  A text's words are its
     words as written and those of the readings.
 3.  Words and word beginnings of the restored texts are counted for a bounded
@@ -52,7 +52,8 @@ LOOKS_LIKE = {
 }
 SIGN_COST, WILD_COST, SIGN_KEPT, SEPARATOR_DROPPED, SEPARATOR_KEPT = 1.0, 2.5, 9.0, 0.3, 2.0
 REPEAT_COST = {2: 3.0, 3: 0.2}
-BEAM = 32
+#: Marks a path that a character leaves in its state; less is a class before a letter, more one before a separator.
+STAY = 64
 
 _L = r"[^\W\d_]"
 _SIGN = r"[0-9@$!|+€£(*]"
@@ -125,11 +126,18 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log(p3)
 
 
+def _table(paths: dict[tuple[int, int], float]) -> np.ndarray:
+    costs = np.full((CLASSES, CLASSES), np.inf)
+    costs[tuple(zip(*paths))] = list(paths.values())
+    return costs
+
+
 class Restorer:
     """Viterbi decoding of disguised spots under a character model; readings are kept for spots seen before."""
 
     def __init__(self, costs: np.ndarray):
         self.costs, self.seen = costs, {}
+        self._at = costs.tolist()
 
     def _options(self, spot: str, i: int) -> list[tuple[str | None, float]]:
         """Readings of a character, with their costs; None: nothing of its own."""
@@ -153,30 +161,72 @@ class Restorer:
         return found
 
     def read(self, spot: str) -> str:
-        """The likeliest words behind a lower-case spot."""
+        """The likeliest words behind a lower-case spot: the cheapest of all paths, by back pointers."""
         known = self.seen.get(spot)
         if known is not None:
             return known
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        paths: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        back: list = []
+        rows, dense = self._at, None
         for i in range(len(spot)):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, said) in paths.items():
-                for out, price in self._options(spot, i):
-                    if out is None:
-                        state, total, text = (a, b), cost + price, said
-                    elif out == " " and b == 0:
-                        state, total, text = (a, b), cost + price, said
+            after: dict[tuple[int, int], float] = {}
+            come: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+            options = self._options(spot, i)
+            if len(options) > 8:
+                dense, come = self._any_letter(_table(paths) if dense is None else dense, dict(options))
+                back.append(come)
+                continue
+            if dense is not None:
+                at = np.nonzero(np.isfinite(dense))
+                paths, dense = dict(zip(zip(*(x.tolist() for x in at)), dense[at].tolist())), None
+            options = [(out, price, 0 if out is None else _class_of(out)) for out, price in options]
+            for state, cost in paths.items():
+                a, b = state
+                for out, price, c in options:
+                    if out is None or out == " " and b == 0:
+                        to, total, out = state, cost + price, ""
                     else:
-                        c = _class_of(out)
-                        state, total, text = (b, c), cost + price + self.costs[a, b, c], said + out
-                    if state not in after or total < after[state][0]:
-                        after[state] = (total, text)
-            paths = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda x: x[1][0])[:BEAM])
-        best = min((cost + self.costs[a, b, 0], text) for (a, b), (cost, text) in paths.items())[1]
+                        to, total = (b, c), cost + price + rows[a][b][c]
+                    if to not in after or total < after[to]:
+                        after[to], come[to] = total, (state, out)
+            paths = after
+            back.append(come)
+        if dense is not None:
+            state = divmod(int((dense + self.costs[:, :, 0]).argmin()), CLASSES)
+        else:
+            state = min((cost + rows[a][b][0], (a, b)) for (a, b), cost in paths.items())[1]
+        said = []
+        for come in reversed(back):
+            if isinstance(come, dict):
+                state, out = come[state]
+            else:
+                (a, b), at = state, int(come[state])
+                if at < STAY:
+                    state, out = (at, a), chr(ord("a") + b - 1)
+                else:
+                    state, out = (state, "") if at == STAY else ((at - STAY - 1, a), " ")
+            said.append(out)
+        best = "".join(reversed(said))
         if len(self.seen) < 100_000 and len(spot) < 200:
             self.seen[spot] = best
         return best
 
+    def _any_letter(self, costs: np.ndarray, price: dict[str | None, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of all states after a sign that may stand for any letter, separate or be dropped; where each came from."""
+        open_ = costs < np.inf
+        firsts, lasts = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+        known = costs[np.ix_(firsts, lasts)][:, :, None] + self.costs[firsts[:, None], lasts, :27]
+        after, come = np.full((CLASSES, CLASSES), np.inf), np.full((CLASSES, CLASSES), STAY)
+        after[lasts, :27], come[lasts, :27] = known.min(0), firsts[known.argmin(0)]
+        after[:, 1:27] += price["a"]
+        after[:, 0] += price[" "]
+        come[:, 0] += STAY + 1
+        after[0, 0], come[0, 0] = np.inf, STAY  # a separator adds nothing to another
+        stay = costs + price[None]
+        stay[:, 0] = np.minimum(stay[:, 0], costs[:, 0] + price[" "])
+        come = np.where(stay <= after, STAY, come)
+        return np.minimum(after, stay), come
+
     def words(self, text: str | None) -> set[str]:
         """The distinct lower-case words of a text, disguised ones restored (the whole text counts)."""
         low = (text or "").lower()
