@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwatch.llm import embedding_whitening, exact_dedup, filter_audit, mbs_packing, mix_flow, pii_disclosure, quality_fm, quality_rules, quote_links, simhash_golay, token_rollup, toxicity
+from wardwatch.llm import embedding_whitening, exact_dedup, filter_audit, license_scan, mbs_packing, mix_flow, pii_disclosure, quality_fm, quality_rules, quote_links, simhash_golay, token_rollup, toxicity
 from wardwatch.session import cut_lineage, ensure_checkpoint_dir
 
 #: Weights of the sources in code point order, repeating.
@@ -75,12 +75,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii_disclosure, op2_quality_fm, op3_simhash_golay, op4_token_rollup, op5_mix_flow, op6_mbs_packing, op7_toxicity, op8_exact_dedup, op9_quality_rules, op10_quote_links, op11_filter_audit, op13_embedding_whitening)
+    found = (op1_pii_disclosure, op2_quality_fm, op3_simhash_golay, op4_token_rollup, op5_mix_flow, op6_mbs_packing, op7_toxicity, op8_exact_dedup, op9_quality_rules, op10_quote_links, op11_filter_audit, op12_license_scan, op13_embedding_whitening)
     return {f.__name__: f for f in found}
 
 
