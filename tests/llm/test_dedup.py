@@ -73,11 +73,12 @@ def test_near_classes(spark, rows):
     got = [(r.doc_id, r.print & (2**64 - 1), r.component_id) for r in simhash_golay.near_classes(_docs(spark, rows)).collect()]
     want = brute_classes(rows)
     assert sorted(got, key=_key) == sorted(want, key=_key)
-    kept = simhash_golay.drop_near(_docs(spark, rows))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "digest", "Rank"]
-    kept = [r.doc_id for r in kept.collect()]
-    roots = {c: d for d, _, c in want}
-    assert sorted(kept, key=lambda x: (x is None, x or 0)) == sorted(roots, key=lambda x: (x is None, x or 0))
+    for limit in (200_000, 0):
+        kept = simhash_golay.drop_near(_docs(spark, rows), broadcast_rows=limit)
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "digest", "Rank"]
+        kept = [r.doc_id for r in kept.collect()]
+        roots = {c: d for d, _, c in want}
+        assert sorted(kept, key=lambda x: (x is None, x or 0)) == sorted(roots, key=lambda x: (x is None, x or 0))
 
 
 @pytest.mark.parametrize("block", [4, 50, 4096])
@@ -132,6 +133,15 @@ def test_exact(spark, rows, top, counters):
         assert (r.keep_id, r.group_size) == (best[r.text_sha256], len(groups[r.text_sha256]))
         assert not r.kept or r.doc_id == r.keep_id
     assert sorted(r.text_sha256 for r in got if r.kept) == sorted(groups)
-    kept = exact_dedup.drop_copies(_docs(spark, rows), top=top, counters=counters)
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "digest", "Rank"]
-    assert sorted(hashlib.sha256((r.text or "").encode()).hexdigest() + str(r.doc_id) for r in kept.collect()) == sorted(h + str(best[h]) for h in groups)
+    for limit in (200_000, 0):
+        kept = exact_dedup.drop_copies(_docs(spark, rows), top=top, counters=counters, broadcast_groups=limit)
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "digest", "Rank"]
+        assert sorted(hashlib.sha256((r.text or "").encode()).hexdigest() + str(r.doc_id) for r in kept.collect()) == sorted(h + str(best[h]) for h in groups)
+
+
+def test_texts_are_not_sorted(spark):
+    """The rows with their texts pass hash joins only, whatever the number of groups."""
+    docs = _docs(spark, [(i, f"t{i % 50}") for i in range(200)])
+    for kept in (exact_dedup.drop_copies(docs), exact_dedup.drop_copies(docs, broadcast_groups=0), simhash_golay.drop_near(docs), simhash_golay.drop_near(docs, broadcast_rows=0)):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Window" not in plan and ("BroadcastHashJoin" in plan or "ShuffledHashJoin" in plan)

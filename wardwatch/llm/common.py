@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardwatch.session import cut_lineage
@@ -15,6 +15,9 @@ SLICE_ROWS = 256
 #: The ASCII white space that separates words, \x20 and \x09-\x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+#: Keys of a narrow table that are broadcast at most (some ten MB); more of them meet by shuffled hash join.
+BROADCAST_ROWS = 200_000
+
 
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (names compare without case)."""
@@ -30,6 +33,21 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*usable) if usable else F.lit(0)
 
 
+def one_of_equal(rows: DataFrame, key: str, repeated: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` with one row of each key in ``repeated`` (key); rows of other keys pass a hash join alone, unsorted.
+
+    ``row_number() = 1`` is applied before the shuffle too, so equal rows
+    don't gather in one task.
+    """
+    many = repeated.limit(broadcast_rows + 1).count()
+    if not many:
+        return rows
+    hinted = repeated.hint("broadcast" if many <= broadcast_rows else "shuffle_hash")
+    rank = fresh(rows, "rank")
+    first = rows.join(hinted, key, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(key)))
+    return rows.join(hinted, key, "left_anti").unionByName(first.where(F.col(rank) == 1).drop(rank))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut batches into short ones, so that few texts at a time live as Python objects."""
     for batch in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardwatch.llm.common import fresh, row_hash
+from wardwatch.llm.common import BROADCAST_ROWS, fresh, one_of_equal, row_hash
 from wardwatch.session import cut_lineage
 
 #: Frequent digests that are verified and broadcast, and counters of the sketch.
@@ -70,20 +70,30 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP_DIGESTS, counters: int = COUNTERS) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP_DIGESTS, counters: int = COUNTERS, broadcast_groups: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Copies of frequent texts go before the shuffle.  What is left meets by
-    digest under ``row_number() = 1``, which Spark also applies before the
-    shuffle, so even rows equal in every column don't gather in one task.
+    Winners are decided on narrow rows (digest, id, hash of the row).  The
+    texts then only pass a hash join with the groups that have copies: the
+    frequent ones are broadcast, the others too as long as there are no more
+    than ``broadcast_groups``; beyond that the rows are shuffled, but never
+    sorted.  Rows that equal their winner in every column are the only ones
+    that meet once more.
     """
     digest, best = fresh(docs, "digest"), fresh(docs, "best")
-    rows = docs.withColumn(digest, text_digest(F.col(f"`{text_col}`"))).withColumn(
+    rows = docs.withColumn(digest, F.unhex(text_digest(F.col(f"`{text_col}`")))).withColumn(
         best, F.struct(F.col(f"`{id_col}`").alias("id"), row_hash(docs).alias("tie"))
     )
-    win, n, rank = (fresh(rows, x) for x in ("win", "n", "rank"))
-    small = rows.select(F.col(digest).alias("digest_"), F.col(best).alias("best_"))
-    winners = cut_lineage(_winners(small, "digest_", "best_", top, counters)).select(F.col("digest_").alias(digest), F.col("win").alias(win))
-    left = rows.join(F.broadcast(winners), digest, "left").where(F.col(win).isNull() | (F.col(best) == F.col(win)))
-    order = Window.partitionBy(digest).orderBy(F.col(best).desc())
-    return left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    small = cut_lineage(rows.select(F.col(digest).alias("digest_"), F.col(best).alias("best_")))
+    frequent = cut_lineage(_winners(small, "digest_", "best_", top, counters).select("digest_", "win"))
+    rest = small.join(F.broadcast(frequent.select("digest_")), "digest_", "left_anti").groupBy("digest_").agg(F.max("best_").alias("win"), F.count(F.lit(1)).alias("n"))
+    rest = cut_lineage(rest.where("n > 1").select("digest_", "win"))
+    settled = [F.broadcast(frequent), rest.hint("broadcast" if rest.count() <= broadcast_groups else "shuffle_hash")]
+    equal = []
+    for groups in settled:
+        win = fresh(rows, "win")
+        equal.append(small.join(groups, "digest_").where("best_ = win").groupBy(F.col("digest_").alias(digest)).agg(F.count(F.lit(1)).alias("n")))
+        groups = groups.select(F.col("digest_").alias(digest), F.col("win").alias(win))
+        rows = rows.join(groups, digest, "left").where(F.col(win).isNull() | (F.col(best) == F.col(win))).drop(win)
+    equal = cut_lineage(equal[0].union(equal[1]).where("n > 1").select(digest))
+    return one_of_equal(rows, digest, equal, broadcast_groups).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -35,10 +35,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwatch.llm.common import connected_components, fresh, row_hash, slices
+from wardwatch.llm.common import BROADCAST_ROWS, connected_components, fresh, one_of_equal, row_hash, slices
 from wardwatch.session import cut_lineage
 
 SEED = 42
@@ -192,14 +192,21 @@ def _classes(prints: DataFrame, max_bits: int) -> DataFrame:
     return member.join(lows, "root").select("print", "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row of each class: that with the smallest id (null ids last), with all its columns."""
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row of each class: that with the smallest id (null ids last), with all its columns.
+
+    The rows to drop are found on narrow rows (id, hash of the row,
+    fingerprint); the texts only pass an anti join by hash, broadcast up to
+    ``broadcast_rows`` of them, and are never sorted.
+    """
     tie = fresh(docs, "tie")
     ident = F.struct(F.col(f"`{id_col}`").isNull().alias("no"), F.col(f"`{id_col}`").alias("id"), row_hash(docs).alias("hash"))
     marked = cut_lineage(_fingerprints(docs, text_col, width, [ident["no"].alias("no"), ident["id"].alias("id"), ident["hash"].alias("hash")]))
-    low = marked.groupBy("print").agg(F.min(F.struct("no", "id", "hash")).alias("low"))
-    stays = _classes(low, max_bits).select(F.col("component_id").alias(tie)).distinct()
-    rows = docs.withColumn(tie, ident).join(stays, tie, "left_semi")
-    order = Window.partitionBy(tie).orderBy(tie)
-    rank = fresh(rows, "rank")
-    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = marked.select("print", F.struct("no", "id", "hash").alias(tie))
+    low = marked.groupBy("print").agg(F.min(tie).alias("low"))
+    placed = cut_lineage(marked.join(_classes(low, max_bits), "print").select(tie, (F.col(tie) == F.col("component_id")).alias("stays")))
+    gone = cut_lineage(placed.where("NOT stays").select(tie).distinct())
+    equal = cut_lineage(placed.where("stays").groupBy(tie).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(tie))
+    small = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = docs.withColumn(tie, ident).join(gone.hint("broadcast" if small else "shuffle_hash"), tie, "left_anti")
+    return one_of_equal(rows, tie, equal, broadcast_rows).select(*[F.col(f"`{c}`") for c in docs.columns])
