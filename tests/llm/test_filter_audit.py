@@ -77,11 +77,13 @@ def test_no_rows(spark):
     assert filter_audit.audit(_docs(spark, []), _labels(spark, [])).collect() == []
 
 
-def test_matrix_holds_all_words(spark):
+@pytest.mark.parametrize("code_bits", [63, 4])
+def test_matrix_holds_all_words(spark, code_bits):
+    """Also where many words have the same code."""
     rows = _some(3)
-    dictionary, shards = filter_audit.document_term_matrix(_docs(spark, rows))
+    dictionary, shards = filter_audit.document_term_matrix(_docs(spark, rows), shard_bytes=2000, code_bits=code_bits)
     words = {r.code: bytes(r.word).decode() for r in dictionary.collect()}
-    assert len(set(words.values())) == len(words)
+    assert len(set(words.values())) == len(words) == dictionary.count()
     found = []
     for s in shards.collect():
         for i, (a, b) in enumerate(zip(s.bounds, s.bounds[1:])):

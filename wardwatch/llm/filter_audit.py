@@ -2,17 +2,18 @@
 
 1.  Each task cuts its documents into shards of about ``SHARD_BYTES`` of text
     (at least one document) and writes each as a compressed sparse row matrix:
-    a vocabulary of its own, row bounds, columns, and counts.  The shards are
+    a vocabulary with codes, row bounds, columns, and counts.  The shards are
     written to the shared checkpoint folder as a table.
-2.  The vocabularies of all shards, not the texts, are shuffled to build the
-    dictionary (word, code) and to give each shard the codes of its columns.
-    A word reaches this step once for each shard that has it, so frequent
-    words don't gather.
-3.  The shards are joined to their codes.  A row's sum is its document's
-    number of words, its number of stored entries that of distinct words;
-    they decide the filters A and B.  C, D and the digest for E come with the
-    rows: E needs the least id of each digest, joined to rows that are
-    aggregated beforehand.
+2.  The dictionary of all shards makes the codes global.  A word's code is a
+    hash of 63 bits; an aggregate over all vocabularies finds codes that more
+    than one word has (told apart by a second hash of another kind), and such
+    words get negative codes of their own, joined to the shards that use them.
+    Only codes are shuffled, and a word once for each task that has it, so
+    frequent words don't gather; the matrix itself stays where it is.
+3.  A row's sum is its document's number of words, its number of stored
+    entries that of distinct words; they decide the filters A and B.  C, D and
+    the digest for E come with the rows: E needs the least id of each digest,
+    joined to rows that are aggregated beforehand.
 4.  Each part's documents are added up by the set of filters they fail (32
     sets).  All orders and steps follow from those 32 sums alone.
 
@@ -39,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,79 +48,90 @@ from pyspark.sql import functions as F
 from wardwatch.session import cut_lineage, ensure_checkpoint_dir
 
 FILTERS = "ABCDE"
-SIGNS = "#$%&*|"
+SIGNS = b"#$%&*|"
 MIN_WORDS, DISTINCT_PERCENT, CAPITALS_PERCENT = 50, 65, 5
 #: Text of one shard; its arrays take about as much.
 SHARD_BYTES = 8_000_000
 
-_CARRIED = ("doc_id", "part", "capitals", "signs", "digest")
+_CARRIED = ("doc_id", "part", "digest")
+_CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
+CODE_BITS = 63
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """One row per shard: its number, vocabulary, the carried columns and the matrix's row bounds, columns and counts."""
+def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, code_bits: int) -> Iterator[pa.RecordBatch]:
+    """One row per shard: its number, vocabulary and codes, the carried columns, C and D, and the matrix's row bounds, columns and counts."""
     task, made = TaskContext.get().partitionId(), 0
     kept: list[pa.RecordBatch] = []
     words: dict[bytes, int] = {}
-    bounds, columns, counts, size = array("q", [0]), array("i"), array("i"), 0
+    late, bounds, columns, counts, size = array("b"), array("q", [0]), array("i"), array("i"), 0
 
     def shard() -> pa.RecordBatch:
         carried = pa.Table.from_batches(kept).combine_chunks()
-        lists = [pa.ListArray.from_arrays(pa.array([0, carried.num_rows], pa.int32()), c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in carried.columns]
-        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-        matrix = [one(np.frombuffer(a, t), k) for a, t, k in ((bounds, np.int64, pa.int64()), (columns, np.int32, pa.int32()), (counts, np.int32, pa.int32()))]
-        number = pa.array([(task << 33) + made], pa.int64())
-        return pa.RecordBatch.from_arrays([number, one(list(words), pa.binary()), *lists, *matrix], ["shard", "vocabulary", *_CARRIED, "bounds", "columns", "counts"])
+        lists = [pa.ListArray.from_arrays(pa.array([0, carried.num_rows], pa.int32()), c.combine_chunks()) for c in carried.columns]
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        codes = np.fromiter((xxhash.xxh64_intdigest(w) >> 64 - code_bits for w in words), np.int64, len(words))
+        numbers = [codes, np.frombuffer(late, np.int8), np.frombuffer(bounds, np.int64), np.frombuffer(columns, np.int32), np.frombuffer(counts, np.int32)]
+        arrays = [pa.array([(task << 33) + made], pa.int64()), one(pa.array(list(words), pa.binary())), *lists, *[one(pa.array(x)) for x in numbers]]
+        return pa.RecordBatch.from_arrays(arrays, ["shard", "vocabulary", *_CARRIED, "codes", "late", "bounds", "columns", "counts"])
 
     for batch in batches:
-        texts, first = batch.column(len(_CARRIED)), 0
-        narrow = batch.select(list(_CARRIED))
+        narrow, points, texts, first = batch.select(list(_CARRIED)), batch.column("points").to_pylist(), batch.column("text"), 0
         for i in range(batch.num_rows):
-            text = texts[i].as_py() or b""
+            text = texts[i].as_py()
             for word, n in Counter(text.split()).items():  # bytes are split at ASCII white space only
                 columns.append(words.setdefault(word, len(words)))
                 counts.append(n)
             bounds.append(len(columns))
+            capitals = len(text) - len(text.translate(None, _CAPITALS))
+            late.append(4 * (100 * capitals > CAPITALS_PERCENT * points[i]) + 8 * (len(text.translate(None, SIGNS)) < len(text)))
             size += len(text)
             if size >= shard_bytes:
                 kept.append(narrow.slice(first, i + 1 - first))
                 yield shard()
                 made, first, size = made + 1, i + 1, 0
-                kept, words, bounds, columns, counts = [], {}, array("q", [0]), array("i"), array("i")
+                kept, words = [], {}
+                late, bounds, columns, counts = array("b"), array("q", [0]), array("i"), array("i")
         if first < batch.num_rows:
             kept.append(narrow.slice(first))
     if kept:
         yield shard()
 
 
-def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``(dictionary, shards)``: (word, code) of all words, and the matrix's shards with their columns' codes.
+def document_term_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_bytes: int = SHARD_BYTES, code_bits: int = CODE_BITS) -> tuple[DataFrame, DataFrame]:
+    """``(dictionary, shards)``: (word, code) of all words, and the matrix's shards.
 
     A shard has ``codes`` (the dictionary's code of each of its columns),
     ``bounds``, ``columns`` and ``counts`` of a compressed sparse row matrix,
-    and for each row the carried columns.
+    and for each row the carried columns and the bits of C and D.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long") * 100 > CAPITALS_PERCENT * F.length(text).cast("long")
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("part"),
-        capitals.alias("capitals"),
-        F.rlike(text, F.lit(f"[{SIGNS}]")).alias("signs"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        F.length(text).alias("points"),
         text.cast("binary").alias("text"),
     )
-    kinds = ", ".join(f"{c} array<{kind}>" for c, kind in rows.dtypes[:-1])
-    schema = f"shard long, vocabulary array<binary>, {kinds}, bounds array<long>, columns array<int>, counts array<int>"
+    kinds = ", ".join(f"{c} array<{dict(rows.dtypes)[c]}>" for c in _CARRIED)
+    schema = f"shard long, vocabulary array<binary>, {kinds}, codes array<long>, late array<tinyint>, bounds array<long>, columns array<int>, counts array<int>"
     at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/terms-{uuid.uuid4().hex}"
-    rows.mapInArrow(lambda batches: _shards(batches, shard_bytes), schema).write.parquet(f"{at}/shards")
-    shards = spark.read.schema(schema).parquet(f"{at}/shards")
-    used = shards.select("shard", F.posexplode("vocabulary").alias("place", "word"))
-    used.select("word").distinct().withColumn("code", F.monotonically_increasing_id()).write.parquet(f"{at}/dictionary")
-    dictionary = spark.read.schema("word binary, code long").parquet(f"{at}/dictionary")
-    codes = used.join(dictionary, "word").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "code"))).alias("c"))
-    coded = shards.drop("vocabulary").join(codes.select("shard", F.col("c.code").alias("codes")), "shard", "left")
-    return dictionary, coded
+    rows.mapInArrow(lambda batches: _shards(batches, shard_bytes, code_bits), schema).write.parquet(at)
+    shards = spark.read.schema(schema).parquet(at)
+    used = shards.select("shard", F.explode(F.arrays_zip("vocabulary", "codes")).alias("w")).select("shard", F.col("w.vocabulary").alias("word"), F.col("w.codes").alias("code"))
+    other = F.shiftleft(F.crc32("word"), 32).bitwiseOR(F.hash("word").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    shared = used.select("code", other.alias("other")).groupBy("code").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+    shared = cut_lineage(shared.where("a <> b").select("code"))
+    dictionary = used.select("word", "code").distinct()
+    if shared.isEmpty():
+        return dictionary, shards
+    own = used.join(shared, "code", "left_semi").select("word").distinct()
+    own = cut_lineage(own.select("word", (-1 - F.monotonically_increasing_id()).alias("own")))
+    dictionary = dictionary.join(own, "word", "left").select("word", F.coalesce("own", "code").alias("code"))
+    changed = used.join(own, "word").groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("word", "own"))).alias("own"))  # no longer than a shard's vocabulary
+    shards = shards.join(changed, "shard", "left")
+    replaced = F.transform("vocabulary", lambda w, i: F.coalesce(F.try_element_at("own", w), F.get("codes", i)))
+    return dictionary, shards.withColumn("codes", F.when(F.col("own").isNull(), F.col("codes")).otherwise(replaced)).drop("own")
 
 
 def _row_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,20 +140,19 @@ def _row_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             get = lambda name: batch.column(name).slice(i, 1).flatten()  # noqa: E731, B023
             bounds = np.asarray(get("bounds"))
-            entries = np.asarray(get("codes"))[np.asarray(get("columns"))] if bounds[-1] else np.zeros(0, np.int64)
-            upto = lambda values: np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-            sums, stored = (np.diff(upto(v)[bounds]) for v in (np.asarray(get("counts")), entries >= 0))
-            yield pa.RecordBatch.from_arrays([*[get(c) for c in _CARRIED], pa.array(sums), pa.array(stored)], [*_CARRIED, "n_words", "n_distinct"])
+            sums = np.diff(np.concatenate([[0], np.cumsum(np.asarray(get("counts")), dtype=np.int64)])[bounds])
+            yield pa.RecordBatch.from_arrays([*[get(c) for c in (*_CARRIED, "late")], pa.array(sums), pa.array(np.diff(bounds))], [*_CARRIED, "late", "n_words", "n_distinct"])
 
 
-def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_bytes: int = SHARD_BYTES, code_bits: int = CODE_BITS) -> DataFrame:
     """One row per document: doc_id, part, digest, n_words, n_distinct and ``fails``, the bits of the filters A-D it fails."""
-    _, shards = document_term_matrix(docs, id_col, text_col, source_col, shard_bytes)
+    _, shards = document_term_matrix(docs, id_col, text_col, source_col, shard_bytes, code_bits)
     kinds = dict(shards.dtypes)
-    schema = ", ".join(f"{c} {kinds[c][6:-1]}" for c in _CARRIED)
-    rows = shards.mapInArrow(_row_flags, f"{schema}, n_words long, n_distinct long")
-    fails = [F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words"), F.col("capitals"), F.col("signs")]
-    bits = sum((F.when(f, F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fails)), F.lit(0))
+    schema = ", ".join(f"{c} {kinds[c][6:-1]}" for c in (*_CARRIED, "late"))
+    matrix = shards.select(*_CARRIED, "late", "bounds", "counts")  # a column's code is that of one word, so entries of a row are distinct words
+    rows = matrix.mapInArrow(_row_flags, f"{schema}, n_words long, n_distinct long")
+    short, same = F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")
+    bits = F.when(short, 1).otherwise(0) + F.when(same, 2).otherwise(0) + F.col("late").cast("int")
     return rows.select("doc_id", "part", "digest", "n_words", "n_distinct", bits.alias("fails"))
 
 
