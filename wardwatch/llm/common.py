@@ -48,6 +48,26 @@ def one_of_equal(rows: DataFrame, key: str, repeated: DataFrame, broadcast_rows:
     return rows.join(hinted, key, "left_anti").unionByName(first.where(F.col(rank) == 1).drop(rank))
 
 
+def sized(small: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of few columns for an equi-join: broadcast if it has no more than ``broadcast_rows``, otherwise shuffled and hashed."""
+    return small.hint("broadcast" if small.limit(broadcast_rows + 1).count() <= broadcast_rows else "shuffle_hash")
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place (from 0) in the order as column ``name``.
+
+    Rows are dealt by ranges of the order and numbered within each; the
+    number of rows in the ranges before, one row per range, is broadcast.
+    The places are distinct also among rows that tie.
+    """
+    at = fresh(rows, "at")
+    numbered = cut_lineage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    ranges = numbered.groupBy(F.shiftright(at, 33).alias("range_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = ranges.select("range_", (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).alias("before_"))
+    joined = numbered.join(F.broadcast(before), F.shiftright(at, 33) == F.col("range_"))
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (F.col("before_") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut batches into short ones, so that few texts at a time live as Python objects."""
     for batch in batches:
