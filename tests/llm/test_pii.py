@@ -77,7 +77,8 @@ def test_disclosing_terms(spark, limit):
     terms = {r.term: r for r in pii.disclosing_terms(_docs(spark, rows)).collect()}
     assert set(terms) == {"zorbek"}
     n = len(rows)
-    assert terms["zorbek"].disclosure == pytest.approx(1 - math.log(7 / 6) / math.log(n / 6))
+    chance = (6 * 6 / 7 + 36 / n * 6 / 36) / 7  # no other address has the term beside it
+    assert terms["zorbek"].disclosure == pytest.approx(1 - math.log(chance) / math.log(6 / n))
     got = {r.doc_id: r for r in pii.find(_docs(spark, rows), broadcast_terms=limit).collect()}
     assert len(got) == n and got[0].spans == "" and got[400].spans == ("term:7:13" if not terms["zorbek"].removed else "removed_term:7:13")
     assert got[200].n_email == 1 and "email:" in got[200].spans and "term:" in got[200].spans
@@ -94,3 +95,81 @@ def test_edges(spark):
         [(1, 0, 0, ""), (2, 0, 0, ""), (0, 1, 0, "email:0:6"), (3, 1, 0, "email:0:6"), (3, 1, 0, "email:0:6"), (4, 0, 1, "ip:2:9")]
     )
     assert pii.find(_docs(spark, [])).collect() == []
+
+
+def _random_corpus(seed):
+    """Addresses and numbers of a few groups among words that are common, rare or tied to one of them; copies, nulls and empty texts too."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    people = [(f"P{w}name", f"{w}@mail{rng.randrange(3)}.example") for w in words[:25]]
+    rows = []
+    for i in range(260):
+        if rows and rng.random() < 0.2:
+            rows.append((i, rng.choice(rows)[1]))
+            continue
+        text = rng.choices(words, k=rng.randrange(25))
+        if rng.random() < 0.5:
+            name, address = rng.choice(people)
+            text += [name.upper() if rng.random() < 0.2 else name, rng.choice((address, address.upper(), "+49 30 12345" + str(rng.randrange(10, 99)), f"10.0.{rng.randrange(3)}.7", "4539 1488 0343 6467"))] * rng.choice((1, 1, 2))
+            text += [f"once{i}".translate(str.maketrans("0123456789", "ghijklmnop"))] * rng.randrange(2)
+        text += rng.choices(words, k=rng.randrange(25))
+        rows.append((i, rng.choice((" ".join(text), " ".join(text), "", None))))
+    return rows
+
+
+def brute_terms(rows, window=80):
+    """Disclosure of every word near an entity, counted from the whole corpus with plain loops."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    near, named, used = {}, {}, {}
+    for doc, text in rows:
+        text = text or ""
+        for w in {m.group().lower() for m in word.finditer(text)}:
+            used.setdefault(w, set()).add(doc)
+        spans = plain(text)
+        for a, k, b in spans:
+            said = text[a:b]
+            digits = re.sub("[^0-9]", "", said)
+            value, group = [(said.lower(), said.lower().split("@")[-1]), (said, said.rsplit(".", 2)[0]), (digits, digits[:6]), (digits, digits[:4])][k]
+            around = set()
+            for m in word.finditer(text):
+                whole = m.start() >= a - window and m.end() <= a or m.start() >= b and m.end() <= b + window
+                if whole and not any(m.start() < y and m.end() > x for x, _, y in spans):
+                    around.add(m.group().lower())
+            kind = pii.KINDS[k]
+            for e in ((kind,), (kind, group), (kind, group, value)):
+                named.setdefault(e, set()).add(doc)
+                for w in around:
+                    others = sorted(around - {w}, key=lambda x: pii.xxhash.xxh64_intdigest(x) >> 1)
+                    found = near.setdefault((e, w), (set(), set()))
+                    found[0].add(doc)
+                    found[1].add(others[0] if others else None)
+    best, n = {}, len(rows)
+
+    def known(e, w, contexts):
+        """P(e | w) from the given contexts of the two and what is known without them."""
+        docs, all_contexts = near[e, w]
+        if len(e) == 1:
+            lean = len(named[e]) / n
+        else:
+            lean = known(e[:-1], w, near[e[:-1], w][1] - all_contexts) * len(named[e]) / len(named[e[:-1]])
+        return (len(contexts) * len(docs) / len(used[w]) + lean) / (len(contexts) + 1)
+
+    for e, w in near:
+        if len(e) > 1:
+            best[w] = max(best.get(w, 0), 1 - math.log(known(e, w, near[e, w][1])) / math.log(len(named[e]) / n))
+    return {w: d for w, d in best.items() if d >= pii.GENERALISE}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_disclosure_like_plain_counts(spark, seed):
+    rows = _random_corpus(seed)
+    got = {r.term: r for r in pii.disclosing_terms(_docs(spark, rows)).collect()}
+    want = brute_terms(rows)
+    assert len(want) > 10
+    assert {t: r.disclosure for t, r in got.items()} == pytest.approx(want)
+    assert all(r.removed == (r.disclosure >= pii.REMOVE) for r in got.values())
+    found = {r.doc_id: r for r in pii.find(_docs(spark, rows)).collect()}
+    for doc, text in rows:
+        base = plain(text or "")
+        terms = [m for m in re.finditer(r"[^\W\d_]{3,}", text or "") if m.group().lower() in want and not any(m.start() < y and m.end() > x for x, _, y in base)]
+        assert (found[doc].n_terms, found[doc].n_spans) == (len(terms), len(terms) + len(base))

@@ -1,17 +1,28 @@
 """Personal data by patterns, and terms that disclose it by co-occurrence.
 
 Patterns find the protected entities of a text: e-mail and network
-addresses, card and phone numbers.  All documents then tell how strongly a
-word near an entity gives it away.  With N documents, n(e) of them naming
-entity e, n(t) using term t and n(e, t) using t within ``WINDOW`` code points
-of e, the term discloses the share PMI(e; t) / IC(e) of the entity's
-information, that is log(N n(e,t) / (n(e) n(t))) / log(N / n(e)): 1 if the
-term occurs beside the entity alone, 0 if it tells nothing.  Copies weigh on
-both sides of that ratio; so that they aren't taken for evidence, a pair must
-also occur in ``MIN_CONTEXTS`` contexts that differ (by the smallest hash of
-the words around).  Terms that disclose ``GENERALISE`` or more are
-generalised to their class wherever they occur, and those that disclose
-``REMOVE`` or more are removed.
+addresses, card and phone numbers.  An entity also stands for its group (mail
+domain, network, number prefix), and a group for its kind.  All documents
+then tell how strongly a word near an entity gives it away.  With N
+documents, n(e) of them naming e (a value, group or kind), n(t) using term t,
+n(e, t) using t within ``WINDOW`` code points of e and c(e, t) contexts of
+the two that differ (by the smallest hash of the words around),
+
+    P(e | t) = (c(e,t) n(e,t) / n(t) + PRIOR lean(e,t)) / (c(e,t) + PRIOR)
+
+where lean(e,t) is what is known without these contexts: P(up | t) n(e) / n(up)
+with ``up`` a value's group or a group's kind, estimated in the same way from
+those contexts of ``up`` that aren't contexts of e too, and for a kind the
+plain share n(e) / N.  So a pair seen once counts for what it is, one
+context, rare values lean on their group, and copies, which weigh on both
+n(e,t) and n(t) but add no context, aren't taken for evidence.  The term discloses the
+share PMI(e; t) / IC(e) = 1 - log P(e|t) / log(n(e) / N) of the entity's
+information: 1 if the term occurs beside the entity alone, 0 if it tells
+nothing.  Terms that disclose a value or a group to the degree ``GENERALISE``
+or more are generalised to their class wherever they occur, and those that
+disclose ``REMOVE`` or more are removed.  With a prior of one context a word
+that occurs once in the corpus, beside an entity named once, is generalised
+as soon as N reaches about a hundred.
 
 Pairs and words are counted by partial aggregates.  The disclosing terms are
 broadcast up to ``BROADCAST_TERMS``; more of them meet the words of each
@@ -32,7 +43,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch.llm.common import fresh, slices
@@ -40,8 +51,11 @@ from wardwatch.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 80
-MIN_CONTEXTS = 3
-GENERALISE, REMOVE = 0.9, 0.97
+#: Contexts that the estimate of the next higher level counts for.
+PRIOR = 1.0
+GENERALISE, REMOVE = 0.85, 0.95
+#: Digits of a card or phone number that name its group.
+PREFIX = {2: 6, 3: 4}
 BROADCAST_TERMS = 100_000
 #: Words a task counts before it passes its counts on.
 FLUSH_WORDS = 200_000
@@ -93,11 +107,19 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _entity(text: str, span: Span) -> str:
-    """The entity's name: e-mail addresses compare without case, numbers by their digits."""
-    said = text[span[0] : span[2]]
-    value = said.lower() if span[1] == 0 else said if span[1] == 1 else "".join(_DIGIT.findall(said))
-    return f"{KINDS[span[1]]}:{value}"
+def _levels(text: str, span: Span) -> tuple[str, str, str]:
+    """Names of the entity's value, group and kind: e-mail addresses compare without case, numbers by their digits."""
+    said, kind = text[span[0] : span[2]], KINDS[span[1]]
+    if span[1] == 0:
+        value = said.lower()
+        group = value.rpartition("@")[2]
+    elif span[1] == 1:
+        value = said
+        group = ".".join(said.split(".")[:2])
+    else:
+        value = "".join(_DIGIT.findall(said))
+        group = value[: PREFIX[span[1]]]
+    return f"{kind}:{group}:{value}", f"{kind}:{group}", kind
 
 
 def _words_between(text: str, start: int, end: int, masked: tuple[list[int], list[int]]) -> list[str]:
@@ -114,7 +136,7 @@ def _words_between(text: str, start: int, end: int, masked: tuple[list[int], lis
 
 
 def contexts(text: str, window: int = WINDOW) -> dict[tuple[str, str], set[int]]:
-    """For each (entity, term) of a text the contexts it was seen in; term "" stands for the entity itself."""
+    """For each (entity, term) of a text, entities of all levels, the contexts it was seen in; term "" stands for the entity itself."""
     spans = base_spans(text)
     if not spans:
         return {}
@@ -123,14 +145,16 @@ def contexts(text: str, window: int = WINDOW) -> dict[tuple[str, str], set[int]]
         ends.append(max(s[2], ends[-1] if ends else 0))
     pairs: dict[tuple[str, str], set[int]] = {}
     for span in spans:
-        name = _entity(text, span)
-        pairs.setdefault((name, ""), {0})
+        names = _levels(text, span)
+        for name in names:
+            pairs.setdefault((name, ""), {0})
         near = set(_words_between(text, max(0, span[0] - window), span[0], (starts, ends)))
         near |= set(_words_between(text, span[2], min(len(text), span[2] + window), (starts, ends)))
         ranked = sorted((xxhash.xxh64_intdigest(w) >> 1, w) for w in near)
         for _, w in ranked:
             other = next((h for h, x in ranked[:2] if x != w), 0)
-            pairs.setdefault((name, w), set()).add(other)
+            for name in names:
+                pairs.setdefault((name, w), set()).add(other)
     return pairs
 
 
@@ -166,24 +190,45 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(term, disclosure, removed): terms that disclose an entity to the degree ``generalise`` or more."""
+def _up(entity) -> Column:
+    """Name of the next higher level."""
+    return F.when(F.size(F.split(entity, ":", 3)) == 3, F.substring_index(entity, ":", 2)).otherwise(F.substring_index(entity, ":", 1))
+
+
+def estimates(docs: DataFrame, text_col: str = "text", prior: float = PRIOR) -> DataFrame:
+    """(entity, term, chance, share): P(entity | term) and the entity's share of all documents, for all values and groups and the words near them."""
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     each = texts.mapInArrow(_pair_rows, "entity string, term string, context long, first long")
     each = each.groupBy("entity", "term", "context").agg(F.sum("first").alias("n"))
     pairs = cut_lineage(each.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts")))
-    entities = pairs.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    # A pair may be common however many entities there are, so both sides meet by shuffle.
-    likely = cut_lineage(pairs.where((F.col("term") != "") & (F.col("contexts") >= min_contexts)).join(entities, "entity"))
-    spark = docs.sparkSession
-    if likely.isEmpty():
-        return spark.createDataFrame([], "term string, disclosure double, removed boolean")
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "entity string, term string, chance double, share double")
     total = texts.count()
     used = texts.mapInArrow(_word_rows, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    shares = likely.join(used, "term").where(F.col("n_entity") < total)
-    told = 1 - F.log(F.col("n_term") / F.col("n")) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    best = shares.groupBy("term").agg(F.max(told).alias("disclosure")).where(F.col("disclosure") >= generalise)
-    return cut_lineage(best.withColumn("removed", F.col("disclosure") >= remove))
+    seen = cut_lineage(pairs.where("term <> ''").join(used, "term").select("entity", "term", "contexts", (F.col("n") / F.col("n_term")).alias("beside")))
+    size = pairs.where("term = ''").select(F.col("entity").alias("of"), F.col("n").alias("size"))
+    kinds = F.broadcast(size.where(F.col("of").isin(*KINDS)))
+    smooth = lambda contexts, beside, lean: (contexts * beside + prior * lean) / (contexts + prior)
+    # One level after the other: a kind's rows meet those of its groups by (kind, term), a group's those of its values.
+    above = seen.where(F.col("entity").isin(*KINDS)).join(kinds, F.col("entity") == F.col("of")).withColumn("lean", F.col("size") / total)
+    found = []
+    for colons in (1, 2):
+        level = lambda name: F.size(F.split(name, ":", 3)) == colons + 1  # noqa: B023, E731
+        above = above.select(F.col("entity").alias("up"), F.col("term").alias("up_term"), *[F.col(c).alias(f"up_{c}") for c in ("contexts", "beside", "size", "lean")])
+        rows = seen.where(level(F.col("entity"))).join(size.where(level(F.col("of"))), F.col("entity") == F.col("of")).withColumn("of_", _up(F.col("entity")))
+        rows = rows.join(above, (F.col("of_") == F.col("up")) & (F.col("term") == F.col("up_term")))
+        others = smooth(F.col("up_contexts") - F.col("contexts"), F.col("up_beside"), F.col("up_lean"))
+        above = cut_lineage(rows.select("entity", "term", "contexts", "beside", "size", (others * F.col("size") / F.col("up_size")).alias("lean")))
+        chance = smooth(F.col("contexts"), F.col("beside"), F.col("lean"))
+        found.append(above.select("entity", "term", chance.alias("chance"), (F.col("size") / total).alias("share")))
+    return found[0].union(found[1])
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, prior: float = PRIOR) -> DataFrame:
+    """(term, disclosure, removed): terms that disclose a value or group of entities to the degree ``generalise`` or more."""
+    told = 1 - F.log("chance") / F.log("share")
+    best = estimates(docs, text_col, prior).where("share < 1").groupBy("term").agg(F.max(told).alias("disclosure"))
+    return cut_lineage(best.where(F.col("disclosure") >= generalise).withColumn("removed", F.col("disclosure") >= remove))
 
 
 def term_spans(text: str, terms: dict[str, bool], base: list[Span]) -> list[Span]:
@@ -244,8 +289,8 @@ def _marked(rows: DataFrame, terms: DataFrame, broadcast_terms: int, with_text:
         hits = hits.groupBy("at").agg(F.collect_list(F.struct("term", "removed")).alias("hits_"))  # no longer than the text's vocabulary
         own = fresh(numbered, "hits")
         rows = numbered.join(hits.select(F.col("at").alias(row), F.col("hits_").alias(own)), row, "left").select(*[f"`{c}`" for c in names], f"`{own}`", f"`{text}`")
-    kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.string())
-    added = [fresh(rows, n) for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean")]
+    kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    added = [fresh(rows, n) for n in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_terms", "clean")]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -259,16 +304,16 @@ def _marked(rows: DataFrame, terms: DataFrame, broadcast_terms: int, with_text:
                 spans = sorted(base + term_spans(text, these, base))
                 counts = [sum(s[1] == k for s in base) for k in range(4)]
                 digest = hashlib.sha256(_listed(base).encode()).hexdigest()
-                found.append((*counts, digest, _listed(spans), clean(text, spans) if with_text else None))
+                found.append((*counts, digest, _listed(spans), len(spans), len(spans) - len(base), clean(text, spans) if with_text else None))
             columns = [pa.array(c, k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], [*names, *added])
 
-    schema = [f"`{c}` {kind}" for c, kind in rows.dtypes[: len(names)]] + [f"`{c}` {k}" for c, k in zip(added, ["long"] * 4 + ["string"] * 3)]
+    schema = [f"`{c}` {kind}" for c, kind in rows.dtypes[: len(names)]] + [f"`{c}` {k}" for c, k in zip(added, ["long"] * 4 + ["string"] * 2 + ["long"] * 2 + ["string"])]
     return rows.mapInArrow(mark, ", ".join(schema))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS, **thresholds) -> DataFrame:
-    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, and n_terms, the number of disclosing terms among them."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return _marked(rows, disclosing_terms(docs, text_col, **thresholds), broadcast_terms, False).drop("clean")
 
