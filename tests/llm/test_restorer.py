@@ -1,6 +1,8 @@
 """Disguises that the restorer must read, and its decoding against enumeration."""
 
 import itertools
+import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -57,3 +59,30 @@ def test_reads_the_cheapest_of_all(spot):
 def test_long_runs_take_linear_time():
     for run in ("a" * 200_000, "1" * 200_000, "a " * 100_000, "a." * 100_000, "((" * 100_000):
         toxicity.spots(run, set())
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7])
+def test_segments_read_like_one(monkeypatch, segment):
+    rng = random.Random(segment)
+    spots = ["".join(rng.choices("ab*1$-!*", k=rng.randint(1, 24))) for _ in range(60)] + ["a" + "*" * 40 + "b**c", "*" * 30, "b" * 20, ""]
+    costs = np.random.default_rng(7).gamma(2.0, 1.5, (toxicity.CLASSES,) * 3)
+    whole = [toxicity.Restorer(costs).read(x) for x in spots]
+    monkeypatch.setattr(toxicity, "SEGMENT", segment)
+    assert [toxicity.Restorer(costs).read(x) for x in spots] == whole
+
+
+def test_runs_read_like_single_steps(restorer, monkeypatch):
+    """Steps that are taken at once within a run give what each of them gives."""
+    spots = ["*" * n for n in (3, 17, 60)] + ["stu" + "*" * 50 + "pid", "a" + "*" * 33 + "1d"]
+    fast = [toxicity.Restorer(restorer.costs).read(x) for x in spots]
+    monkeypatch.setattr(toxicity.np, "ptp", lambda x: 1.0)
+    assert [toxicity.Restorer(restorer.costs).read(x) for x in spots] == fast
+
+
+@pytest.mark.parametrize("spot", ["*" * 200_000, "a*" * 4_000, "1" * 20_000, "a-" * 20_000])
+def test_long_spots_take_little_memory(restorer, spot):
+    tracemalloc.start()
+    toxicity.Restorer(restorer.costs).read(spot)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6

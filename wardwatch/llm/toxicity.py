@@ -54,6 +54,8 @@ SIGN_COST, WILD_COST, SIGN_KEPT, SEPARATOR_DROPPED, SEPARATOR_KEPT = 1.0, 2.5, 9
 REPEAT_COST = {2: 3.0, 3: 0.2}
 #: Marks a path that a character leaves in its state; less is a class before a letter, more one before a separator.
 STAY = 64
+#: Characters whose back pointers are held at a time; of longer spots the states between segments are kept and segments decoded again.
+SEGMENT = 2048
 
 _L = r"[^\W\d_]"
 _SIGN = r"[0-9@$!|+€£(*]"
@@ -165,16 +167,58 @@ class Restorer:
         known = self.seen.get(spot)
         if known is not None:
             return known
-        paths: dict[tuple[int, int], float] = {(0, 0): 0.0}
+        states: list = [({(0, 0): 0.0}, None)]
         back: list = []
-        rows, dense = self._at, None
-        for i in range(len(spot)):
+        for start in range(0, len(spot), SEGMENT):
+            back = []
+            states.append(self._segment(spot, start, states[-1], back))
+        paths, dense = states.pop()
+        if dense is not None:
+            state = divmod(int((dense + self.costs[:, :, 0]).argmin()), CLASSES)
+        else:
+            state = min((cost + self._at[a][b][0], (a, b)) for (a, b), cost in paths.items())[1]
+        said = []
+        for number in range(len(states) - 1, -1, -1):
+            if number < len(states) - 1:
+                back = []
+                self._segment(spot, number * SEGMENT, states[number], back)
+            for come in reversed(back):
+                if isinstance(come, dict):
+                    state, out = come[state]
+                else:
+                    (a, b), at = state, int(come[state])
+                    if at < STAY:
+                        state, out = (at, a), chr(ord("a") + b - 1)
+                    else:
+                        state, out = (state, "") if at == STAY else ((at - STAY - 1, a), " ")
+                said.append(out)
+        best = "".join(reversed(said))
+        if len(self.seen) < 100_000 and len(spot) < 200:
+            self.seen[spot] = best
+        return best
+
+    def _segment(self, spot: str, start: int, state: tuple, back: list) -> tuple:
+        """The state (paths, dense) after the segment from ``start`` on; back pointers are added to ``back``, one entry a character."""
+        paths, dense = state
+        rows, end, i = self._at, min(len(spot), start + SEGMENT), start
+        while i < end:
             after: dict[tuple[int, int], float] = {}
             come: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
             options = self._options(spot, i)
+            i += 1
             if len(options) > 8:
-                dense, come = self._any_letter(_table(paths) if dense is None else dense, dict(options))
+                before = _table(paths) if dense is None else dense
+                dense, come = self._any_letter(before, dict(options))
                 back.append(come)
+                # Within a run of the sign all costs soon grow alike; from there on each step is the same (but for rounding).
+                reached = dense < np.inf
+                if spot[i - 2 : i + 1] == "***" and (reached == (before < np.inf)).all() and np.ptp(grown := dense[reached] - before[reached]) < 1e-9:
+                    steps = 0
+                    while i + steps < end and spot[i + steps] == "*":
+                        steps += 1
+                    dense = dense + steps * grown.mean()
+                    back.extend([come] * steps)
+                    i += steps
                 continue
             if dense is not None:
                 at = np.nonzero(np.isfinite(dense))
@@ -191,25 +235,7 @@ class Restorer:
                         after[to], come[to] = total, (state, out)
             paths = after
             back.append(come)
-        if dense is not None:
-            state = divmod(int((dense + self.costs[:, :, 0]).argmin()), CLASSES)
-        else:
-            state = min((cost + rows[a][b][0], (a, b)) for (a, b), cost in paths.items())[1]
-        said = []
-        for come in reversed(back):
-            if isinstance(come, dict):
-                state, out = come[state]
-            else:
-                (a, b), at = state, int(come[state])
-                if at < STAY:
-                    state, out = (at, a), chr(ord("a") + b - 1)
-                else:
-                    state, out = (state, "") if at == STAY else ((at - STAY - 1, a), " ")
-            said.append(out)
-        best = "".join(reversed(said))
-        if len(self.seen) < 100_000 and len(spot) < 200:
-            self.seen[spot] = best
-        return best
+        return paths, dense
 
     def _any_letter(self, costs: np.ndarray, price: dict[str | None, float]) -> tuple[np.ndarray, np.ndarray]:
         """Costs of all states after a sign that may stand for any letter, separate or be dropped; where each came from."""
@@ -224,7 +250,7 @@ class Restorer:
         after[0, 0], come[0, 0] = np.inf, STAY  # a separator adds nothing to another
         stay = costs + price[None]
         stay[:, 0] = np.minimum(stay[:, 0], costs[:, 0] + price[" "])
-        come = np.where(stay <= after, STAY, come)
+        come = np.where(stay <= after, STAY, come).astype(np.uint8)
         return np.minimum(after, stay), come
 
     def words(self, text: str | None) -> set[str]:
