@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from wardwatch.llm import quote_links, token_rollup
 
 COUNTS = "doc_id long, source string, lang string, version string, tokens long"
@@ -68,8 +70,8 @@ def test_nested_quotes(spark):
         (1, 6, "user", "> Or less data.\n>> Which one?\n> Use an index.\nok"),
         (2, 0, "user", "> Use an index.\nfrom elsewhere"),
     ]
-    for block in (2, 4096):
-        got = _chat(spark, rows, block=block)
+    for ranges in (None, 2, 9):
+        got = _chat(spark, rows, ranges=ranges)
         assert {k: r.parent for k, r in got.items()} == {(1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 1, (1, 5): 4, (1, 6): 1, (2, 0): None}
         assert {k for k, r in got.items() if r.linked} == {(1, 3), (1, 4), (1, 6)}
         assert got[1, 3].text == "Try again." and got[1, 4].text == "Which one?" and got[1, 4].depth == 2 and got[1, 0].text == rows[0][3]
@@ -78,8 +80,22 @@ def test_nested_quotes(spark):
 def test_chat_edges(spark):
     rows = [(None, 0, "user", "a"), (None, 1, None, None), (3, None, "user", ""), (3, 5, "user", "b"), (3, 5, "user", "b"), (4, 0, "user", ">"), (4, 1, "user", "> " * 5 + "w " * 60_000)]
     rows += [(5, i, "user", "> same\nsame" if i else "same") for i in range(300)]
-    got = _chat(spark, rows, block=16)
+    got = _chat(spark, rows, ranges=16)
     assert len(got) == len(rows)
     assert [got[None, i].text for i in range(2)] == ["a", ""] and got[3, 2].turn is None
     assert all(got[5, i].parent == 0 and got[5, i].linked and got[5, i].text == "same" for i in range(1, 300))
     assert _chat(spark, []) == {}
+
+
+@pytest.mark.parametrize("conv,turn", [(None, None), (7, 3), (None, 3)])
+def test_hot_conversation_is_split(spark, conv, turn):
+    """Rows of one conversation with one turn or none, most of them equal, are ordered in many tasks."""
+    rows = [(conv, turn, "user", "same" if i % 3 else f"text {i}", "x") for i in range(4000)] + [(8, 0, "user", "other", "x")] * 50
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, `Position` string").repartition(5)
+    numbered = quote_links._numbered(df, "conv_id", "turn", "role", "text", 16)
+    sizes = [r["count"] for r in numbered.groupBy("block").count().collect()]
+    assert sum(sizes) == 4050 and max(sizes) < 800
+    got = quote_links.placed(df, ranges=16).collect()
+    assert sorted(r.position for r in got if r.conv_id == conv) == list(range(4000)) and sorted(r.position for r in got if r.conv_id == 8) == list(range(50))
+    texts = [r.text for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)]
+    assert sum(a != b for a, b in zip(texts, texts[1:])) <= 2 * len(set(texts))

@@ -11,11 +11,12 @@ nothing known answers the one before it.  Quotes, and the line that announces
 one (``... wrote:``), go.
 
 Every row keeps a place in its conversation: turns in order, and a parent
-always comes before its replies.  Places are counted in blocks of
-``BLOCK`` turns, whose sizes are summed up per conversation, so a
-conversation that holds a third of all rows is spread over many tasks; the
-first sayings are found by partial aggregates, and no conversation is ever
-gathered into one row.
+always comes before its replies.  Rows are dealt by ranges of conversation,
+turn, role and text, equal rows by their number, and the rows of the ranges
+before are summed up per conversation; so a conversation that holds a third of
+all rows is spread over many tasks whatever its turns are.  The first sayings
+are found by partial aggregates, and no conversation is ever gathered into
+one row.
 
 Defined results: a null text has no lines and gives an empty message; an
 empty line says nothing and links nothing; null turns come last; rows with
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 
 from wardwatch.session import cut_lineage
 
-#: Turns of a conversation that are ordered in one task.
-BLOCK = 4096
 #: The mark of a quote and the words that announce one.
 QUOTE = r"^((?:[ \t]*>)+)[ \t]?"
 ANNOUNCES = r"(?i)\b(wrote|schrieb|a écrit|escribió)\s?:\s*$"
@@ -43,22 +42,30 @@ def _step(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def placed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """conv_id, conv (a key that is never null), turn, role, text, position (from 0 in the conversation)."""
+def _numbered(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, ranges: int | None) -> DataFrame:
+    """conv_id, conv, turn, role, text, block (the range a row is in) and at (its number there), in order."""
     rows = messages.select(
         F.col(f"`{conv_col}`").alias("conv_id"),
         F.coalesce(F.concat(F.lit("v"), F.col(f"`{conv_col}`").cast("string")), F.lit("null")).alias("conv"),
         F.col(f"`{turn_col}`").cast("long").alias("turn"),
         F.col(f"`{role_col}`").cast("string").alias("role"),
         F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows = cut_lineage(rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(2**62))))
-    sizes = rows.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.xxhash64("text"), F.col("text"), F.col("row")]
+    keys = [*order[:4], F.col("row")]  # equal rows are dealt apart, and texts don't enter the bounds of the ranges
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *keys).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()
+    return cut_lineage(dealt.select("conv_id", "conv", "turn", "role", "text", F.shiftright(number, 33).alias("block"), number.alias("at")))
+
+
+def placed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+    """conv_id, conv (a key that is never null), turn, role, text, position (from 0 in the conversation)."""
+    rows = _numbered(messages, conv_col, turn_col, role_col, text_col, ranges)
+    sizes = rows.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("conv", "block").orderBy(F.col("turn").asc_nulls_last(), "role", F.xxhash64("text"), "text")
-    ranked = rows.withColumn("place", F.row_number().over(order))
-    return ranked.join(sizes, ["conv", "block"]).select("conv_id", "conv", "turn", "role", "text", (F.col("before") + F.col("place") - 1).alias("position"))
+    sizes = sizes.select("conv", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(sizes, ["conv", "block"]).select("conv_id", "conv", "turn", "role", "text", (F.col("before") + F.col("at") - F.col("first")).alias("position"))
 
 
 def _keys(passages: Column) -> Column:
@@ -114,9 +121,9 @@ def links(rows: DataFrame) -> DataFrame:
     return votes.groupBy("conv", "position").agg(F.max_by("origin", F.struct(-F.col("level"), "chars", "origin")).alias("parent"))
 
 
-def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per message: conv_id, position, turn, role, text (without quotes), parent, linked, depth."""
-    rows = cut_lineage(parsed(placed(messages, conv_col, turn_col, role_col, text_col, block)))
+    rows = cut_lineage(parsed(placed(messages, conv_col, turn_col, role_col, text_col, ranges)))
     parent = F.coalesce("parent", F.when(F.col("position") > 0, F.col("position") - 1))
     return (
         rows.drop("quotes", "keys", "text")
