@@ -16,9 +16,9 @@ source; their number doesn't grow with the documents, and more than
 The flow gives each pattern a number of whole passes and a rest.  The rest
 is filled with documents in seeded hash order, each one taken if it fits what
 is still open and passed over if not.  That is done in steps: of the
-documents that fit now, a histogram of 65,536 hash ranges finds the range
-where they no longer do, the documents of that range alone are ordered to
-find the hash, and the next step goes on behind it with the documents that
+documents that fit now, a histogram of 256 hash ranges finds the range where
+they no longer do, one of that range's 256 parts finds the part, the documents
+of that part alone are ordered to find the hash, and the next step goes on behind it with the documents that
 fit what is then open, until none is left (in random order the number of
 steps grows with the logarithm of the documents).  One more document, the one
 whose size fits what is still missing best, tops it up.  A row is thus
@@ -46,8 +46,8 @@ from wardwatch.session import cut_lineage
 
 MAX_PATTERNS = 50_000
 MAX_REPEATS = 3
-#: Hash ranges of the histogram that finds where a pattern's rest ends.
-RANGE_BITS = 16
+#: Leading bits of a hash that name the ranges of the histograms which find where a pattern's rest ends, one within the other.
+RANGE_BITS = (8, 16)
 #: Above all hashes, which have 63 bits.
 ALL = 2**63 - 1
 
@@ -145,18 +145,22 @@ def _within(step: Column, u: Column, size: Column) -> Column:
 
 def _fill(units: DataFrame, rests: DataFrame) -> DataFrame:
     """(pattern, steps) for ``rests`` (pattern, rest): steps (after, cut, cap) that take, in hash order, every unit which fits what is still open."""
-    units = units.withColumn("span", F.shiftright("u", 63 - RANGE_BITS))
+    ranged = units.select("*", *[F.shiftright("u", 63 - bits).alias(f"span{bits}") for bits in RANGE_BITS])
     open_ = cut_lineage(rests.where("rest > 0").select("pattern", "rest", F.lit(-1).cast("long").alias("after")))
     steps = open_.select("pattern", "after", F.lit(0).cast("long").alias("cut"), F.col("rest").alias("cap")).limit(0)
     while not open_.isEmpty():
-        left = units.join(sized(open_), "pattern").where((F.col("u") > F.col("after")) & (F.col("size") <= F.col("rest")))
-        upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("span"))
-        ranges = left.groupBy("pattern", "rest", "after", "span").agg(F.sum("size").alias("size")).withColumn("upto", upto)
-        over = F.when(F.col("upto") > F.col("rest"), F.struct("span", (F.col("upto") - F.col("size")).alias("before")))
-        ends = cut_lineage(ranges.groupBy("pattern", "rest", "after").agg(F.min(over).alias("end")))
-        found = ends.where("end IS NOT NULL").select("pattern", F.col("end.span").alias("span"), F.col("end.before").alias("before"))
+        left = ranged.join(sized(open_), "pattern").where((F.col("u") > F.col("after")) & (F.col("size") <= F.col("rest"))).withColumn("before", F.lit(0).cast("long"))
+        ends = None
+        for bits in RANGE_BITS:
+            upto = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy(f"span{bits}"))
+            ranges = left.groupBy("pattern", "rest", "after", "before", f"span{bits}").agg(F.sum("size").alias("size")).withColumn("upto", upto)
+            over = F.when(F.col("upto") > F.col("rest"), F.struct(f"span{bits}", (F.col("upto") - F.col("size")).alias("got")))
+            found = cut_lineage(ranges.groupBy("pattern", "rest", "after").agg(F.min(over).alias("end")))
+            ends = found if ends is None else ends
+            inner = found.where("end IS NOT NULL").select("pattern", F.col(f"end.span{bits}").alias(f"span{bits}"), F.col("end.got").alias("before"))
+            left = left.drop("before").join(sized(inner), ["pattern", f"span{bits}"])
         running = F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("u"))
-        last = left.join(sized(found), ["pattern", "span"]).withColumn("running", running).where("running > rest")
+        last = left.withColumn("running", running).where("running > rest")
         cuts = last.groupBy("pattern").agg(F.min(F.struct("u", (F.col("running") - F.col("size")).alias("got"))).alias("cut"))
         # A pattern without a range that runs over takes all that is left.
         done = cut_lineage(ends.join(cuts, "pattern", "left").select("pattern", "after", F.coalesce(F.col("cut.u"), F.lit(ALL)).alias("cut"), F.col("rest").alias("cap"), F.col("cut.got").alias("got")))
