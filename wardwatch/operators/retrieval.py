@@ -79,15 +79,13 @@ def distinct_tokens(text: Column) -> Column:
 
 
 def query_text(rules: Column, vitals: Column, severity: Column) -> Column:
-    """Retrieval query built from an alert."""
-    return F.concat(
-        F.lit("Clinical protocol for: "), F.array_join(rules, ". "),
-        F.lit(". Patient presenting with HR "), vitals["heart_rate_bpm"].cast("string"),
-        F.lit(" bpm, BP "), vitals["systolic_bp_mmhg"].cast("string"), F.lit("/"),
-        vitals["diastolic_bp_mmhg"].cast("string"), F.lit(" mmHg, SpO2 "), vitals["spo2_percent"].cast("string"),
-        F.lit("%, RR "), vitals["respiratory_rate_rpm"].cast("string"), F.lit(" rpm, Temp "),
-        vitals["temperature_celsius"].cast("string"), F.lit("°C. Severity: "), severity, F.lit("."),
-    )
+    """Retrieval query built from an alert: the severity, what fired, then the readings."""
+    readings = [
+        ("pulse", vitals["heart_rate_bpm"]), ("systolic", vitals["systolic_bp_mmhg"]), ("diastolic", vitals["diastolic_bp_mmhg"]),
+        ("oxygen", vitals["spo2_percent"]), ("breathing", vitals["respiratory_rate_rpm"]), ("temperature", vitals["temperature_celsius"]),
+    ]
+    parts = [x for name, value in readings for x in (F.lit(f"; {name} "), value.cast("string"))]
+    return F.concat(F.lower(severity), F.lit(" care for "), F.array_join(rules, " and "), *parts)
 
 
 def keyword_terms(rules: Column) -> Column:

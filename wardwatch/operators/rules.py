@@ -183,8 +183,8 @@ def with_summary(alerts: DataFrame) -> DataFrame:
     )
 
 
-def to_keyed_json(alerts: DataFrame, key_col: str = "patient_id") -> DataFrame:
-    """Kafka ``key``/``value`` pair; key falls back to ``unknown``; nulls kept."""
+def to_keyed_json(alerts: DataFrame, key_col: str = "patient_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Kafka ``key``/``value`` pair (and the columns ``keep``); key falls back to ``unknown``; nulls kept."""
     cols = [c for c in schemas.ALERT.fieldNames() if c in alerts.columns]
     return alerts.select(
         F.coalesce(F.col(key_col), F.lit("unknown")).alias("key"),
@@ -192,4 +192,5 @@ def to_keyed_json(alerts: DataFrame, key_col: str = "patient_id") -> DataFrame:
             F.struct(*cols),
             {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
         ).alias("value"),
+        *keep,
     )

@@ -97,21 +97,27 @@ def q_alert_json(spark, sf_dir):
 
 
 def q_cooldown_60s(spark, sf_dir):
-    from wardwatch.operators.cooldown import accepted_alerts
+    from wardwatch.operators.cooldown import accepted_keys
 
-    return accepted_alerts(alerts(spark, sf_dir), 60).select("alert_id", "patient_id", "timestamp_utc")
+    return accepted_keys(alerts(spark, sf_dir), 60)
 
 
 def q_cooldown_12h(spark, sf_dir):
-    from wardwatch.operators.cooldown import accepted_alerts
+    from wardwatch.operators.cooldown import accepted_keys
 
-    return accepted_alerts(alerts(spark, sf_dir), 12 * 3600).select("alert_id", "patient_id", "timestamp_utc")
+    return accepted_keys(alerts(spark, sf_dir), 12 * 3600)
 
 
 def q_cooldown_skipped(spark, sf_dir):
-    from wardwatch.operators.cooldown import apply_cooldown, skipped_per_patient
+    from wardwatch.operators.cooldown import skipped_per_patient
 
-    return skipped_per_patient(apply_cooldown(alerts(spark, sf_dir), 60))
+    return skipped_per_patient(alerts(spark, sf_dir), 60)
+
+
+def q_cooldown_runs(spark, sf_dir):
+    from wardwatch.operators.cooldown import gap_runs
+
+    return gap_runs(alerts(spark, sf_dir), 12 * 3600)
 
 
 def triage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,11 +279,10 @@ def q_rrf_top3(spark, sf_dir):
     return fused.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), "relevance_score", "retrieval_method")
 
 
-def _parsed_replies(spark, sf_dir):
+def _parsed_replies(spark, sf_dir, al=None):
     from wardwatch.operators.reasoning import parse_replies
 
-    al = alerts(spark, sf_dir)
-    return parse_replies(tb.model_replies(al).join(al.select("alert_id", "hospital_id", "timestamp_utc"), "alert_id"))
+    return parse_replies(tb.model_replies(alerts(spark, sf_dir) if al is None else al))
 
 
 def q_reply_parse(spark, sf_dir):
@@ -401,40 +406,92 @@ def q_request_rate_breach(spark, sf_dir):
 
 
 def q_stream_alerts(spark, sf_dir):
-    from wardwatch.sources import fixtures as fx
     from wardwatch.streaming.alert_stream import run_available, telemetry_to_alerts
 
-    events_schema = tb.table(spark, sf_dir, "events").schema
-    stream = (
-        spark.readStream.format("parquet").schema(events_schema)
-        .option("pathGlobFilter", "events.parquet").load(sf_dir)
-    )
-    raw = tb._derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=stream)
-    out, _ = telemetry_to_alerts(raw)
-    got = run_available(out.select("alert_id", "patient_id", "severity", "timestamp_utc"), "stream_alerts", time="timestamp_utc")
-    return got
+    out, _ = telemetry_to_alerts(tb.raw_telemetry(spark, sf_dir, tb.events_stream(spark, sf_dir)))
+    return run_available(out.select("alert_id", "patient_id", "severity", "timestamp_utc"), "stream_alerts", time="timestamp_utc")
 
 
 def q_stream_cooldown(spark, sf_dir):
     """Streaming cooldown over the alert stream, drained to the end of its input."""
     from wardwatch.streaming.alert_stream import telemetry_to_alerts
     from wardwatch.streaming.cooldown_state import drain_cooldown
-    from wardwatch.sources import fixtures as fx
-
-    key = "spark.sql.streaming.stateStore.providerClass"
-    if "RocksDB" not in (spark.conf.get(key, "") or ""):
-        # transformWithState keeps its state in the RocksDB state store
-        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    events_schema = tb.table(spark, sf_dir, "events").schema
-    stream = (
-        spark.readStream.format("parquet").schema(events_schema)
-        .option("pathGlobFilter", "events.parquet").load(sf_dir)
-    )
-    raw = tb._derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=stream)
-    al, _ = telemetry_to_alerts(raw)
+
+    al, _ = telemetry_to_alerts(tb.raw_telemetry(spark, sf_dir, tb.events_stream(spark, sf_dir)))
     return drain_cooldown(al, 60)
 
 
+def alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of ``alerts`` as a stream."""
+    return ru.detect_alerts(va.valid_telemetry(tb.telemetry(spark, sf_dir, tb.events_stream(spark, sf_dir))))
+
+
+def _unreliable(messages: DataFrame) -> DataFrame:
+    """Keyed messages as a bad line delivers them: every second twice, some cut short too, some followed by a tombstone."""
+    seq, value = F.col("event_seq"), F.col("value")
+    sent = F.array(
+        F.struct(F.lit(True).alias("sent"), value.alias("value")),
+        F.struct((seq % 2 == 0).alias("sent"), value.alias("value")),
+        F.struct((seq % 53 == 0).alias("sent"), F.substring(value, 1, 90).alias("value")),
+        F.struct((seq % 59 == 0).alias("sent"), F.lit(None).cast("string").alias("value")),
+    )
+    return messages.select("key", F.explode(sent).alias("m")).where("m.sent").select("key", "m.value")
+
+
+def q_stream_triage_chain(spark, sf_dir):
+    """Telemetry -> alert topic -> checked alerts -> cooldown -> audit table, and the dead letters of the topic."""
+    from wardwatch.streaming import chain as ch
+    from wardwatch.streaming.alert_stream import scratch_checkpoint
+    from wardwatch.streaming.topic import publish
+
+    chain = ch.Chain(scratch_checkpoint(spark, "chain"))
+    messages = _unreliable(ru.to_keyed_json(alert_stream(spark, sf_dir), keep=("event_seq",)))
+    publish(messages, chain.alerts, chain.publish_checkpoint).awaitTermination()
+    ch.check_alerts(spark, chain)
+    accepted = ch.accept_alerts(spark, chain, 60)
+    dead = ch.dead_letters(spark, chain)
+    none = lambda kind: F.lit(None).cast(kind)
+    return accepted.select(F.lit("accepted").alias("kind"), "alert_id", "patient_id", "timestamp_utc", none("string").alias("error_preview")).unionByName(
+        dead.select(F.lit("dead_letter").alias("kind"), none("string").alias("alert_id"), F.col("key").alias("patient_id"), none("timestamp_ntz").alias("timestamp_utc"), "error_preview")
+    )
+
+
+def q_stream_dedup(spark, sf_dir):
+    """Alerts delivered up to three times over several micro-batches, each once: five days a batch, repeats in the same batch and the next."""
+    from wardwatch import schemas
+    from wardwatch.session import cut_lineage
+    from wardwatch.streaming import chain as ch
+    from wardwatch.streaming.alert_stream import scratch_checkpoint
+    from wardwatch.streaming.topic import consume, once_per_key, publish
+
+    days = F.expr("CAST(floor(timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', timestamp_utc) / 5) AS INT)")
+    sent = cut_lineage(ru.to_keyed_json(alerts(spark, sf_dir).withColumn("batch", days), keep=("event_seq", "batch")))
+    chain = ch.Chain(scratch_checkpoint(spark, "dedup"))
+    batches = sorted(r.batch for r in sent.select("batch").distinct().collect())
+    for batch in [*batches, *[b + 1 for b in batches[-1:]]]:
+        now, before = sent.where(F.col("batch") == batch), sent.where(F.col("batch") == batch - 1)
+        deliveries = now.unionByName(now.where("event_seq % 2 = 0")).unionByName(before.where("event_seq % 3 = 0"))
+        deliveries.select("key", "value").repartition(2).write.mode("append").parquet(chain.alerts)
+    found, _ = ch.read_alerts(consume(spark, chain.alerts, files_per_batch=2))
+    publish(once_per_key(found, delay="12 days"), chain.clean, chain.clean_checkpoint).awaitTermination()
+    return spark.read.schema(schemas.ALERT).parquet(chain.clean).select("alert_id", "patient_id", "severity", "timestamp_utc")
+
+
+def q_stream_live_join(spark, sf_dir):
+    """Accepted alerts, a stream read from their audit table, joined to the stream of recommendations within 20 seconds."""
+    from wardwatch.operators.reasoning import parse_replies, recommendations
+    from wardwatch.streaming import chain as ch
+    from wardwatch.streaming.alert_stream import scratch_checkpoint
+    from wardwatch.streaming.cooldown_state import drain_cooldown
+    from wardwatch.streaming.topic import consume
+
+    chain = ch.Chain(scratch_checkpoint(spark, "live-join"))
+    accepted = drain_cooldown(alert_stream(spark, sf_dir), 60, at=chain.accepted)
+    replied = F.expr("timestampadd(MILLISECOND, 1000 + event_seq * 7 % 29000, timestamp_utc)")
+    recs = recommendations(parse_replies(tb.model_replies(alert_stream(spark, sf_dir)).withColumn("replied", replied)), "fixture-model", "replied")
+    return ch.drain_live_join(consume(spark, f"{chain.accepted}/table", accepted.schema), recs, at=chain.joined)
+
+
 def q_triage_recommendations(spark, sf_dir):
     """The whole agent chain on every accepted alert, with offline model stand-ins."""
     from wardwatch.plans.triage import hashing_embedder, rule_based_replier, triage
@@ -463,6 +520,7 @@ def build() -> dict[str, Query]:
         "cooldown_60s": q_cooldown_60s,
         "cooldown_12h": q_cooldown_12h,
         "cooldown_skipped": q_cooldown_skipped,
+        "cooldown_runs": q_cooldown_runs,
         "patient_list": q_patient_list,
         "patient_list_filtered": q_patient_list_filtered,
         "patient_history": q_patient_history,
@@ -497,5 +555,8 @@ def build() -> dict[str, Query]:
         "request_rate_breach": q_request_rate_breach,
         "stream_alerts": q_stream_alerts,
         "stream_cooldown": q_stream_cooldown,
+        "stream_triage_chain": q_stream_triage_chain,
+        "stream_dedup": q_stream_dedup,
+        "stream_live_join": q_stream_live_join,
         "triage_recommendations": q_triage_recommendations,
     }

@@ -460,10 +460,10 @@ WHERE NOT EXISTS (SELECT 1 FROM docs e WHERE e.lang = 'en' AND e.content IS NOT
     )
     q["retrieval_query_text"] = _w(
         ALERTS_CTE,
-        """SELECT alert_id, 'Clinical protocol for: ' || array_to_string(triggered_rules, '. ')
-       || '. Patient presenting with HR ' || heart_rate_bpm || ' bpm, BP ' || systolic_bp_mmhg || '/'
-       || diastolic_bp_mmhg || ' mmHg, SpO2 ' || CAST(spo2_percent AS VARCHAR) || '%, RR ' || respiratory_rate_rpm
-       || ' rpm, Temp ' || CAST(temperature_celsius AS VARCHAR) || '°C. Severity: ' || severity || '.' AS query_text
+        """SELECT alert_id, lower(severity) || ' care for ' || array_to_string(triggered_rules, ' and ')
+       || '; pulse ' || heart_rate_bpm || '; systolic ' || systolic_bp_mmhg || '; diastolic ' || diastolic_bp_mmhg
+       || '; oxygen ' || CAST(spo2_percent AS VARCHAR) || '; breathing ' || respiratory_rate_rpm
+       || '; temperature ' || CAST(temperature_celsius AS VARCHAR) AS query_text
 FROM alerts""",
     )
     q["keyword_terms"] = _w(
@@ -535,7 +535,7 @@ FROM triage_events GROUP BY hospital_id, CAST(created_at AS DATE)""",
        CASE WHEN p.patient_id IS NOT NULL THEN (SELECT count(*) FROM triage_events t WHERE t.patient_id = a.patient_id
             AND t.created_at > a.timestamp_utc - INTERVAL 24 HOURS AND t.created_at < a.timestamp_utc) END
             AS recent_triage_count,
-       CASE WHEN p.patient_id IS NULL THEN 'Patient ' || a.patient_id || ' not found in database' END
+       CASE WHEN p.patient_id IS NULL THEN 'unknown_patient:' || a.patient_id END
             AS context_fetch_error
 FROM alerts a LEFT JOIN patients p ON p.patient_id = a.patient_id"""
     q["alert_patient_context"] = _w(REPORT_CTE, ctx_body)
@@ -564,6 +564,34 @@ GROUP BY a.alert_id, a.patient_id""",
 SELECT a.patient_id, count(*) AS n_alerts, count(acc.alert_id) AS n_accepted,
        count(*) - count(acc.alert_id) AS n_skipped
 FROM a LEFT JOIN accepted acc USING (alert_id) GROUP BY a.patient_id"""
+    )
+    q["cooldown_runs"] = _w(
+        ALERTS_CTE
+        + """,
+g AS (SELECT patient_id, timestamp_utc AS t,
+             epoch_us(timestamp_utc) - lag(epoch_us(timestamp_utc)) OVER (PARTITION BY patient_id ORDER BY timestamp_utc) AS gap FROM alerts),
+r AS (SELECT *, count(*) FILTER (gap IS NULL OR gap >= 43200000000) OVER (PARTITION BY patient_id ORDER BY t) AS run FROM g)""",
+        """SELECT patient_id, min(t) AS run_start, max(t) AS run_end, count(*) AS n_alerts FROM r GROUP BY patient_id, run""",
+    )
+    q["stream_triage_chain"] = (
+        "WITH RECURSIVE "
+        + cooldown_cte(60)
+        + """
+SELECT 'accepted' AS kind, alert_id, patient_id, timestamp_utc, CAST(NULL AS VARCHAR) AS error_preview FROM accepted
+UNION ALL
+SELECT 'dead_letter', NULL, patient_id, NULL, '{"alert_id":"' || alert_id || '","source_eve' FROM alerts WHERE event_seq % 53 = 0"""
+    )
+    q["stream_dedup"] = _w(ALERTS_CTE, "SELECT alert_id, patient_id, severity, timestamp_utc FROM alerts")
+    q["stream_live_join"] = (
+        "WITH RECURSIVE "
+        + cooldown_cte(60)
+        + LIVE_CTE[len(ALERTS_CTE):]
+        + """
+SELECT a.alert_id, a.patient_id, a.timestamp_utc, r.urgency_level,
+       CASE WHEN r.alert_id IS NOT NULL THEN CAST(1000 + l.event_seq * 7 % 29000 AS BIGINT) END AS elapsed_ms,
+       CASE WHEN r.alert_id IS NULL THEN 'processing' ELSE 'complete' END AS status
+FROM accepted a JOIN alerts l USING (alert_id)
+LEFT JOIN recs r ON r.alert_id = a.alert_id AND 1000 + l.event_seq * 7 % 29000 <= 20000"""
     )
     q["telemetry_valid"] = _w(
         f"tel AS ({TEL})",

@@ -89,16 +89,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame, min_fraction: float = 0.5) -> DataFrame:
-    """Round-robin an under-partitioned *batch* input across the cluster.
-
-    A scan of few large files (or few Kafka partitions) can yield fewer
-    tasks than cores; CPU-heavy per-row work (JSON, text) would then run on
-    a handful of threads.  At cluster scale inputs already have thousands of
-    splits and this is a no-op.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= max(1, int(target * min_fraction)):
-        return df
-    return df.repartition(target)

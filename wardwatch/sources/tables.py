@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwatch import schemas
-from wardwatch.session import spread
 from wardwatch.sources import fixtures as fx
 
 TABLES = (
@@ -23,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet").load(sf_dir)
+
+
 def _derive(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
     # literal braces (JSON text) must not be taken for frame placeholders
     sql = sql.replace("{", "{{").replace("}", "}}")
@@ -31,14 +36,14 @@ def _derive(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
     return spark.sql(sql, **frames)
 
 
-def telemetry_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry_flat(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Typed bedside readings, one per ``events`` row (vitals flat)."""
-    return _derive(spark, fx.telemetry_select_sql(fx.SPARK, "{events}"), events=spread(table(spark, sf_dir, "events")))
+    return _derive(spark, fx.telemetry_select_sql(fx.SPARK, "{events}"), events=table(spark, sf_dir, "events") if events is None else events)
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Typed readings in the declared ``TELEMETRY`` shape (+ ``event_seq``)."""
-    flat = telemetry_flat(spark, sf_dir)
+    flat = telemetry_flat(spark, sf_dir, events)
     return flat.select(
         "event_id",
         "event_seq",
@@ -53,9 +58,9 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Kafka-shaped raw messages ``(offset, received_at, value)`` with JSON text."""
-    return _derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=spread(table(spark, sf_dir, "events")))
+    return _derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=table(spark, sf_dir, "events") if events is None else events)
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +97,7 @@ def triage_events_from_alerts(alerts: DataFrame) -> DataFrame:
 
 def model_replies(alerts: DataFrame) -> DataFrame:
     """Deterministic reply text per alert, standing in for an external model."""
-    return alerts.select("alert_id", "event_seq", "patient_id", "severity", F.expr(fx.reply_text_sql(fx.SPARK)).alias("raw_reply"))
+    return alerts.select("alert_id", "event_seq", "patient_id", "hospital_id", "timestamp_utc", "severity", F.expr(fx.reply_text_sql(fx.SPARK)).alias("raw_reply"))
 
 
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ clears the state: any later row would be accepted anyway.
 
 Out-of-order arrival within the watermark delay gives the answer of the
 batch scan.  Accepted alerts are emitted once they are final, that is below
-the watermark.  A row of ``end_of_input`` (``alert_id`` null, far in the
-future) ends the stream: it moves the watermark past all rows, which are then
+the watermark.  A row without ``alert_id``, far in the future (``topic.with_end``),
+ends the stream: it moves the watermark past all rows, which are then
 final; whatever comes later is late.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import (
@@ -30,7 +30,9 @@ from pyspark.sql.streaming.stateful_processor import (
 )
 
 from wardwatch.operators.audit import stored
+from wardwatch.session import ship_package
 from wardwatch.streaming.alert_stream import audit_sink, scratch_checkpoint
+from wardwatch.streaming.topic import with_end
 
 OUT = T.StructType(
     [
@@ -117,31 +119,23 @@ def stream_cooldown(alerts: DataFrame, cooldown_s: int = 60, delay: str = "0 sec
     )
 
 
-#: Event time of the row that ends a stream.
-END_OF_INPUT = "9999-01-01 00:00:00"
-
-
-def end_of_input(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """One row that ends a stream of alerts: all ``columns`` null but the time and an empty patient."""
-    values = {"patient_id": F.lit(""), "timestamp_utc": F.lit(END_OF_INPUT).cast("timestamp_ntz")}
-    return spark.range(1).select(*[values.get(c, F.lit(None).cast("string")).alias(c) for c in columns])
-
-
-def drain_cooldown(alerts: DataFrame, cooldown_s: int = 60, delay: str = "0 seconds") -> DataFrame:
-    """All accepted alerts of a streaming DataFrame, its newest included.
+def drain_cooldown(alerts: DataFrame, cooldown_s: int = 60, delay: str = "0 seconds", at: str | None = None) -> DataFrame:
+    """All accepted alerts of a streaming DataFrame, its newest included; the table stays at ``at``/table.
 
     The available input is drained; the row that ends it is then written to a
     folder which the same query also reads, and the query goes on from its
     checkpoint, which emits what was still pending.
     """
     spark = alerts.sparkSession
-    columns = ["alert_id", "patient_id", "timestamp_utc"]
-    at = scratch_checkpoint(spark, "cooldown")
-    end = end_of_input(spark, columns)
-    end.where("false").write.parquet(f"{at}/end")
-    marker = spark.readStream.schema(end.schema).parquet(f"{at}/end")
-    out = stream_cooldown(alerts.select(*columns).unionByName(marker), cooldown_s, delay)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(key, "") or ""):
+        # transformWithState keeps its state in the RocksDB state store
+        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ship_package(spark)
+    at = at or scratch_checkpoint(spark, "cooldown")
+    both, end = with_end(alerts.select("alert_id", "patient_id", "timestamp_utc"), f"{at}/end", "timestamp_utc")
+    out = stream_cooldown(both.withColumn("patient_id", F.coalesce("patient_id", F.lit(""))), cooldown_s, delay)
     audit_sink(out, f"{at}/table", f"{at}/checkpoint").awaitTermination()
-    end.write.mode("append").parquet(f"{at}/end")
+    end()
     audit_sink(out, f"{at}/table", f"{at}/checkpoint").awaitTermination()
     return stored(spark, f"{at}/table", out.schema)
