@@ -53,6 +53,14 @@ def test_decision_list():
     assert quality_rules.learn(rows, [False] * 900) == []
 
 
+def test_rules_on_held_out_rows(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rules = quality_rules.fit(docs, labels, held_out=(2, 1))
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs, rules).collect()}
+    tested = [(kept[r.doc_id], r.quality) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 2 == 1]
+    assert sum(k == (q == 1) for k, q in tested) >= 0.9 * len(tested)
+
+
 def test_rules_as_one_expression(spark):
     one, two = quality_rules.Test("a", True, 5.0), quality_rules.Test("b", False, 1.0)
     df = spark.createDataFrame([(6.0, 9.0), (5.0, 1.0), (0.0, 1.0), (0.0, 2.0)], "a double, b double")

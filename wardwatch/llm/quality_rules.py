@@ -198,9 +198,12 @@ def as_column(rules: list[tuple[Test, ...]]) -> Column:
     return verdict.otherwise(F.lit(True)) if verdict is not None else F.lit(True)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PER_LABEL) -> list[tuple[Test, ...]]:
-    """The decision list of the labelled sample; only rows that pass the base limits take part."""
-    rows = labelled_sample(docs, labels, "quality", 1, 1, sample, id_col, text_col)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_PER_LABEL, held_out: tuple[int, int] = (1, 1)) -> list[tuple[Test, ...]]:
+    """The decision list of the labelled sample; only rows that pass the base limits take part.
+
+    ``held_out`` (modulus, remainder of the id's crc32) leaves rows out; by default none.
+    """
+    rows = labelled_sample(docs, labels, "quality", *held_out, sample, id_col, text_col)
     seen = statistics(rows, ["doc_id", "label"]).where(~base_failed()).select("doc_id", "label", *FEATURES).collect()
     seen.sort(key=lambda r: str(r.doc_id))
     return learn([{f: float(r[f]) for f in FEATURES} for r in seen], [r.label == 0 for r in seen])
