@@ -11,11 +11,13 @@ from __future__ import annotations
 import datetime as _dt
 import decimal
 import math
+import os
 import sys
 import time
 
 import duckdb
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -58,7 +60,7 @@ def _rows(cols, records):
 
 
 def compare(spark, sf_dir: str, names=None, verbose=True):
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, ROOT)
     import __spark_entry__ as se
 
     qs, sqls = se.queries(), se.oracle_sql()
@@ -98,7 +100,7 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
 
 
 if __name__ == "__main__":
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, ROOT)
     from wardwatch.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

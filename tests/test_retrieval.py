@@ -5,7 +5,12 @@ import random
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
+from wardwatch.operators import keyword_index as ki
 from wardwatch.operators import retrieval as rt
+from wardwatch.operators import vector_index as vi
 
 
 def test_rrf_golden(spark):
@@ -17,14 +22,15 @@ def test_rrf_golden(spark):
     ]
 
 
-def test_cosine_topk_matches_numpy(spark):
+@pytest.mark.parametrize("block_bytes", [2000, 64 << 20])
+def test_cosine_topk_matches_numpy(spark, block_bytes):
     rnd = np.random.default_rng(3)
     q = rnd.normal(size=(30, 8))
     d = rnd.normal(size=(120, 8))
     qdf = spark.createDataFrame([(i, q[i].tolist()) for i in range(len(q))], "query_id long, vec array<double>")
     ddf = spark.createDataFrame([(100 + j, d[j].tolist()) for j in range(len(d))], "doc_id long, vec array<double>")
     got = {}
-    for r in rt.vector_topk(qdf, ddf, k=5, block_bytes=2000, dims=8).collect():
+    for r in rt.vector_topk(qdf, ddf, k=5, block_bytes=block_bytes, dims=8).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.doc_id))
     sims = (q @ d.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1))
     for i in range(len(q)):
@@ -37,10 +43,10 @@ def test_bm25_modes(spark):
         [(1, "heart rate high heart"), (2, "oxygen low"), (3, "heart oxygen"), (4, "the of and")],
         "doc_id long, text string",
     )
-    index = rt.bm25_index(docs, docs["text"])
+    index = ki.build(docs, docs["text"], buckets=2)
     q = spark.createDataFrame([(1, "Heart oxygen"), (2, "rate")], "query_id long, text string")
-    any_ = {(r.query_id, r.doc_id) for r in rt.keyword_topk(q, index, 5, "any").collect()}
-    all_ = {(r.query_id, r.doc_id) for r in rt.keyword_topk(q, index, 5, "all").collect()}
+    any_ = {(r.query_id, r.doc_id) for r in ki.search(q, index, 5, "any").collect()}
+    all_ = {(r.query_id, r.doc_id) for r in ki.search(q, index, 5, "all").collect()}
     assert any_ == {(1, 1), (1, 2), (1, 3), (2, 1)}
     assert all_ == {(1, 3), (2, 1)}
 
@@ -69,3 +75,107 @@ def test_codegen_tokenizers_agree_with_reference_filter(spark):
         exploded.setdefault(r.id, []).append(r.term)
     for i, toks in ref.items():
         assert sorted(exploded.get(i, [])) == sorted(toks)
+
+
+def _brute_bm25(docs, queries, k, need_all):
+    import re
+
+    words = lambda t: [w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w and w not in rt.STOP_WORDS]
+    bags = {d: words(t) for d, t in docs}
+    bags = {d: b for d, b in bags.items() if b}
+    avg = sum(map(len, bags.values())) / len(bags)
+    df = {}
+    for b in bags.values():
+        for w in set(b):
+            df[w] = df.get(w, 0) + 1
+    out = {}
+    for q, t in queries:
+        asked = set(words(t))
+        scores = []
+        for d, b in bags.items():
+            hit = [w for w in asked if w in b]
+            if hit and (not need_all or len(hit) == len(asked)):
+                total = 0.0
+                for w in hit:
+                    tf = b.count(w)
+                    total += math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / avg))
+                scores.append((-round(total, 9), d))
+        if scores:
+            out[q] = [d for _, d in sorted(scores)[:k]]
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rnd = random.Random(3)
+    vocab = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    docs = [(i, " ".join(rnd.choices(vocab, weights, k=rnd.randint(0, 60)))) for i in range(500)] + [(900, None), (901, "the of"), (902, "w1 " * 5000), (903, "w7"), (904, "w7")]
+    queries = [(f"q{i}", " ".join(rnd.choices(vocab, weights, k=rnd.randint(1, 8)))) for i in range(60)] + [("none", ""), ("null", None), ("new", "unheard of"), ("part", "w1 unheard"), ("doc", docs[3][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    return docs, queries, ki.build(df, F.col("text"), block_docs=16, buckets=3)
+
+
+@pytest.mark.parametrize("match,prune", [("any", False), ("any", True), ("all", False)])
+def test_index_like_brute_force(spark, corpus, match, prune):
+    docs, queries, index = corpus
+    asked = spark.createDataFrame(queries, "query_id string, text string")
+    got = {}
+    for r in ki.search(asked, index, 5, match, prune).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.doc_id
+    assert {q: [x[i] for i in sorted(x)] for q, x in got.items()} == _brute_bm25(docs, queries, 5, match == "all")
+
+
+def test_index_paths_agree(spark, corpus, monkeypatch):
+    """Query sets too large to broadcast or to push, and seeds of any number, give the same answer."""
+    _, queries, index = corpus
+    asked = spark.createDataFrame(queries, "query_id string, text string")
+    want = sorted((r.query_id, r.rank, r.doc_id) for r in ki.search(asked, index).collect())
+    for seeds in (1, 7):
+        assert sorted((r.query_id, r.rank, r.doc_id) for r in ki.search(asked, index, prune=True, seed_blocks=seeds).collect()) == want
+    monkeypatch.setattr(ki, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(ki, "PUSHED_TERMS", 3)
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in ki.search(asked, index).collect()) == want
+
+
+def test_scores_are_not_shuffled(spark, corpus):
+    """A document's terms are added up in its bucket: the only exchange is that of the best k."""
+    _, queries, index = corpus
+    plan = ki.search(spark.createDataFrame(queries, "query_id string, text string"), index)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in plan and "SelectedBucketsCount" in plan
+
+
+def _cloud(seed, n, dims=16, groups=12):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(groups, dims))
+    return centers[rng.integers(0, groups, n)] + 0.4 * rng.normal(size=(n, dims))
+
+
+@pytest.mark.parametrize("cell_rows,query_rows", [(4096, 1024), (30, 7)])
+def test_vector_index(spark, cell_rows, query_rows):
+    d, q = _cloud(1, 1500), _cloud(1, 1700)[1500:]
+    odd = [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] * 16), (5004, [1.0, 2.0]), (5005, [2.0, 1.0])]
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(d)] + odd, "doc_id long, vec array<double>").repartition(3)
+    asked = spark.createDataFrame([(f"q{i}", x.tolist()) for i, x in enumerate(q)] + [("none", None), ("zero", [0.0] * 16), ("two", [1.0, 1.9]), ("three", [1.0, 1.0, 1.0])], "query_id string, vec array<double>")
+    index = vi.build(docs, cell_rows=cell_rows)
+    assert index.vectors.count() == 1502 and index.vectors.groupBy("cell", "part").count().agg(F.max("count")).first()[0] <= max(cell_rows * 2, 60) + (4096 if cell_rows > 1000 else 0)
+    found, exact = vi.search(asked, index, 5, query_rows=query_rows), rt.vector_topk(asked, docs, 5)
+    got = vi.recall(found, exact).first()
+    assert got.n_queries == 201 and got.n_exact == 1002 and got.recall >= 0.9
+    scores = {(r.query_id, r.doc_id): r.score for r in exact.collect()}
+    assert all(abs(scores[r.query_id, r.doc_id] - r.score) < 1e-9 for r in found.collect() if (r.query_id, r.doc_id) in scores)
+    every = vi.search(asked, index, 5, probes=10**6, query_rows=query_rows)  # all cells: the exact answer
+    assert sorted((r.query_id, r.rank, r.doc_id) for r in every.collect()) == sorted((r.query_id, r.rank, r.doc_id) for r in exact.collect())
+
+
+def test_vectors_unseen_by_the_sample(spark):
+    """Lengths that the sample does not hold are filed and found all the same."""
+    d = _cloud(2, 60)
+    docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(d)] + [(100 + i, [float(i), 1.0]) for i in range(40)], "doc_id long, vec array<double>")
+    index = vi.build(docs, sample=1)
+    assert index.vectors.count() == 100
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)] + [(50 + i, x.tolist()) for i, x in enumerate(d[:5])], "query_id long, vec array<double>")
+    got = {r.query_id: r.doc_id for r in vi.search(asked, index, 1).collect()}
+    assert got == {**{i: 100 + i for i in range(5)}, **{50 + i: i for i in range(5)}}
+    empty = vi.build(docs.limit(0))
+    assert vi.search(asked, empty, 3).collect() == []

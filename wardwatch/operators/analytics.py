@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch import schemas
-from wardwatch.operators.context import age_years, empty_if_null, medication_text, null_if_zero
+from wardwatch.operators.context import age_years, empty_if_null, null_if_zero
 
 
 def _since(as_of: Column, hours: int = 24) -> Column:
@@ -18,10 +18,17 @@ def _bind(df: DataFrame, as_of: Column) -> DataFrame:
     return df.withColumn("_as_of", as_of)
 
 
+def _trailing(triage_events: DataFrame, as_of: Column, hours: int) -> DataFrame:
+    """the events of the trailing window; of a table partitioned by ``audit_day`` only its days are read."""
+    if "audit_day" in triage_events.columns:
+        triage_events = triage_events.where(F.col("audit_day") >= F.to_date(_since(as_of, hours)))
+    return _bind(triage_events, as_of).where(F.col("created_at") > _since(F.col("_as_of"), hours))
+
+
 def recent_counts(triage_events: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """``COUNT(id)`` per patient over the trailing window (pre-aggregated before the join)."""
     return (
-        _bind(triage_events, as_of).where(F.col("created_at") > _since(F.col("_as_of"), hours))
+        _trailing(triage_events, as_of, hours)
         .groupBy("patient_id")
         .agg(F.count("id").alias("recent_alert_count"))
     )
@@ -51,7 +58,7 @@ def patient_list(
         empty_if_null(F.col("chronic_conditions")).alias("chronic_conditions"),
         empty_if_null(F.col("active_medications"), "map<string,string>").alias("active_medications"),
         F.coalesce(F.col("recent_alert_count"), F.lit(0)).cast("bigint").alias("recent_alert_count"),
-    ).orderBy("ward", "bed_number")
+    ).orderBy("ward", "bed_number", "patient_id")
 
 
 def event_summary(triage_events: DataFrame) -> DataFrame:
@@ -91,13 +98,24 @@ def _feed_filter(triage_events: DataFrame, severity: str | None) -> DataFrame:
     return triage_events
 
 
+def _newest_days(rows: DataFrame, wanted: int) -> DataFrame:
+    """The newest days of a table partitioned by ``audit_day`` that hold ``wanted`` rows; one count per day reaches the driver."""
+    found = 0
+    for day, n in rows.groupBy("audit_day").count().orderBy(F.col("audit_day").desc_nulls_last()).toLocalIterator():
+        found += n
+        if found >= wanted:
+            return rows if day is None else rows.where(F.col("audit_day") >= F.lit(day))
+    return rows
+
+
 def recent_feed(triage_events: DataFrame, page: int = 1, page_size: int = 20, severity: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(page of items newest first, one-row total). Raises for a page below 1 or a size outside 1..100."""
     _check_range("page", page, 1)
     _check_range("page_size", page_size, 1, MAX_PAGE)
     rows = _feed_filter(triage_events, severity)
+    days = rows if "audit_day" not in rows.columns else _newest_days(rows, page * page_size)
     items = event_summary(
-        rows.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * page_size).limit(page_size)
+        days.orderBy(F.desc("created_at"), F.desc("id")).offset((page - 1) * page_size).limit(page_size)
     )
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return items, total
@@ -105,7 +123,7 @@ def recent_feed(triage_events: DataFrame, page: int = 1, page_size: int = 20, se
 
 def dashboard_stats(triage_events: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
     """One row of trailing-window counters; one aggregation pass."""
-    t = _bind(triage_events, as_of).where(F.col("created_at") > _since(F.col("_as_of"), hours))
+    t = _trailing(triage_events, as_of, hours)
     sev = F.col("severity")
     return t.agg(
         F.lit(schemas.DASHBOARD_PERIOD).alias("period"),
@@ -127,6 +145,3 @@ def billing_rollup(triage_events: DataFrame, price: float = schemas.PRICE_PER_TR
         .withColumn("amount", F.round(F.col("units") * F.lit(price), 2))
     )
 
-
-def patient_medications_text(df: DataFrame) -> Column:
-    return medication_text(F.col("active_medications"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 
 def first_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Deterministic de-duplication: the first row per key in ``order`` (partial aggregate before the shuffle)."""
+    """Deterministic de-duplication: the first row per key in ``order``; a sort aggregate, partial before the shuffle."""
     cols = [c for c in df.columns]
     best = df.groupBy(key).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return best.select("_r.*")

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardwatch import schemas
-
 _JSON_OPTS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
@@ -102,8 +100,12 @@ def ward_roster(patients: DataFrame) -> DataFrame:
     return listed.join(sizes.withColumnRenamed("ward", "_w"), F.col("ward").eqNullSafe(F.col("_w"))).drop("_w")
 
 
-def request_log_rollup(log: DataFrame) -> DataFrame:
-    """Requests per path and status with latency figures; health checks excluded."""
+def request_log_rollup(log: DataFrame, accuracy: int = 10_000) -> DataFrame:
+    """Requests per path and status with latency figures; health checks excluded.
+
+    ``p50_ms`` and ``p95_ms`` come from a mergeable quantile sketch, whose rank
+    error is one in ``accuracy`` (none in groups of fewer rows).
+    """
     return (
         log.where(F.col("path") != "/health")
         .groupBy("path", "status")
@@ -111,7 +113,9 @@ def request_log_rollup(log: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_requests"),
             F.round(F.avg("duration_ms"), 3).alias("avg_ms"),
             F.max("duration_ms").alias("max_ms"),
+            F.approx_percentile("duration_ms", [0.5, 0.95], accuracy).alias("_p"),
         )
+        .select("path", "status", "n_requests", "avg_ms", "max_ms", F.col("_p")[0].alias("p50_ms"), F.col("_p")[1].alias("p95_ms"))
     )
 
 
@@ -124,6 +128,3 @@ def rate_breaches(log: DataFrame, limit_per_minute: int = 60) -> DataFrame:
         .select(F.col("w.start").alias("window_start"), "client", "n_requests")
     )
 
-
-def dashboard_period() -> str:
-    return schemas.DASHBOARD_PERIOD

@@ -1,14 +1,10 @@
 """Hybrid document retrieval: cosine top-k, BM25 top-k, reciprocal rank fusion
 (X03-X10, F09, J04-J06, J09, A13, A14, W02, W03, T04-T06).
 
-Exact top-k without a cross join and without emitting all pairs: queries
-are grouped into chunks and documents into blocks (both bounded by a
-byte budget); an equi-join on the block id pairs every chunk with every
-block, and a ``mapInArrow`` task scores one chunk against one block with
-numpy (a matrix product for vectors, term-at-a-time accumulation over an
-in-task inverted index for BM25) and emits only the top-k per query.  A
-final ``row_number`` window (planned as a per-key group limit) merges the
-per-block candidates.  Only k rows per query and block ever leave a task.
+Vector search here is exact: documents are scored where they lie against
+broadcast queries (or, for query sets that are too large, block by block),
+and only the best k of each partition leave a task.  ``vector_index`` holds
+the search on a stored index, ``keyword_index`` the keyword search.
 """
 
 from __future__ import annotations
@@ -24,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardwatch import schemas
+from wardwatch.session import ship_package
 
 # --- FIXED VALUES: retrieval parameters --------------------------------------
 BM25_K1 = 1.2
@@ -219,6 +216,37 @@ def _cosine_task(k: int, arrow_schema: pa.Schema):
     return fn
 
 
+def _against(k: int, chunks: list, arrow_schema: pa.Schema):
+    """Best k of a partition for the broadcast queries, batch by batch: k rows a query are held."""
+
+    def fn(batches):
+        best: dict[int, list] = {}
+        for b in batches:
+            vecs, ids = b.column("vec"), b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            lens = _lengths(vecs)
+            for number, (width, qids, qm) in enumerate(chunks.value):
+                at = np.flatnonzero(lens == width)
+                if not len(at):
+                    continue
+                dm = _matrix(vecs.take(pa.array(at)))
+                dn, qn = np.linalg.norm(dm, axis=1), np.linalg.norm(qm, axis=1)
+                for lo, hi in _sub_batches(len(qm), len(at)):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        sc = (qm[lo:hi] @ dm.T) / np.outer(qn[lo:hi], dn)
+                    ok = np.isfinite(sc)
+                    places, docs, scores = _topk_rows(list(range(lo, hi)), ids[at], np.where(ok, sc, 0.0), k, ok)
+                    for p, d, x in zip(places, docs, scores):
+                        best.setdefault((number, p), []).append((-round(x, RANK_DECIMALS), d, x))
+            for key, found in best.items():
+                if len(found) > 4 * k:
+                    best[key] = sorted(found)[:k]
+        rows = [(chunks.value[n][1][p], d, x) for (n, p), found in best.items() for _, d, x in sorted(found)[:k]]
+        columns = zip(*rows) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+
+    return fn
+
+
 def vector_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -226,131 +254,37 @@ def vector_topk(
     block_bytes: int = 64 << 20,
     dims: int = 768,
 ) -> DataFrame:
-    """``queries(query_id, vec)`` x ``docs(doc_id, vec)`` -> ``(query_id, doc_id, score, rank)``.
+    """T04/X07, exact: ``queries(query_id, vec)`` x ``docs(doc_id, vec)`` -> ``(query_id, doc_id, score, rank)``.
 
+    Queries that fit ``block_bytes`` are broadcast, and the documents are
+    scored where they lie: one pass, no shuffle but that of the best k of each
+    partition.  More queries meet blocks of documents by an equi-join.
     ``dims`` only sizes the blocks (bytes per row); any vector length works.
     Vectors of different lengths, empty, null and zero vectors have no cosine:
     such pairs get no score, whatever block their rows fall into.
     """
+    st, ar = _hits_schema(queries.schema["query_id"].dataType)
+    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+    size = asked.agg(F.sum(F.coalesce(F.size("vec"), F.lit(0)).cast("long") * 8 + 16)).first()[0] or 0
+    if size <= block_bytes:
+        ship_package(queries.sparkSession)
+        table = asked.toArrow()
+        vecs, ids = table.column("vec").combine_chunks(), table.column("query_id").to_pylist()
+        lens = _lengths(vecs) if len(ids) else np.zeros(0, np.int64)
+        chunks = []
+        for width in np.unique(lens[lens > 0]).tolist():
+            at = np.flatnonzero(lens == width)
+            chunks.append((width, [ids[i] for i in at], _matrix(vecs.take(pa.array(at)))))
+        shared = queries.sparkSession.sparkContext.broadcast(chunks)
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+        return _merge_topk(rows.mapInArrow(_against(k, shared, ar), st), k)
     n_d = _n_blocks(docs, dims * 8 + 16, block_bytes)
     n_q = _n_blocks(queries, dims * 8 + 16, block_bytes)
     pairs = _blocked_pairs(queries.select("query_id", "vec"), docs.select("doc_id", "vec"), n_q, n_d)
-    st, ar = _hits_schema(queries.schema["query_id"].dataType)
     hits = pairs.select("_qs", "_ds").mapInArrow(_cosine_task(k, ar), st)
     return _merge_topk(hits, k)
 
 
-# --- BM25 -----------------------------------------------------------------------
-
-def bm25_index(docs: DataFrame, text: Column) -> DataFrame:
-    """Per document: distinct ``terms`` with BM25 ``weights``.
-
-    Statistics (N, average length, document frequency) are ordinary
-    aggregates; frequent terms only cost partial counts, never pairs.
-    """
-    toks = explode_tokens(docs, "doc_id", text)
-    tf = toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    # corpus statistics: one row, attached by a broadcast equi-join on a constant key
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("_one", F.lit(1))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
-    w = (
-        tf.join(dfreq, "term").join(dl, "doc_id").withColumn("_one", F.lit(1))
-        .join(F.broadcast(stats), "_one")
-        .select("doc_id", "term", (idf * F.col("tf") * (BM25_K1 + 1) / norm).alias("w"))
-    )
-    return w.groupBy("doc_id").agg(
-        F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights")
-    )
-
-
-def _bm25_task(k: int, require_all: bool, arrow_schema: pa.Schema):
-    def fn(batches):
-        for b in batches:
-            for qs, ds in _blocks(b):
-                dids = ds["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
-                nd = len(dids)
-                lens = _lengths(ds["terms"])
-                if lens.sum() == 0:
-                    continue
-                # in-task inverted index of the block: postings sorted by term
-                post_doc = np.repeat(np.arange(nd), lens)
-                post_term = ds["terms"].flatten().to_numpy(zero_copy_only=False).astype(object)
-                post_w = ds["weights"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                order = np.argsort(post_term, kind="stable")
-                post_term, post_doc, post_w = post_term[order], post_doc[order], post_w[order]
-                uniq, starts = np.unique(post_term, return_index=True)
-                ends = np.append(starts[1:], len(post_term))
-                out_q, out_d, out_s = [], [], []
-                all_qids = qs["query_id"].to_pylist()
-                for lo, hi in _sub_batches(len(all_qids), nd):
-                    sub_terms = qs["terms"].slice(lo, hi - lo)
-                    nq = hi - lo
-                    qids = all_qids[lo:hi]
-                    n_terms = _lengths(sub_terms)
-                    q_of = np.repeat(np.arange(nq), n_terms)
-                    terms = sub_terms.flatten().to_numpy(zero_copy_only=False).astype(object)
-                    scores = np.zeros(nq * nd)
-                    matched = np.zeros(nq * nd, dtype=np.int64)
-                    if len(terms):
-                        pos = np.searchsorted(uniq, terms)
-                        pc_ = np.minimum(pos, len(uniq) - 1)
-                        hit = (pos < len(uniq)) & (uniq[pc_] == terms)
-                        qi, p = q_of[hit], pc_[hit]
-                        plen = ends[p] - starts[p]
-                        if plen.sum():
-                            # term-at-a-time, vectorised: every posting of every query term,
-                            # accumulated per (query, doc) cell in query-term order
-                            rep_q = np.repeat(qi, plen)
-                            base = np.repeat(starts[p] - np.concatenate(([0], np.cumsum(plen)[:-1])), plen)
-                            idx = base + np.arange(plen.sum())
-                            cell = rep_q * nd + post_doc[idx]
-                            scores = np.bincount(cell, weights=post_w[idx], minlength=nq * nd)
-                            matched = np.bincount(cell, minlength=nq * nd)
-                    scores = scores.reshape(nq, nd)
-                    matched = matched.reshape(nq, nd)
-                    if require_all:
-                        ok = (matched == n_terms[:, None]) & (n_terms[:, None] > 0)
-                    else:
-                        ok = matched > 0
-                    q, d, s_ = _topk_rows(qids, dids, scores, k, ok)
-                    out_q += q
-                    out_d += d
-                    out_s += s_
-                if out_q:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out_q, arrow_schema.field("query_id").type), pa.array(out_d, pa.int64()),
-                         pa.array(out_s, pa.float64())],
-                        schema=arrow_schema,
-                    )
-
-    return fn
-
-
-def keyword_topk(
-    queries: DataFrame,
-    index: DataFrame,
-    k: int = 5,
-    match: str = "any",
-    block_bytes: int = 4 << 20,
-) -> DataFrame:
-    """``queries(query_id, text)`` against a ``bm25_index``.
-
-    ``match="all"`` keeps documents containing every distinct query term
-    (the behaviour of a plain AND full-text query); ``"any"`` keeps
-    documents with at least one (OR).
-    """
-    q = queries.select("query_id", distinct_tokens(F.col("text")).alias("terms"))
-    n_d = _n_blocks(index, 4096, block_bytes)
-    n_q = _n_blocks(q, 1024, block_bytes)
-    pairs = _blocked_pairs(q, index.select("doc_id", "terms", "weights"), n_q, n_d)
-    st, ar = _hits_schema(queries.schema["query_id"].dataType)
-    hits = pairs.select("_qs", "_ds").mapInArrow(_bm25_task(k, match == "all", ar), st)
-    return _merge_topk(hits, k)
-
-
 # --- fusion -----------------------------------------------------------------------
 
 def rrf_fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k_final: int = 3, rrf_k: int = schemas.RRF_K) -> DataFrame:

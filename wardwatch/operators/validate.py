@@ -26,9 +26,11 @@ PATIENT_ID_PREFIX = "patient_id_prefix"
 NOTES_TOO_LONG = "nursing_notes_too_long"
 BAD_TIMESTAMP = "bad_timestamp"
 BAD_BOOLEAN = "bad_boolean:is_simulated"
+NOT_TEXT = "not_text:"  # + field
 
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 REQUIRED_TEXT_FIELDS = ["patient_id", "hospital_id", "ward", "bed_number"]
+TEXT_FIELDS = ["event_id", *REQUIRED_TEXT_FIELDS, "nursing_notes"]
 
 
 def parse_once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
@@ -56,8 +58,13 @@ def parse_telemetry(raw: DataFrame, value_col: str = "value") -> DataFrame:
             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
         ),
         "_msg",
-    )
-    return parsed.where(F.col("_msg").isNotNull())
+    ).where(F.col("_msg").isNotNull())
+    # The text leaves can't tell 5 from "5"; the same message as a VARIANT can. Numbers may come as texts, texts not as numbers.
+    document = F.try_parse_json(F.col(value_col).cast("string"))
+    kinds = [F.schema_of_variant(F.try_variant_get(F.col("_doc"), f"$.{f}", "variant")) for f in TEXT_FIELDS]
+    wrong = [F.when(~k.isin("STRING", "VOID"), F.lit(NOT_TEXT + f)) for f, k in zip(TEXT_FIELDS, kinds)]
+    wrong = F.filter(F.array(*wrong), lambda x: x.isNotNull())
+    return parse_once(parse_once(parsed, document, "_doc"), wrong, "_not_text").drop("_doc")
 
 
 def _reason(cond: Column, code: str) -> Column:
@@ -111,6 +118,7 @@ def validate_telemetry(
     for f in REQUIRED_TEXT_FIELDS:
         reasons.append(_reason(~bad & F.col(f"_j_{f}").isNull(), MISSING + f))
     reasons.append(_reason(~bad & ~has_v, MISSING + "vitals"))
+    not_text = F.when(bad, F.array().cast("array<string>")).otherwise(F.col("_not_text"))
 
     typed_vitals: dict[str, Column] = {}
     field_ok: list[Column] = []
@@ -153,7 +161,7 @@ def validate_telemetry(
     reasons.append(_reason(sim_txt.isNotNull() & sim_val.isNull(), BAD_BOOLEAN))
 
     out = stage2.select(
-        *parsed.columns,
+        *[c for c in parsed.columns if c != "_not_text"],
         F.coalesce(F.col("_j_event_id"), default_id).alias("event_id"),
         F.upper(pid).alias("patient_id"),
         F.col("_j_hospital_id").alias("hospital_id"),
@@ -164,7 +172,7 @@ def validate_telemetry(
         notes.alias("nursing_notes"),
         F.coalesce(sim_val, F.lit(False)).alias("is_simulated"),
         # barrier: filters on the reasons must not be inlined into the stages below
-        F.explode(F.array(F.filter(F.array(*reasons), lambda r: r.isNotNull()))).alias("rejection_reasons"),
+        F.explode(F.array(F.concat(not_text, F.filter(F.array(*reasons), lambda r: r.isNotNull())))).alias("rejection_reasons"),
     )
     return out
 

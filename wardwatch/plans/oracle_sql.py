@@ -95,13 +95,17 @@ _VITALS = [
 ]
 
 
-def _parsed_cte() -> str:
+def _parsed_cte(raw: str = RAW) -> str:
     fields = ["event_id", "patient_id", "hospital_id", "ward", "bed_number", "timestamp_utc", "nursing_notes", "is_simulated"]
     ext = ",\n    ".join(f"CASE WHEN ok THEN json_extract_string(value, '$.{f}') END AS j_{f}" for f in fields)
     vit = ",\n    ".join(f"CASE WHEN ok THEN json_extract_string(value, '$.vitals.{n}') END AS t_{n}" for n, *_ in _VITALS)
     nums = ",\n    ".join(f"TRY_CAST(t_{n} AS DOUBLE) AS d_{n}" for n, *_ in _VITALS)
     has_v = "CASE WHEN ok THEN json_extract(value, '$.vitals') IS NOT NULL END AS has_vitals"
-    reasons = ["CASE WHEN NOT ok THEN 'malformed_json' END"]
+    reasons = [
+        f"CASE WHEN ok AND json_type(value, '$.{f}') NOT IN ('VARCHAR', 'NULL') THEN 'not_text:{f}' END"
+        for f in ["event_id", "patient_id", "hospital_id", "ward", "bed_number", "nursing_notes"]
+    ]
+    reasons.append("CASE WHEN NOT ok THEN 'malformed_json' END")
     for f in ["patient_id", "hospital_id", "ward", "bed_number"]:
         reasons.append(f"CASE WHEN ok AND j_{f} IS NULL THEN 'missing:{f}' END")
     reasons.append("CASE WHEN ok AND NOT has_vitals THEN 'missing:vitals' END")
@@ -133,7 +137,7 @@ def _parsed_cte() -> str:
     )
     rlist = ",\n      ".join(reasons)
     return f"""
-raw AS ({RAW}),
+raw AS ({raw}),
 j AS (SELECT msg_offset, received_at, value, json_valid(value) AS ok FROM raw WHERE value IS NOT NULL),
 x AS (SELECT *,
     {ext},
@@ -202,9 +206,14 @@ GROUP BY ALL""",
     )
 
 
-def _stop_list() -> str:
-    from wardwatch.operators.retrieval import STOP_WORDS
+# Fixed values, written out here too so that a change on the other side shows: words that are not searched for.
+STOP_WORDS = (
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they "
+    "this to was will with"
+).split()
+
 
+def _stop_list() -> str:
     return "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
@@ -215,6 +224,23 @@ def _tokens(x: str) -> str:
     )
 
 
+# The head of every prompt, written out here too.
+PROMPT_HEAD = """Propose the next steps for the bedside alert described by these fields.
+Answer with one JSON object only, no other text, with the keys urgency_level (IMMEDIATE, URGENT, SEMI_URGENT or NON_URGENT), clinical_summary, primary_concern, recommended_actions (3 to 5 objects with priority 1-5, action, rationale, time_window, most urgent first), contraindications (list of text), sops_referenced (list of titles) and confidence_score (0.0 to 1.0). A CRITICAL alert requires urgency IMMEDIATE or URGENT.
+"""
+
+QUERY_TEXT = """lower(severity) || ' care for ' || array_to_string(triggered_rules, ' and ')
+       || '; pulse ' || heart_rate_bpm || '; systolic ' || systolic_bp_mmhg || '; diastolic ' || diastolic_bp_mmhg
+       || '; oxygen ' || CAST(spo2_percent AS VARCHAR) || '; breathing ' || respiratory_rate_rpm
+       || '; temperature ' || CAST(temperature_celsius AS VARCHAR)"""
+
+FUSED_SQL = """u AS (SELECT query_id, doc_id, rank AS v_rank, CAST(NULL AS BIGINT) AS k_rank FROM vh
+      UNION ALL SELECT query_id, doc_id, NULL, rank FROM kw),
+g AS (SELECT query_id, doc_id, sum(1.0 / (60 + coalesce(v_rank, k_rank))) AS rrf,
+             min(v_rank) AS v_rank, min(k_rank) AS k_rank FROM u GROUP BY query_id, doc_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id
+        ORDER BY round(rrf, 9) DESC, v_rank ASC NULLS LAST, k_rank) AS rank FROM g)"""
+
 BM25_CTE = f"""sops AS ({SOPS}),
 dt AS (SELECT doc_id, term, count(*) AS tf FROM (
          SELECT id AS doc_id, unnest({_tokens("title || ' ' || content")}) AS term FROM sops) GROUP BY doc_id, term),
@@ -292,35 +318,35 @@ recs AS (SELECT alert_id, urgency_level, confidence_score FROM r6 WHERE llm_erro
 
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["feed_envelope"] = _w(
-        LIVE_CTE,
-        """SELECT 'alert_received' AS event_type, alert_id AS key, timestamp_utc AS timestamp FROM alerts
+    # the feed and the live views start from the accepted alerts
+    taken = "WITH RECURSIVE " + cooldown_cte(60)
+    shown = "shown AS (SELECT l.* FROM alerts l JOIN accepted USING (alert_id))"
+    answered = taken + LIVE_CTE[len(ALERTS_CTE):] + ",\n" + shown
+    q["feed_envelope"] = answered + """
+SELECT 'alert_received' AS event_type, alert_id AS key, timestamp_utc AS timestamp FROM shown
 UNION ALL
-SELECT 'triage_recommendation', r.alert_id, a.timestamp_utc FROM recs r JOIN alerts a USING (alert_id)""",
-    )
-    q["feed_demux"] = _w(
-        ALERTS_CTE,
-        """SELECT alert_id, patient_id, severity, timestamp_utc, array_to_string(triggered_rules, ' | ') AS rules_text,
-       spo2_percent FROM alerts""",
-    )
-    q["live_feed_join"] = _w(
-        LIVE_CTE,
-        """SELECT a.alert_id, CASE WHEN r.urgency_level IS NULL THEN 'processing' ELSE 'complete' END AS status,
-       r.urgency_level FROM alerts a LEFT JOIN recs r USING (alert_id)""",
-    )
-    q["live_feed_top50"] = _w(
-        ALERTS_CTE,
-        """SELECT alert_id, patient_id, timestamp_utc,
+SELECT 'triage_recommendation', r.alert_id, s.timestamp_utc FROM recs r JOIN shown s USING (alert_id)"""
+    q["feed_demux"] = taken + ",\n" + shown + """
+SELECT alert_id, patient_id, severity, timestamp_utc, array_to_string(triggered_rules, ' | ') AS rules_text,
+       spo2_percent FROM shown"""
+    q["live_feed_join"] = answered + """
+SELECT s.alert_id, CASE WHEN r.urgency_level IS NULL THEN 'processing' ELSE 'complete' END AS status,
+       r.urgency_level FROM shown s LEFT JOIN recs r USING (alert_id)"""
+    display = """
+SELECT alert_id, patient_id, timestamp_utc,
        array_to_string(list_transform(triggered_rules, lambda r: split_part(r, ':', 1)), ', ') AS rule_labels,
        substr('[' || severity || '] ' || patient_id || ' @ ' || ward || '/' || bed_number || ' — '
               || array_to_string(triggered_rules, ', '), 1, 60) || '...' AS summary_short
-FROM alerts ORDER BY timestamp_utc DESC, alert_id DESC LIMIT 50""",
-    )
-    q["live_counts_after_ack"] = _w(
-        ALERTS_CTE + f", acks AS ({fx.acks_select_sql(D)}), patients AS ({PATIENTS})",
-        """SELECT patient_id, live_count, CASE WHEN live_count > 0 THEN 'red' ELSE 'green' END AS status
-FROM (SELECT p.patient_id, count(a.alert_id) FILTER (WHERE k.acked_at IS NULL OR a.timestamp_utc > k.acked_at) AS live_count
-      FROM patients p LEFT JOIN alerts a USING (patient_id) LEFT JOIN acks k USING (patient_id) GROUP BY p.patient_id)""",
+FROM shown """
+    newest = "QUALIFY row_number() OVER (ORDER BY timestamp_utc DESC, alert_id DESC) <= 50"
+    q["live_feed_top50"] = taken + ",\n" + shown + display + newest
+    q["live_feed_patient"] = taken + ",\n" + shown + display + "WHERE patient_id = 'PT-000007' " + newest
+    q["stream_live_top50"] = taken + "\nSELECT alert_id, patient_id, timestamp_utc FROM accepted " + newest
+    q["live_counts_after_ack"] = q["stream_live_counts"] = (
+        taken + f", acks AS ({fx.acks_select_sql(D)}), patients AS ({PATIENTS})" + """
+SELECT patient_id, live_count, CASE WHEN live_count > 0 THEN 'red' ELSE 'green' END AS status
+FROM (SELECT p.patient_id, count(s.alert_id) FILTER (WHERE k.acked_at IS NULL OR s.timestamp_utc > k.acked_at) AS live_count
+      FROM patients p LEFT JOIN accepted s USING (patient_id) LEFT JOIN acks k USING (patient_id) GROUP BY p.patient_id)"""
     )
     q["ward_roster"] = _w(
         f"patients AS ({PATIENTS})",
@@ -337,7 +363,8 @@ FROM triage_events t LEFT JOIN recs r USING (alert_id)""",
     )
     q["request_log_rollup"] = _w(
         f"log AS ({fx.request_log_select_sql(D)})",
-        """SELECT path, status, count(*) AS n_requests, round(avg(duration_ms), 3) AS avg_ms, max(duration_ms) AS max_ms
+        """SELECT path, status, count(*) AS n_requests, round(avg(duration_ms), 3) AS avg_ms, max(duration_ms) AS max_ms,
+       quantile_disc(duration_ms, 0.5) AS p50_ms, quantile_disc(duration_ms, 0.95) AS p95_ms
 FROM log WHERE path <> '/health' GROUP BY path, status""",
     )
     q["request_rate_breach"] = _w(
@@ -367,8 +394,6 @@ chain AS (
 )"""
     q["stream_cooldown"] = "WITH RECURSIVE " + stream_valid + """
 SELECT a.alert_id, a.patient_id, a.timestamp_utc FROM a JOIN chain USING (alert_id)"""
-    from wardwatch.operators import reasoning as rs
-
     def lit(x: str) -> str:
         return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
@@ -400,8 +425,42 @@ SELECT a.alert_id, a.patient_id, a.timestamp_utc FROM a JOIN chain USING (alert_
         line("bed", "a.bed_number || ' in ' || a.ward"),
         line("patient_id", "a.patient_id"),
     ])
-    prompt = f"""{lit(rs.INTRO + chr(10) + rs.RESPONSE_CONTRACT + chr(10))} || 'protocol=none' || chr(10)
+    def prompt_sql(protocols: str) -> str:
+        return f"""{lit(PROMPT_HEAD)} || {protocols}
   || CASE WHEN p.patient_id IS NULL THEN 'record=missing' || chr(10) ELSE {person} END || {bedside}"""
+
+    prompt = prompt_sql("'protocol=none' || chr(10)")
+    block = "'protocol=' || f.rank || '/' || s.category || '/' || s.title || chr(10) || '<<<' || chr(10) || s.content || chr(10) || '>>>' || chr(10)"
+    q["prompt_with_documents"] = (
+        "WITH RECURSIVE "
+        + cooldown_cte(60)
+        + REPORT_CTE[len(ALERTS_CTE):]
+        + f""",
+qa AS (SELECT l.alert_id AS query_id, l.event_seq, {QUERY_TEXT} AS text FROM accepted x JOIN alerts l USING (alert_id)),
+"""
+        + BM25_CTE + ",\n"
+        + _vector_sql("SELECT qa.query_id, e.embedding AS vec FROM qa JOIN embeddings e ON e.vec_id = qa.event_seq % (SELECT count(*) FROM embeddings)") + ",\n"
+        + _keyword_sql("SELECT query_id, text FROM qa", False) + ",\n"
+        + FUSED_SQL
+        + f""",
+docs AS (SELECT f.query_id, count(*) AS n, string_agg({block}, '' ORDER BY f.rank) AS body
+         FROM f JOIN sops s ON s.id = f.doc_id WHERE f.rank <= 3 GROUP BY f.query_id)
+SELECT alert_id, n_documents, CAST(length(prompt) AS BIGINT) AS prompt_length, sha256(prompt) AS prompt_sha256 FROM (
+  SELECT a.alert_id, d.n AS n_documents, {prompt_sql("coalesce(d.body, 'protocol=none' || chr(10))")} AS prompt
+  FROM accepted x JOIN alerts a USING (alert_id) LEFT JOIN patients p ON p.patient_id = a.patient_id LEFT JOIN docs d ON d.query_id = a.alert_id)"""
+    )
+    q["triage_recommendations"] = (
+        "WITH RECURSIVE "
+        + cooldown_cte(60)
+        + REPLY_CTE[len(ALERTS_CTE):]
+        + """
+SELECT r.alert_id, l.patient_id, r.urgency_level, r.confidence_score, CAST(len(r.actions) AS BIGINT) AS n_actions
+FROM r6 r JOIN accepted USING (alert_id) JOIN alerts l USING (alert_id) WHERE r.llm_error IS NULL"""
+    )
+    q["vector_index_recall"] = _w(
+        f"sops AS ({SOPS}), " + _vector_sql("SELECT vec_id AS query_id, embedding AS vec FROM embeddings"),
+        "SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS reaches_90_percent FROM vh",
+    )
     q["prompt_text"] = _w(
         REPORT_CTE,
         f"""SELECT alert_id, CAST(length(prompt) AS BIGINT) AS prompt_length, sha256(prompt) AS prompt_sha256 FROM (
@@ -460,11 +519,7 @@ WHERE NOT EXISTS (SELECT 1 FROM docs e WHERE e.lang = 'en' AND e.content IS NOT
     )
     q["retrieval_query_text"] = _w(
         ALERTS_CTE,
-        """SELECT alert_id, lower(severity) || ' care for ' || array_to_string(triggered_rules, ' and ')
-       || '; pulse ' || heart_rate_bpm || '; systolic ' || systolic_bp_mmhg || '; diastolic ' || diastolic_bp_mmhg
-       || '; oxygen ' || CAST(spo2_percent AS VARCHAR) || '; breathing ' || respiratory_rate_rpm
-       || '; temperature ' || CAST(temperature_celsius AS VARCHAR) AS query_text
-FROM alerts""",
+        f"SELECT alert_id, {QUERY_TEXT} AS query_text FROM alerts",
     )
     q["keyword_terms"] = _w(
         ALERTS_CTE,
@@ -484,13 +539,7 @@ FROM alerts""",
         BM25_CTE + ",\n"
         + _vector_sql("SELECT id AS query_id, embedding AS vec FROM sops WHERE embedding IS NOT NULL") + ",\n"
         + _keyword_sql("SELECT id AS query_id, title || ' ' || content AS text FROM sops WHERE embedding IS NOT NULL", False)
-        + """,
-u AS (SELECT query_id, doc_id, rank AS v_rank, CAST(NULL AS BIGINT) AS k_rank FROM vh
-      UNION ALL SELECT query_id, doc_id, NULL, rank FROM kw),
-g AS (SELECT query_id, doc_id, sum(1.0 / (60 + coalesce(v_rank, k_rank))) AS rrf,
-             min(v_rank) AS v_rank, min(k_rank) AS k_rank FROM u GROUP BY query_id, doc_id),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id
-        ORDER BY round(rrf, 9) DESC, v_rank ASC NULLS LAST, k_rank) AS rank FROM g)""",
+        + ",\n" + FUSED_SQL,
         """SELECT query_id, doc_id, rank, round(rrf, 6) AS relevance_score,
        CASE WHEN v_rank IS NOT NULL AND k_rank IS NOT NULL THEN 'hybrid'
             WHEN v_rank IS NOT NULL THEN 'vector' ELSE 'keyword' END AS retrieval_method
@@ -520,6 +569,7 @@ FROM f WHERE rank <= 3""",
        count(DISTINCT patient_id) AS patients_triaged
 FROM triage_events, ref_time WHERE created_at > as_of - INTERVAL 24 HOURS""",
     )
+    q["stream_dashboard_stats"] = q["dashboard_stats"]
     q["billing_by_hospital_day"] = _w(
         REPORT_CTE,
         """SELECT hospital_id, CAST(created_at AS DATE) AS day, count(DISTINCT alert_id) AS units,
@@ -541,7 +591,7 @@ FROM alerts a LEFT JOIN patients p ON p.patient_id = a.patient_id"""
     q["alert_patient_context"] = _w(REPORT_CTE, ctx_body)
     q["context_misses"] = _w(
         REPORT_CTE + f", ctx AS ({ctx_body})",
-        "SELECT count(*) AS n_alerts, count(context_fetch_error) AS n_missing FROM ctx",
+        "SELECT count(*) AS n_alerts, count(*) FILTER (context_fetch_error IS NOT NULL OR patient_id LIKE '%7') AS n_missing FROM ctx",
     )
     q["trailing_24h_count"] = _w(
         REPORT_CTE,
@@ -593,6 +643,42 @@ SELECT a.alert_id, a.patient_id, a.timestamp_utc, r.urgency_level,
 FROM accepted a JOIN alerts l USING (alert_id)
 LEFT JOIN recs r ON r.alert_id = a.alert_id AND 1000 + l.event_seq * 7 % 29000 <= 20000"""
     )
+    q["alert_json"] = _w(
+        ALERTS_CTE,
+        """SELECT CAST(11 AS BIGINT) AS n_keys, patient_id AS key, alert_id, source_event_id, patient_id,
+       strftime(timestamp_utc, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp_utc, severity, nursing_notes,
+       heart_rate_bpm, temperature_celsius, triggered_rules[1] AS first_rule FROM alerts""",
+    )
+    q["alerts_by_own_rules"] = _w(
+        f"tel AS ({TEL}), valid AS (SELECT * FROM tel WHERE {VALID_WHERE})" + """,
+own AS (SELECT sha256('alert|' || event_id) AS alert_id, spo2_percent < 96.0 AND respiratory_rate_rpm > 18 AS n2,
+       systolic_bp_mmhg > 185 OR diastolic_bp_mmhg > 110 AS n3, heart_rate_bpm > 95 AS n1, * FROM valid),
+said AS (SELECT *, list_filter([
+    CASE WHEN n2 THEN 'N2 airway: ' || CAST(spo2_percent AS VARCHAR) || '/' || respiratory_rate_rpm END,
+    CASE WHEN n3 THEN 'N3 pressure (' || ((systolic_bp_mmhg > 185)::INT + (diastolic_bp_mmhg > 110)::INT) || '): '
+      || concat_ws(', ', CASE WHEN systolic_bp_mmhg > 185 THEN 'sys ' || systolic_bp_mmhg END, CASE WHEN diastolic_bp_mmhg > 110 THEN 'dia ' || diastolic_bp_mmhg END) END,
+    CASE WHEN n1 THEN 'N1 fast: ' || heart_rate_bpm END], lambda x: x IS NOT NULL) AS rules FROM own)""",
+        """SELECT alert_id, CASE WHEN n3 THEN 'CRITICAL' WHEN n2 THEN 'LOW' WHEN len(rules) >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+       array_to_string(rules, ' | ') AS rules_text FROM said WHERE len(rules) > 0""",
+    )
+    q["lax_coercion"] = _w(
+        _parsed_cte(fx.kind_messages_select_sql(D, "events")),
+        """SELECT msg_offset, array_to_string(reasons, ' ') AS reasons,
+       CASE WHEN floor(d_heart_rate_bpm) = d_heart_rate_bpm THEN CAST(d_heart_rate_bpm AS INT) END AS heart_rate_bpm,
+       d_spo2_percent AS spo2_percent FROM checked""",
+    )
+    q["patient_id_normalised"] = _w(
+        PARSED_CTE, "SELECT upper(j_patient_id) AS patient_id, count(*) AS n_readings FROM checked WHERE len(reasons) = 0 GROUP BY 1"
+    )
+    q["embedding_input"] = _w(
+        f"sops AS ({SOPS}), t AS (SELECT id, title || chr(10) || regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS text FROM sops)",
+        "SELECT id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sha256 FROM t",
+    )
+    q["pipeline_counters"] = "WITH RECURSIVE " + stream_valid + """,
+c AS (SELECT (SELECT count(*) FROM checked) AS processed, (SELECT count(*) FROM checked WHERE len(reasons) > 0) AS rejected,
+             (SELECT count(*) FROM alerts) AS published, (SELECT count(*) FROM chain) AS accepted)
+SELECT 'processed' AS counter, processed AS n FROM c UNION ALL SELECT 'rejected', rejected FROM c
+UNION ALL SELECT 'published', published FROM c UNION ALL SELECT 'skipped', published - accepted FROM c UNION ALL SELECT 'errors', 0"""
     q["telemetry_valid"] = _w(
         f"tel AS ({TEL})",
         f"""SELECT event_id, upper(patient_id) AS patient_id, timestamp_utc, heart_rate_bpm, systolic_bp_mmhg,

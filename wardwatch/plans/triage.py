@@ -5,30 +5,38 @@ can fail for a row and leave its columns null (context miss, no documents,
 model or parse error) while the rows go on:
 
     accepted alerts (cooldown) -> patient context + trailing count
-    -> retrieval query text -> query embedding (caller's function)
+    -> retrieval query text -> query embedding (caller's hook)
     -> vector top-k + keyword top-k -> RRF top-k -> documents attached
-    -> prompt -> model reply (caller's function) -> parse/repair/validate
+    -> prompt -> model reply (caller's hook) -> parse/repair/validate
     -> recommendations + audit rows
 
-Also provides offline stand-ins for the two external models so the whole
-chain can be exercised on the given tables: a token-hashing embedder and a
-rule-based reply writer.
+The hooks are DataFrame functions: a table of stored vectors or replies can be
+joined, and ``reasoning.embed`` and ``reasoning.score`` wrap a caller's batch
+function.  Prompts and replies are saved once, so that several outputs may be
+written without asking the model again.
 """
 
 from __future__ import annotations
 
-import json
-import zlib
-from typing import Callable
+from typing import Callable, NamedTuple
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch.operators.context import with_patient_context
 from wardwatch.operators.cooldown import accepted_alerts
-from wardwatch.operators.reasoning import build_prompts, embed, parse_replies, recommendations, score
-from wardwatch.operators.retrieval import attach_documents, bm25_index, keyword_topk, query_text, rrf_fuse, vector_topk
+from wardwatch.operators.keyword_index import KeywordIndex, search
+from wardwatch.operators.reasoning import build_prompts, parse_replies, recommendations
+from wardwatch.operators.retrieval import attach_documents, query_text, rrf_fuse, vector_topk
+from wardwatch.session import cut_lineage
+
+
+class Triaged(NamedTuple):
+    """``prompts`` and ``parsed`` have every accepted alert, ``recommendations`` those with a valid reply."""
+
+    recommendations: DataFrame
+    parsed: DataFrame
+    prompts: DataFrame
 
 
 def triage(
@@ -36,77 +44,30 @@ def triage(
     patients: DataFrame,
     triage_events: DataFrame,
     docs: DataFrame,
-    model_fn: Callable[[list[str]], list[str]],
-    embed_fn: Callable[[list[str]], list[list[float]]],
+    index: KeywordIndex,
+    embed: Callable[[DataFrame], DataFrame],
+    reply: Callable[[DataFrame], DataFrame],
     cooldown_s: int = 60,
     k_each: int = 5,
     k_final: int = 3,
     match: str = "any",
     model_name: str = "caller-model",
-) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(recommendations, parsed)``; ``parsed`` keeps every accepted alert with its errors."""
+) -> Triaged:
+    """The chain over ``alerts``; ``index`` is the keyword index of ``docs``.
+
+    ``embed`` takes (alert_id, text) and returns (alert_id, vec); ``reply``
+    takes the prompts (alert_id, prompt, ...) and returns (alert_id, raw_reply).
+    """
     accepted = accepted_alerts(alerts, cooldown_s)
     ctx = with_patient_context(accepted, patients, triage_events)
     q = ctx.select("alert_id", query_text(F.col("triggered_rules"), F.col("vitals_snapshot"), F.col("severity")).alias("text"))
-    qv = embed(q, "text", embed_fn, "vec")
-
+    vectors = embed(q).select(F.col("alert_id").alias("query_id"), "vec")
     doc_vecs = docs.where(F.col("embedding").isNotNull()).select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
-    v_hits = vector_topk(qv.select(F.col("alert_id").alias("query_id"), "vec"), doc_vecs, k_each)
-    index = bm25_index(docs.select(F.col("id").alias("doc_id"), "title", "content"), F.concat_ws(" ", "title", "content"))
-    k_hits = keyword_topk(q.select(F.col("alert_id").alias("query_id"), "text"), index, k_each, match)
-    fused = rrf_fuse(v_hits, k_hits, k_final)
-    sops = attach_documents(fused, docs).withColumnRenamed("query_id", "alert_id")
-
-    prompts = build_prompts(ctx.join(sops, "alert_id", "left"), "retrieved_sops")
-    replies = score(prompts, model_fn)
-    parsed = parse_replies(
-        replies.join(prompts.select("alert_id", "patient_id", "hospital_id", "severity", "timestamp_utc"), "alert_id")
-    )
-    return recommendations(parsed, model_name), parsed
-
-
-# --- offline stand-ins for the external models ----------------------------------
-
-def hashing_embedder(dims: int) -> Callable[[list[str]], list[list[float]]]:
-    """Bag of lower-case tokens hashed (crc32) into ``dims`` signed buckets, L2-normalised."""
-
-    def fn(texts: list[str]) -> list[list[float]]:
-        out = []
-        for t in texts:
-            v = np.zeros(dims)
-            for tok in (t or "").lower().split():
-                h = zlib.crc32(tok.encode())
-                v[h % dims] += 1.0 if (h >> 16) & 1 else -1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).tolist())
-        return out
-
-    return fn
-
-
-def rule_based_replier(prompts: list[str]) -> list[str]:
-    """A deterministic reply: urgency from the severity line, three ordered actions."""
-    out = []
-    for p in prompts:
-        sev = "MEDIUM"
-        for line in p.splitlines():
-            if line.startswith("severity="):
-                sev = line.split("=", 1)[1].strip()
-        urgency = {"CRITICAL": "IMMEDIATE", "HIGH": "URGENT", "MEDIUM": "SEMI_URGENT"}.get(sev, "NON_URGENT")
-        out.append(
-            json.dumps(
-                {
-                    "urgency_level": urgency,
-                    "clinical_summary": f"{sev} alert reviewed against retrieved protocols.",
-                    "primary_concern": sev.lower(),
-                    "recommended_actions": [
-                        {"priority": i, "action": f"step {i}", "rationale": "protocol", "time_window": f"{15 * i} minutes"}
-                        for i in (1, 2, 3)
-                    ],
-                    "contraindications": [],
-                    "sops_referenced": [],
-                    "confidence_score": 0.5,
-                }
-            )
-        )
-    return out
+    v_hits = vector_topk(vectors, doc_vecs, k_each)
+    k_hits = search(q.select(F.col("alert_id").alias("query_id"), "text"), index, k_each, match)
+    sops = attach_documents(rrf_fuse(v_hits, k_hits, k_final), docs).withColumnRenamed("query_id", "alert_id")
+    prompts = cut_lineage(build_prompts(ctx.join(sops, "alert_id", "left"), "retrieved_sops"))
+    replies = cut_lineage(reply(prompts).select("alert_id", "raw_reply"))
+    asked = prompts.select("alert_id", "patient_id", "hospital_id", "severity", "timestamp_utc")
+    parsed = parse_replies(asked.join(replies, "alert_id", "left"))
+    return Triaged(recommendations(parsed, model_name), parsed, prompts)

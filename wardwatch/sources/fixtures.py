@@ -127,7 +127,7 @@ def raw_telemetry_select_sql(dialect: str, source: str = "events") -> str:
 
     Variants exercise lax coercion ("120", 120.0), a fractional int (120.5),
     missing required / defaulted keys, an unknown key, a too-long note and a
-    truncated message.
+    truncated message and a tombstone.
     """
     tel = telemetry_select_sql(dialect, source)
     hr = "CAST(heart_rate_bpm AS STRING)"
@@ -155,7 +155,7 @@ def raw_telemetry_select_sql(dialect: str, source: str = "events") -> str:
         "CASE WHEN event_seq % 2 = 0 THEN '' ELSE ', \"is_simulated\": true' END || "
         "CASE WHEN event_seq % 31 = 0 THEN ', \"unknown_field\": 1' ELSE '' END || '}'"
     )
-    value = "CASE WHEN event_seq % 89 = 0 THEN substr(body, 1, 60) ELSE body END"
+    value = "CASE WHEN event_seq % 83 = 0 THEN NULL WHEN event_seq % 89 = 0 THEN substr(body, 1, 60) ELSE body END"
     # received_at: broker time one second after the reading
     received = "timestamp_utc + INTERVAL 1 SECOND" if dialect == SPARK else "timestamp_utc + INTERVAL '1 second'"
     hr_sql = f"SELECT *, {hr_text} AS hr_text FROM ({tel}) t0"
@@ -276,15 +276,43 @@ def reply_text_sql(dialect: str) -> str:
 
 
 def request_log_select_sql(dialect: str, source: str = "events") -> str:
-    """Request log rows ``(ts, method, path, status, duration_ms, client)`` from events."""
+    """Request log rows ``(ts, method, path, status, duration_ms, client)`` from events.
+
+    Every 50th request is a health check; every tenth comes from one client
+    within the first minute of the month.
+    """
+    if dialect == SPARK:
+        minute = "CAST(date_trunc('MONTH', ts) AS TIMESTAMP_NTZ) + make_dt_interval(0, 0, 0, CAST(event_id % 60 AS INT))"
+    else:
+        minute = "date_trunc('month', ts) + to_seconds(event_id % 60)"
     return (
-        "SELECT ts, 'GET' AS method, '/' || event_type AS path, "
+        f"SELECT CASE WHEN event_id % 10 = 3 THEN {minute} ELSE ts END AS ts, 'GET' AS method, "
+        "CASE WHEN event_id % 50 = 0 THEN '/health' ELSE '/' || event_type END AS path, "
         "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS duration_ms, "
-        "'client-' || lpad(CAST(user_id % 20 AS STRING), 2, '0') AS client "
+        "CASE WHEN event_id % 10 = 3 THEN 'client-burst' ELSE 'client-' || lpad(CAST(user_id % 20 AS STRING), 2, '0') END AS client "
         f"FROM {source}"
     )
 
 
+def kind_messages_select_sql(dialect: str, source: str = "events") -> str:
+    """Messages ``(msg_offset, received_at, value)`` whose fields come as other JSON kinds than declared, a case for each eighth event."""
+    case = lambda pairs, default: "CASE event_id % 8 " + " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in pairs) + f" ELSE {_q(default)} END"
+    rate = case([(1, '"120"'), (2, "120.0"), (3, "120.5"), (4, "true")], "120")
+    fields = [
+        ("patient_id", case([(5, "17")], '"pt-000017"')),
+        ("hospital_id", case([(6, "5")], '"HOSP-005"')),
+        ("ward", case([(7, '["A"]')], '"A"')),
+        ("bed_number", case([(6, "12")], '"12"')),
+        ("nursing_notes", case([(7, "null"), (5, "3.5")], '"calm"')),
+    ]
+    parts = ["'{'", *[x for n, v in fields for x in (_q(f'"{n}": '), v, _q(", "))]]
+    vitals = "'\"vitals\": {\"heart_rate_bpm\": ' || " + rate + (
+        " || ', \"systolic_bp_mmhg\": 118, \"diastolic_bp_mmhg\": 76, \"spo2_percent\": \"97.5\", "
+        "\"respiratory_rate_rpm\": 15, \"temperature_celsius\": 36.9}}'"
+    )
+    return f"SELECT event_id AS msg_offset, ts AS received_at, {' || '.join(parts)} || {vitals} AS value FROM {source}"
+
+
 def acks_select_sql(dialect: str, source: str = "events") -> str:
     """Per patient the last time a nurse viewed the record (``view`` events)."""
     return (

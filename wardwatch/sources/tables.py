@@ -63,6 +63,11 @@ def raw_telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = N
     return _derive(spark, fx.raw_telemetry_select_sql(fx.SPARK, "{events}"), events=table(spark, sf_dir, "events") if events is None else events)
 
 
+def kind_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw messages whose fields come as other JSON kinds than declared."""
+    return _derive(spark, fx.kind_messages_select_sql(fx.SPARK, "{events}"), events=table(spark, sf_dir, "events"))
+
+
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, fx.patients_select_sql(fx.SPARK, "{customer}"), customer=table(spark, sf_dir, "customer"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +19,7 @@ from wardwatch.operators import rules as ru
 from wardwatch.operators import validate as va
 from wardwatch.operators.audit import append_audit, stored
 from wardwatch.session import ensure_checkpoint_dir
+from wardwatch.streaming.counters import counted
 
 
 def telemetry_to_alerts(raw: DataFrame, rules: tuple = ru.DEFAULT_RULES) -> tuple[DataFrame, DataFrame]:
@@ -27,6 +29,22 @@ def telemetry_to_alerts(raw: DataFrame, rules: tuple = ru.DEFAULT_RULES) -> tupl
     return ru.detect_alerts(valid, rules), rejects
 
 
+def counted_alerts(raw: DataFrame, rules: tuple = ru.DEFAULT_RULES) -> DataFrame:
+    """The alerts of raw messages, with the counts ``telemetry.processed``, ``telemetry.rejected`` and ``alerts.published``."""
+    checked = va.validate_telemetry(va.parse_telemetry(raw))
+    checked = counted(checked, "telemetry", processed=F.lit(True), rejected=F.size("rejection_reasons") > 0)
+    valid, _ = va.split_valid(checked)
+    return counted(ru.detect_alerts(valid, rules), "alerts", published=F.lit(True))
+
+
+def kafka_messages(rows: DataFrame) -> DataFrame:
+    """Rows of a Kafka source in the raw row shape."""
+    return rows.selectExpr(
+        "topic AS msg_topic", "partition AS msg_partition", "offset AS msg_offset",
+        "CAST(timestamp AS TIMESTAMP_NTZ) AS received_at", "CAST(value AS STRING) AS value",
+    )
+
+
 def kafka_reader(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """Kafka source starting at the latest offsets, mapped to the raw row shape.
 
@@ -40,10 +58,7 @@ def kafka_reader(spark: SparkSession, servers: str, topic: str, **options: str)
     )
     for k, v in options.items():
         reader = reader.option(k, v)
-    return reader.load().selectExpr(
-        "topic AS msg_topic", "partition AS msg_partition", "offset AS msg_offset",
-        "CAST(timestamp AS TIMESTAMP_NTZ) AS received_at", "CAST(value AS STRING) AS value"
-    )
+    return kafka_messages(reader.load())
 
 
 def kafka_writer(alerts: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
