@@ -56,6 +56,14 @@ def test_a_replayed_batch_appends_nothing(spark, tmp_path, time):
     assert sorted(r.alert_id for r in spark.read.parquet(path).collect()) == sorted(r[0] for r in rows)
 
 
+def test_a_redelivery_past_midnight_appends_nothing(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    night = datetime(2024, 1, 1, 23, 59, 59)
+    for moved in (0, 2, -2):
+        batch = spark.createDataFrame([("a", "p", night + timedelta(seconds=moved))], SCHEMA)
+        assert append_audit(batch, path, time="timestamp_utc") == (1 if moved == 0 else 0)
+
+
 def test_other_read_errors_are_raised(spark):
     with pytest.raises((AnalysisException, Py4JJavaError)):
         stored(spark, "nosuchscheme://x/y", spark.createDataFrame([], SCHEMA).schema)

@@ -45,7 +45,9 @@ def append_audit(
     Re-running a micro-batch after a failure appends nothing twice: the
     anti-join sees the rows of the first attempt.  With ``time`` the table is
     partitioned by that column's date (``audit_day``) and only the batch's
-    range of dates is searched; a key must then always come with one date.
+    range of dates, a day wider at both ends, is searched: an event without a
+    time of its own carries that of its delivery, which a redelivery may move
+    past midnight.  A key must come with dates no further apart than that.
     """
     spark = batch.sparkSession
     if time is not None:
@@ -57,7 +59,7 @@ def append_audit(
             return 0
         in_range = F.col("audit_day").isNull()  # rows without a time
         if first is not None:
-            in_range |= F.col("audit_day").between(F.lit(first), F.lit(last))
+            in_range |= F.col("audit_day").between(F.date_sub(F.lit(first), 1), F.date_add(F.lit(last), 1))
         existing = existing.where(in_range)
     seen = Observation()
     new_rows = insert_if_absent(batch, existing, key, order).observe(seen, F.count(F.lit(1)).alias("n"))

@@ -36,6 +36,8 @@ from wardwatch.session import cut_lineage, ensure_checkpoint_dir
 
 BLOCK_DOCS = 64
 SEED_BLOCKS = 2
+#: A bucket of the postings aims at so many documents, so that the sums of a task stay in its caches.
+BUCKET_DOCS, MAX_BUCKETS = 64, 4096
 #: Bounds are sums of doubles in another order than the scores.
 ROUNDING = 1e-6
 #: Query terms that are broadcast (query and term number, 16 bytes each); more of them meet the postings by shuffle.
@@ -66,12 +68,13 @@ def build(docs: DataFrame, text: Column, path: str | None = None, block_docs: in
     spark = docs.sparkSession
     name = f"keyword_postings_{uuid.uuid4().hex}"
     path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = cut_lineage(explode_tokens(docs, "doc_id", text).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     placed = ranked(lengths, [F.col("dl"), F.col("doc_id")], "place").select("doc_id", "dl", F.floor(F.col("place") / block_docs).alias("block"))
     placed = cut_lineage(placed)
     corpus = placed.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or min(MAX_BUCKETS, max(least, -(-corpus["n_docs"] // BUCKET_DOCS)))
     terms = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("tid", F.monotonically_increasing_id())
     terms = cut_lineage(terms)
     idf = F.log(1 + (F.lit(corpus["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -92,15 +95,14 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _scores(index: KeywordIndex, asked: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, matched) of all documents, or of those in the chosen (query_id, block)."""
+    """(query_id, doc_id, score) of all documents, or with ``matched``, the number of terms, of those in the chosen (query_id, block)."""
     tids = [r.tid for r in asked.select("tid").distinct().limit(PUSHED_TERMS + 1).collect()]
     postings = index.postings
     if len(tids) <= PUSHED_TERMS:
         postings = postings.where(F.col("tid").isin(tids))
     if blocks is None:
-        hits = postings.join(_sized(asked), "tid")
-    else:
-        hits = postings.join(_sized(blocks.join(asked, "query_id")), ["block", "tid"])
+        return postings.join(_sized(asked), "tid").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    hits = postings.join(_sized(blocks.join(asked, "query_id")), ["block", "tid"])
     return hits.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("matched"))
 
 

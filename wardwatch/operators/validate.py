@@ -30,7 +30,6 @@ NOT_TEXT = "not_text:"  # + field
 
 NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 REQUIRED_TEXT_FIELDS = ["patient_id", "hospital_id", "ward", "bed_number"]
-TEXT_FIELDS = ["event_id", *REQUIRED_TEXT_FIELDS, "nursing_notes"]
 
 
 def parse_once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
@@ -46,7 +45,7 @@ def parse_once(df: DataFrame, parsed: Column, name: str) -> DataFrame:
 
 
 def parse_telemetry(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """Tombstones dropped, JSON parsed with string leaves into ``_msg``."""
+    """Tombstones dropped, JSON parsed into ``_msg``: numbers as text, texts as VARIANT, which tells 5 from "5"."""
     # a null payload parses to null (dropped as a tombstone); a malformed one
     # to a struct carrying the corrupt record.  Filtering on the parsed column
     # keeps the predicate above the parse barrier.
@@ -58,13 +57,8 @@ def parse_telemetry(raw: DataFrame, value_col: str = "value") -> DataFrame:
             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
         ),
         "_msg",
-    ).where(F.col("_msg").isNotNull())
-    # The text leaves can't tell 5 from "5"; the same message as a VARIANT can. Numbers may come as texts, texts not as numbers.
-    document = F.try_parse_json(F.col(value_col).cast("string"))
-    kinds = [F.schema_of_variant(F.try_variant_get(F.col("_doc"), f"$.{f}", "variant")) for f in TEXT_FIELDS]
-    wrong = [F.when(~k.isin("STRING", "VOID"), F.lit(NOT_TEXT + f)) for f, k in zip(TEXT_FIELDS, kinds)]
-    wrong = F.filter(F.array(*wrong), lambda x: x.isNotNull())
-    return parse_once(parse_once(parsed, document, "_doc"), wrong, "_not_text").drop("_doc")
+    )
+    return parsed.where(F.col("_msg").isNotNull())
 
 
 def _reason(cond: Column, code: str) -> Column:
@@ -94,8 +88,9 @@ def validate_telemetry(
         (m.isNull() | m["_corrupt_record"].isNotNull()).alias("_bad_json"),
         m["vitals"].isNotNull().alias("_has_vitals"),
         *[m["vitals"][n].alias(f"_t_{n}") for n in schemas.VITAL_NAMES],
-        *[m[f].alias(f"_j_{f}") for f in ["event_id", "patient_id", "hospital_id", "ward", "bed_number",
-                                          "timestamp_utc", "nursing_notes", "is_simulated"]],
+        *[F.try_variant_get(m[f], "$", "string").alias(f"_j_{f}") for f in schemas.TEXT_FIELDS],
+        *[F.schema_of_variant(m[f]).alias(f"_k_{f}") for f in schemas.TEXT_FIELDS],
+        *[m[f].alias(f"_j_{f}") for f in ["timestamp_utc", "is_simulated"]],
     )
     stage2 = stage1.select(
         "*",
@@ -114,11 +109,12 @@ def validate_telemetry(
 
     bad = F.col("_bad_json")
     has_v = F.col("_has_vitals")
-    reasons: list[Column] = [_reason(bad, MALFORMED)]
+    # numbers may come as texts, but texts not as numbers
+    reasons: list[Column] = [_reason(~bad & ~F.col(f"_k_{f}").isin("STRING", "VOID"), NOT_TEXT + f) for f in schemas.TEXT_FIELDS]
+    reasons.append(_reason(bad, MALFORMED))
     for f in REQUIRED_TEXT_FIELDS:
         reasons.append(_reason(~bad & F.col(f"_j_{f}").isNull(), MISSING + f))
     reasons.append(_reason(~bad & ~has_v, MISSING + "vitals"))
-    not_text = F.when(bad, F.array().cast("array<string>")).otherwise(F.col("_not_text"))
 
     typed_vitals: dict[str, Column] = {}
     field_ok: list[Column] = []
@@ -161,7 +157,7 @@ def validate_telemetry(
     reasons.append(_reason(sim_txt.isNotNull() & sim_val.isNull(), BAD_BOOLEAN))
 
     out = stage2.select(
-        *[c for c in parsed.columns if c != "_not_text"],
+        *parsed.columns,
         F.coalesce(F.col("_j_event_id"), default_id).alias("event_id"),
         F.upper(pid).alias("patient_id"),
         F.col("_j_hospital_id").alias("hospital_id"),
@@ -172,7 +168,7 @@ def validate_telemetry(
         notes.alias("nursing_notes"),
         F.coalesce(sim_val, F.lit(False)).alias("is_simulated"),
         # barrier: filters on the reasons must not be inlined into the stages below
-        F.explode(F.array(F.concat(not_text, F.filter(F.array(*reasons), lambda r: r.isNotNull())))).alias("rejection_reasons"),
+        F.explode(F.array(F.filter(F.array(*reasons), lambda r: r.isNotNull()))).alias("rejection_reasons"),
     )
     return out
 

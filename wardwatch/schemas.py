@@ -55,19 +55,16 @@ TELEMETRY = T.StructType(
     ]
 )
 
-# Raw JSON is parsed with *string* leaves so that lax numeric coercion
-# ("120", 120.0 -> 120) can be decided afterwards with try_cast.
+# Raw JSON is parsed with *string* numbers so that lax numeric coercion
+# ("120", 120.0 -> 120) can be decided afterwards with try_cast, and with
+# VARIANT texts, which keep the kind that the message has.
+TEXT_FIELDS = ["event_id", "patient_id", "hospital_id", "ward", "bed_number", "nursing_notes"]
 RAW_VITALS = T.StructType([T.StructField(n, T.StringType(), True) for n in VITAL_NAMES])
 RAW_TELEMETRY = T.StructType(
     [
-        T.StructField("event_id", T.StringType(), True),
-        T.StructField("patient_id", T.StringType(), True),
-        T.StructField("hospital_id", T.StringType(), True),
-        T.StructField("ward", T.StringType(), True),
-        T.StructField("bed_number", T.StringType(), True),
+        *[T.StructField(n, T.VariantType(), True) for n in TEXT_FIELDS],
         T.StructField("timestamp_utc", T.StringType(), True),
         T.StructField("vitals", RAW_VITALS, True),
-        T.StructField("nursing_notes", T.StringType(), True),
         T.StructField("is_simulated", T.StringType(), True),
         T.StructField("_corrupt_record", T.StringType(), True),
     ]
