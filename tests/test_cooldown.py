@@ -55,8 +55,8 @@ def _hot(seed, n=4000, step=40):
     return rows
 
 
-@pytest.mark.parametrize("parts", [None, 1, 50])
-@pytest.mark.parametrize("cooldown", [60, 1800, 10**6])
+@pytest.mark.parametrize("parts", [None, 50])
+@pytest.mark.parametrize("cooldown", [60, 10**6])
 def test_half_of_all_rows(spark, parts, cooldown):
     rows = _hot(cooldown)
     want = _brute(set(rows), cooldown)
@@ -69,7 +69,7 @@ def test_half_of_all_rows(spark, parts, cooldown):
     assert all(a - b == c for a, b, c in counts.values())
 
 
-@pytest.mark.parametrize("parts", [None, 1, 7, 50])
+@pytest.mark.parametrize("parts", [None, 50])
 def test_runs(spark, parts):
     rows = _hot(3)
     want = []
