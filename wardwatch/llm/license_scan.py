@@ -150,3 +150,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         )
         .drop("row")
     )
+
+
+def oracle_sql() -> str:
+    """The scan in DuckDB SQL: k-grams compared as lists of words, covered template words counted one by one."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(label, text, PHRASE_GRAM) for label, text in PHRASES] + [(label, text, NOTICE_GRAM) for label, text in NOTICES]
+    values = ",\n  ".join(f"({i}, {quoted(label)}, {i < len(PHRASES)}, {width}, {quoted(text)})" for i, (label, text, width) in enumerate(rows))
+    return rf"""
+WITH said(n, label, phrase, width, text) AS (VALUES
+  {values}),
+t AS (SELECT n, label, phrase, width, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM said),
+tg AS (SELECT n, label, phrase, width, len(w) AS whole, i AS place, w[i + 1:i + width] AS gram
+       FROM (SELECT *, unnest(range(0, len(w) - width + 1)) AS i FROM t)),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT r, width, i AS pos, w[i + 1:i + width] AS gram
+       FROM (SELECT r, w, width, unnest(range(0, len(w) - width + 1)) AS i FROM d, (VALUES ({PHRASE_GRAM}), ({NOTICE_GRAM})) k(width))),
+hits AS (SELECT DISTINCT r, n, label, phrase, tg.width, whole, pos - place AS start, place
+         FROM dg JOIN tg ON dg.width = tg.width AND dg.gram = tg.gram),
+spans AS (SELECT a.r, a.n, a.label, a.phrase, a.start, a.whole, count(DISTINCT h.place + j.j) AS covered,
+                 count(DISTINCT h.place) FILTER (h.start = a.start) = a.whole - a.width + 1 AS full_
+          FROM (SELECT DISTINCT r, n, label, phrase, width, whole, start FROM hits) a
+          JOIN hits h ON h.r = a.r AND h.n = a.n AND h.start BETWEEN a.start AND a.start + {DRIFT}
+          JOIN (SELECT unnest(range(0, {NOTICE_GRAM})) AS j) j ON j.j < a.width
+          GROUP BY a.r, a.n, a.label, a.phrase, a.start, a.whole, a.width),
+found AS (SELECT r, count(*) FILTER (phrase AND full_) AS n_base, min(start) FILTER (phrase AND full_) AS first_word,
+                 max(start) FILTER (phrase AND full_) AS last_word,
+                 list_sort(list(DISTINCT label) FILTER (phrase AND full_)) AS base,
+                 list_sort(list(DISTINCT label) FILTER (CASE WHEN phrase THEN full_ ELSE covered >= {COVERAGE} * whole END)) AS labels,
+                 max(covered / whole) AS score FROM spans GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(labels, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (r)"""

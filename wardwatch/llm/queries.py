@@ -91,6 +91,7 @@ def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op12_license_scan": license_scan.oracle_sql(),
         "op8_exact_dedup": """
             WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, row_number() OVER () AS r FROM documents)
             SELECT doc_id,
