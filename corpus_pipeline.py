@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.  Between stages the rows are
 written as Parquet and read again.
+
+Defined results: null and empty texts pass the first stage, are equal to each
+other in the second (the largest id stays, null ids lose), have no words to
+mix (their source may still be taken whole) and pack as a single end mark;
+null ids and rows equal in all columns count as rows, of which the second
+stage keeps one; a null source is a source of its own; extra columns, whatever
+their names, are carried as they are to the last stage; empty tables give no
+pieces.
 """
 
 from __future__ import annotations
