@@ -79,8 +79,10 @@ def validate_telemetry(
     one partition only), ``timestamp_utc`` the broker receive time,
     ``is_simulated`` false.
 
-    Three staged projections (texts -> numbers -> reasons) so that every
-    cast is computed once per row and each generated method stays small.
+    Staged projections (texts -> numbers -> groups of reasons) so that every
+    cast is computed once per row.  Each group of reasons is a step of its own,
+    joined as text in generated code (a lambda over an array is interpreted),
+    so that no generated method grows beyond what the JVM compiles.
     """
     m = F.col("_msg")
     stage1 = parsed.select(
@@ -110,7 +112,9 @@ def validate_telemetry(
     bad = F.col("_bad_json")
     has_v = F.col("_has_vitals")
     # numbers may come as texts, but texts not as numbers
-    reasons: list[Column] = [_reason(~bad & ~F.col(f"_k_{f}").isin("STRING", "VOID"), NOT_TEXT + f) for f in schemas.TEXT_FIELDS]
+    groups: list[list[Column]] = [[]]
+    reasons = groups[0]
+    reasons += [_reason(~bad & ~F.col(f"_k_{f}").isin("STRING", "VOID"), NOT_TEXT + f) for f in schemas.TEXT_FIELDS]
     reasons.append(_reason(bad, MALFORMED))
     for f in REQUIRED_TEXT_FIELDS:
         reasons.append(_reason(~bad & F.col(f"_j_{f}").isNull(), MISSING + f))
@@ -118,7 +122,9 @@ def validate_telemetry(
 
     typed_vitals: dict[str, Column] = {}
     field_ok: list[Column] = []
-    for name, kind, lo, hi in schemas.VITAL_BOUNDS:
+    for place, (name, kind, lo, hi) in enumerate(schemas.VITAL_BOUNDS):
+        if place % 2 == 0:
+            groups.append(reasons := [])
         txt, num = F.col(f"_t_{name}"), F.col(f"_d_{name}")
         present = ~bad & has_v & txt.isNotNull()
         is_num = num.isNotNull() & ~F.isnan(num)
@@ -141,6 +147,7 @@ def validate_telemetry(
     for c in field_ok[1:]:
         all_vitals_ok = all_vitals_ok & c
     # the cross-field rule runs only when every vital passed its own checks
+    groups.append(reasons := [])
     reasons.append(_reason(all_vitals_ok & (F.col("_d_diastolic_bp_mmhg") >= F.col("_d_systolic_bp_mmhg")), BP_ORDER))
 
     pid = F.col("_j_patient_id")
@@ -156,6 +163,10 @@ def validate_telemetry(
     sim_val = F.when(sim_txt.isin("true", "1"), True).when(sim_txt.isin("false", "0"), False)
     reasons.append(_reason(sim_txt.isNotNull() & sim_val.isNull(), BAD_BOOLEAN))
 
+    for i, group in enumerate(groups):
+        stage2 = parse_once(stage2, F.nullif(F.concat_ws(" ", *group), F.lit("")), f"_reasons_{i}")
+    joined = F.concat_ws(" ", *[f"_reasons_{i}" for i in range(len(groups))])
+    listed = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
     out = stage2.select(
         *parsed.columns,
         F.coalesce(F.col("_j_event_id"), default_id).alias("event_id"),
@@ -164,11 +175,11 @@ def validate_telemetry(
         F.col("_j_ward").alias("ward"),
         F.col("_j_bed_number").alias("bed_number"),
         F.coalesce(F.col("_ts"), F.col(received_col).cast("timestamp_ntz")).alias("timestamp_utc"),
-        F.struct(*[typed_vitals[n].alias(n) for n in schemas.VITAL_NAMES]).alias("vitals"),
+        F.named_struct(*[x for n in schemas.VITAL_NAMES for x in (F.lit(n), typed_vitals[n])]).alias("vitals"),
         notes.alias("nursing_notes"),
         F.coalesce(sim_val, F.lit(False)).alias("is_simulated"),
         # barrier: filters on the reasons must not be inlined into the stages below
-        F.explode(F.array(F.filter(F.array(*reasons), lambda r: r.isNotNull()))).alias("rejection_reasons"),
+        F.explode(F.array(listed)).alias("rejection_reasons"),
     )
     return out
 
