@@ -26,3 +26,21 @@ def test_trailing_count_brute_force(spark):
     for i, (p, t) in enumerate(ev):
         want = sum(1 for q, s in ev if q == p and t - dt.timedelta(hours=24) < s < t)
         assert got[str(i)] == want
+
+
+def test_context_misses_over_all_patients(spark, tmp_path):
+    """Only an alert of a patient without a record is a miss, whatever the patient's id ends in."""
+    from wardwatch.plans import catalog
+
+    users = [7, 17, 27, 8, 99]
+    at = dt.datetime(2024, 1, 2, 3, 4, 5)
+    events = [(i, at + dt.timedelta(hours=i), u, "error", 1.0, "{}") for i, u in enumerate(users, 1)]
+    ntz = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, ntz).write.parquet(f"{tmp_path}/events.parquet")
+    customers = [(u, f"Customer#{u}", 1, "BUILDING") for u in users[:-1]]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.q_context_misses(spark, str(tmp_path)).first()
+    n = catalog.alerts(spark, str(tmp_path)).count()
+    missing = catalog.alerts(spark, str(tmp_path)).where("patient_id = 'PT-000099'").count()
+    assert n == len(users) and missing == 1
+    assert (got.n_alerts, got.n_missing) == (n, missing)
