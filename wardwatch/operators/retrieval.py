@@ -91,47 +91,7 @@ def keyword_terms(rules: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: F.length(w) > 4), " | ")
 
 
-# --- blocking ----------------------------------------------------------------
-
-def _n_blocks(df: DataFrame, bytes_per_row: int, budget: int) -> int:
-    rows = df.count()
-    return max(1, math.ceil(rows * bytes_per_row / budget))
-
-
-def _blocked_pairs(queries: DataFrame, docs: DataFrame, n_q: int, n_d: int) -> DataFrame:
-    """One row per (query chunk, doc block) with both sides as arrays."""
-    qc = (
-        queries.withColumn("_qc", F.pmod(F.xxhash64("query_id"), F.lit(n_q)))
-        .groupBy("_qc")
-        .agg(F.collect_list(F.struct(*[c for c in queries.columns])).alias("_qs"))
-        .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))))
-    )
-    db = (
-        docs.withColumn("_blk", F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int"))
-        .groupBy("_blk")
-        .agg(F.collect_list(F.struct(*[c for c in docs.columns])).alias("_ds"))
-    )
-    return qc.join(db, "_blk")
-
-
-def _topk_rows(qids, dids, scores: np.ndarray, k: int, ok: np.ndarray):
-    """Per query row of ``scores`` (q x d) the k best (rounded score desc, doc id asc)."""
-    out_q, out_d, out_s = [], [], []
-    rs = np.round(scores, RANK_DECIMALS)
-    for i in range(scores.shape[0]):
-        cand = np.flatnonzero(ok[i])
-        if cand.size == 0:
-            continue
-        if cand.size > k:
-            kth = np.partition(-rs[i, cand], k - 1)[k - 1]
-            cand = cand[-rs[i, cand] <= kth]  # keep every tie at the boundary
-        order = np.lexsort((dids[cand], -rs[i, cand]))[:k]
-        sel = cand[order]
-        out_q.extend([qids[i]] * len(sel))
-        out_d.extend(dids[sel].tolist())
-        out_s.extend(scores[i, sel].tolist())
-    return out_q, out_d, out_s
-
+# --- the best k ----------------------------------------------------------------
 
 def _merge_topk(hits: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", RANK_DECIMALS)), F.asc("doc_id"))
@@ -140,18 +100,6 @@ def _merge_topk(hits: DataFrame, k: int) -> DataFrame:
 
 # --- Arrow -> numpy without per-element Python objects ------------------------
 
-def _blocks(batch: pa.RecordBatch):
-    """Per (chunk, block) row the element columns of ``_qs`` and ``_ds`` by name."""
-    qcol, dcol = batch.column("_qs"), batch.column("_ds")
-    for i in range(batch.num_rows):
-        q, d = qcol[i], dcol[i]
-        if not q.is_valid or not d.is_valid or len(q) == 0 or len(d) == 0:
-            continue
-        qa, da = q.values, d.values
-        yield (dict(zip([f.name for f in qa.type], qa.flatten())),
-               dict(zip([f.name for f in da.type], da.flatten())))
-
-
 def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -176,77 +124,127 @@ def _matrix(vecs: pa.Array) -> np.ndarray:
 MAX_CELLS = 4_000_000  # dense score cells per sub-batch (32 MB of float64)
 
 
-def _sub_batches(n_rows: int, n_cols: int):
-    step = max(1, MAX_CELLS // max(1, n_cols))
-    for lo in range(0, n_rows, step):
-        yield lo, min(n_rows, lo + step)
-
+#: Rows of hits that a task hands over at a time.
+HITS_ROWS = 100_000
+
+
+class _Best:
+    """The k best (rounded score desc, document asc) of ``n`` queries, as arrays: 24 k bytes a query, however many scores are seen."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.rounded = np.full((n, k), -np.inf)
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.zeros((n, k), np.int64)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` (len(rows) x len(ids)) of the queries ``rows``, each given once; what isn't finite has no score."""
+        if not scores.size:
+            return
+        if not np.isfinite(scores).all():
+            scores = np.where(np.isfinite(scores), scores, -np.inf)
+        least = self.rounded[rows, -1]
+        if scores.shape[1] > self.k and np.isneginf(least).any():  # not k of them yet: the k best of these scores bound it
+            new = np.flatnonzero(np.isneginf(least))
+            least[new] = np.maximum(least[new], np.partition(scores[new], -self.k, axis=1)[:, -self.k])
+        near = np.where(np.isneginf(least), np.finfo(float).min, least - 2 * 10.0**-RANK_DECIMALS)
+        q, d = np.nonzero(scores >= near[:, None])  # all that may round to a place among the k best
+        if not len(q):
+            return
+        exact, found, at = scores[q, d], ids[d], rows[q]
+        rounded = np.round(exact, RANK_DECIMALS)
+        worst, last = self.rounded[at, -1], self.ids[at, -1]
+        better = (rounded > worst) | ((rounded == worst) & (found < last))
+        touched = np.unique(at[better])
+        if not len(touched):
+            return
+        q = np.concatenate([at[better], np.repeat(touched, self.k)])
+        rounded = np.concatenate([rounded[better], self.rounded[touched].ravel()])
+        found = np.concatenate([found[better], self.ids[touched].ravel()])
+        exact = np.concatenate([exact[better], self.scores[touched].ravel()])
+        order = np.lexsort((found, -rounded, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = order[place < self.k]
+        self.rounded[touched] = rounded[kept].reshape(-1, self.k)
+        self.ids[touched] = found[kept].reshape(-1, self.k)
+        self.scores[touched] = exact[kept].reshape(-1, self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of all that was found."""
+        q, place = np.nonzero(np.isfinite(self.rounded))
+        return q, self.ids[q, place], self.scores[q, place]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _score_into(best: _Best, places: np.ndarray, queries: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> None:
+    """Cosines of unit vectors, a bounded block of scores at a time."""
+    wide = max(1, MAX_CELLS // 1024)
+    for lo in range(0, len(docs), wide):
+        part = docs[lo : lo + wide].T
+        step = max(1, MAX_CELLS // part.shape[1])
+        for a in range(0, len(queries), step):
+            with np.errstate(invalid="ignore", over="ignore"):
+                best.add(places[a : a + step], queries[a : a + step] @ part, ids[lo : lo + wide])
+
+
+def _against(k: int, chunks, schema: pa.Schema):
+    """Best k of a partition for the broadcast queries (numbered), batch by batch."""
 
-def _cosine_task(k: int, arrow_schema: pa.Schema):
     def fn(batches):
+        best = [_Best(len(qm), k) for _, _, qm in chunks.value]
         for b in batches:
-            for qs, ds in _blocks(b):
-                qids = qs["query_id"].to_pylist()
-                dids = ds["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
-                out_q, out_d, out_s = [], [], []
-                q_len, d_len = _lengths(qs["vec"]), _lengths(ds["vec"])
-                # a cosine is defined between vectors of one length only, so each length is scored by itself
-                for width in np.intersect1d(q_len[q_len > 0], d_len[d_len > 0]):
-                    q_at, d_at = np.flatnonzero(q_len == width), np.flatnonzero(d_len == width)
-                    qm_all = _matrix(qs["vec"].take(pa.array(q_at)))
-                    dm = _matrix(ds["vec"].take(pa.array(d_at)))
-                    dn = np.linalg.norm(dm, axis=1)
-                    for lo, hi in _sub_batches(len(q_at), len(d_at)):
-                        qm = qm_all[lo:hi]
-                        qn = np.linalg.norm(qm, axis=1)
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            sc = (qm @ dm.T) / np.outer(qn, dn)
-                        ok = np.isfinite(sc)
-                        q, d, s_ = _topk_rows([qids[i] for i in q_at[lo:hi]], dids[d_at], np.where(ok, sc, 0.0), k, ok)
-                        out_q += q
-                        out_d += d
-                        out_s += s_
-                if out_q:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out_q, arrow_schema.field("query_id").type), pa.array(out_d, pa.int64()),
-                         pa.array(out_s, pa.float64())],
-                        schema=arrow_schema,
-                    )
+            vecs, ids = b.column("vec"), b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            lens = _lengths(vecs)
+            for (width, _, qm), found in zip(chunks.value, best):
+                at = np.flatnonzero(lens == width)
+                if len(at):
+                    _score_into(found, np.arange(len(qm)), qm, _unit(_matrix(vecs.take(pa.array(at)))), ids[at])
+        for (_, numbers, _), found in zip(chunks.value, best):
+            q, d, s = found.rows()
+            for lo in range(0, len(q), HITS_ROWS):
+                part = slice(lo, lo + HITS_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[q[part]]), pa.array(d[part]), pa.array(s[part])], schema=schema)
 
     return fn
 
 
-def _against(k: int, chunks: list, arrow_schema: pa.Schema):
-    """Best k of a partition for the broadcast queries, batch by batch: k rows a query are held."""
+def _pair(k: int, schema: pa.Schema):
+    """Best k of a block of documents for a block of queries."""
 
-    def fn(batches):
-        best: dict[int, list] = {}
-        for b in batches:
-            vecs, ids = b.column("vec"), b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            lens = _lengths(vecs)
-            for number, (width, qids, qm) in enumerate(chunks.value):
-                at = np.flatnonzero(lens == width)
-                if not len(at):
-                    continue
-                dm = _matrix(vecs.take(pa.array(at)))
-                dn, qn = np.linalg.norm(dm, axis=1), np.linalg.norm(qm, axis=1)
-                for lo, hi in _sub_batches(len(qm), len(at)):
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        sc = (qm[lo:hi] @ dm.T) / np.outer(qn[lo:hi], dn)
-                    ok = np.isfinite(sc)
-                    places, docs, scores = _topk_rows(list(range(lo, hi)), ids[at], np.where(ok, sc, 0.0), k, ok)
-                    for p, d, x in zip(places, docs, scores):
-                        best.setdefault((number, p), []).append((-round(x, RANK_DECIMALS), d, x))
-            for key, found in best.items():
-                if len(found) > 4 * k:
-                    best[key] = sorted(found)[:k]
-        rows = [(chunks.value[n][1][p], d, x) for (n, p), found in best.items() for _, d, x in sorted(found)[:k]]
-        columns = zip(*rows) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema)], schema=arrow_schema)
+    def fn(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        parts = []
+        q, d = queries.column("vec").combine_chunks(), docs.column("vec").combine_chunks()
+        ids = docs.column("doc_id").to_numpy().astype(np.int64)
+        q_len, d_len = _lengths(q), _lengths(d)
+        # a cosine is defined between vectors of one length only, so each length is scored by itself
+        for width in np.intersect1d(q_len[q_len > 0], d_len[d_len > 0]):
+            q_at, d_at = np.flatnonzero(q_len == width), np.flatnonzero(d_len == width)
+            best = _Best(len(q_at), k)
+            _score_into(best, np.arange(len(q_at)), _unit(_matrix(q.take(pa.array(q_at)))), _unit(_matrix(d.take(pa.array(d_at)))), ids[d_at])
+            places, found, scores = best.rows()
+            parts.append(pa.Table.from_arrays([queries.column("query_id").take(pa.array(q_at[places])), pa.array(found), pa.array(scores)], names=schema.names).cast(schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return fn
 
 
+def _bytes(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.coalesce(F.size("vec"), F.lit(0)).cast("long") * 8 + 16)).first()[0] or 0
+
+
+def _blocked(queries: DataFrame, docs: DataFrame, n_q: int, n_d: int, of_q: str = "query_id", of_d: str = "doc_id"):
+    """Queries and documents grouped by all pairs of their blocks: a block is copied, a pair is not held by anything but its task."""
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_q", F.pmod(F.xxhash64(of_q), F.lit(n_q)).cast("int")).withColumn("_d", span(n_d))
+    right = docs.withColumn("_d", F.pmod(F.xxhash64(of_d), F.lit(n_d)).cast("int")).withColumn("_q", span(n_q))
+    return left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d"))
+
+
 def vector_topk(
     queries: DataFrame,
     docs: DataFrame,
@@ -256,33 +254,64 @@ def vector_topk(
 ) -> DataFrame:
     """T04/X07, exact: ``queries(query_id, vec)`` x ``docs(doc_id, vec)`` -> ``(query_id, doc_id, score, rank)``.
 
-    Queries that fit ``block_bytes`` are broadcast, and the documents are
-    scored where they lie: one pass, no shuffle but that of the best k of each
-    partition.  More queries meet blocks of documents by an equi-join.
-    ``dims`` only sizes the blocks (bytes per row); any vector length works.
+    Queries that fit ``block_bytes`` are broadcast, equal ones as one, and the
+    documents are scored where they lie: one pass, no shuffle but that of the
+    best k of each partition.  More queries meet the documents block by block;
+    a task holds one block of each, half of ``block_bytes`` at most, so its
+    memory doesn't grow with either table.  Blocks are sized by the vectors'
+    own lengths (``dims`` is kept for callers that give it).
     Vectors of different lengths, empty, null and zero vectors have no cosine:
     such pairs get no score, whatever block their rows fall into.
     """
+    spark = queries.sparkSession
+    ship_package(spark)
     st, ar = _hits_schema(queries.schema["query_id"].dataType)
     asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
-    size = asked.agg(F.sum(F.coalesce(F.size("vec"), F.lit(0)).cast("long") * 8 + 16)).first()[0] or 0
-    if size <= block_bytes:
-        ship_package(queries.sparkSession)
-        table = asked.toArrow()
-        vecs, ids = table.column("vec").combine_chunks(), table.column("query_id").to_pylist()
-        lens = _lengths(vecs) if len(ids) else np.zeros(0, np.int64)
-        chunks = []
-        for width in np.unique(lens[lens > 0]).tolist():
-            at = np.flatnonzero(lens == width)
-            chunks.append((width, [ids[i] for i in at], _matrix(vecs.take(pa.array(at)))))
-        shared = queries.sparkSession.sparkContext.broadcast(chunks)
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
-        return _merge_topk(rows.mapInArrow(_against(k, shared, ar), st), k)
-    n_d = _n_blocks(docs, dims * 8 + 16, block_bytes)
-    n_q = _n_blocks(queries, dims * 8 + 16, block_bytes)
-    pairs = _blocked_pairs(queries.select("query_id", "vec"), docs.select("doc_id", "vec"), n_q, n_d)
-    hits = pairs.select("_qs", "_ds").mapInArrow(_cosine_task(k, ar), st)
-    return _merge_topk(hits, k)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    size = _bytes(asked)
+    if size > block_bytes:
+        n_q, n_d = (max(1, math.ceil(2 * x / block_bytes)) for x in (size, _bytes(rows)))
+        return _merge_topk(_blocked(asked, rows, n_q, n_d).applyInArrow(_pair(k, ar), st), k)
+    table = asked.toArrow()
+    vecs, ids = table.column("vec").combine_chunks(), table.column("query_id").combine_chunks()
+    lens = _lengths(vecs) if len(ids) else np.zeros(0, np.int64)
+    chunks, members, n = [], [], 0
+    for width in np.unique(lens[lens > 0]).tolist():
+        at = np.flatnonzero(lens == width)
+        unit = _unit(_matrix(vecs.take(pa.array(at))))
+        _, first, like = np.unique(unit.view(np.dtype((np.void, unit.itemsize * width))).ravel(), return_index=True, return_inverse=True)
+        chunks.append((width, n + np.arange(len(first)), unit[first]))
+        members.append((n + like.ravel(), at))
+        n += len(first)
+    of = np.concatenate([m for m, _ in members]) if members else np.zeros(0, np.int64)
+    order = np.argsort(of, kind="stable")
+    starts = np.searchsorted(of[order], np.arange(n + 1))
+    shared = spark.sparkContext.broadcast(chunks)
+    askers = spark.sparkContext.broadcast((starts, ids.take(pa.array(np.concatenate([a for _, a in members])[order] if members else of))))
+    number, numbered = _hits_schema(T.LongType())
+    best = _merge_topk(rows.mapInArrow(_against(k, shared, numbered), number), k)
+
+    def named(batches):
+        """A hit of a vector for each query that has it."""
+        for b in batches:
+            starts, ids = askers.value
+            q = b.column("query_id").to_numpy()
+            many = starts[q + 1] - starts[q]
+            for lo, hi in _cuts(many):
+                row = np.repeat(np.arange(lo, hi), many[lo:hi])
+                own = np.arange(len(row)) - np.repeat(np.cumsum(many[lo:hi]) - many[lo:hi], many[lo:hi])
+                kept = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts[q[row]] + own)), *kept.columns[1:]], names=kept.schema.names)
+
+    return best.mapInArrow(named, T.StructType([*st.fields, T.StructField("rank", T.IntegerType())]))
+
+
+def _cuts(sizes: np.ndarray):
+    """(from, to) of runs of rows that give about ``HITS_ROWS`` rows each."""
+    if len(sizes):
+        part = np.cumsum(sizes) // HITS_ROWS
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]))
+        yield from zip(edges[:-1].tolist(), edges[1:].tolist())
 
 
 # --- fusion -----------------------------------------------------------------------

@@ -8,9 +8,12 @@ each query and scores all vectors there exactly (cosine in doubles), so the
 ranks among the vectors it sees are those of the exact mode.  How many cells
 that takes is measured when the index is built: ``TRIAL_ROWS`` vectors are
 searched for exactly, and enough cells are probed for ``TARGET`` of their
-neighbours (few where the vectors cluster, most where they don't).  Queries of one
-cell are split by ``QUERY_ROWS`` too, so that no task holds more than one part
-of a cell and one part of its queries, however popular the cell is.
+neighbours (few where the vectors cluster, most where they don't).  The parts
+of cells are dealt to shards of ``BLOCK_BYTES``, and a query is sent once to
+each shard that holds a part of a cell it probes, not once per cell; the
+queries of a shard are split into crowds of as many bytes and ``QUERY_ROWS`` at
+most.  A task holds one crowd and one shard, finds the cells that each query
+probes and scores cell by cell, so its memory grows with neither table.
 
 Vectors of one length make cells of their own; lengths that the sample
 doesn't hold have one cell each, which all queries of that length look into.
@@ -30,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwatch.operators.retrieval import _hits_schema, _lengths, _matrix, _merge_topk, _topk_rows, vector_topk
+from wardwatch.operators.retrieval import _Best, _bytes, _hits_schema, _lengths, _matrix, _merge_topk, _score_into, _unit, vector_topk
 from wardwatch.session import cut_lineage, ensure_checkpoint_dir, ship_package
 
 SAMPLE_ROWS = 10_000
 CELL_ROWS = 4096
-QUERY_ROWS = 1024
+QUERY_ROWS = 65_536
+#: Bytes of vectors of a shard and of a crowd.
+BLOCK_BYTES = 16 << 20
+#: Cells of (query, centroid) that are held at a time.
+NEAR_CELLS = 2_000_000
 MAX_CELLS = 4096
 ROUNDS = 12
 #: Vectors that are searched for to learn the number of probes, their neighbours, and the recall that is aimed at.
@@ -44,11 +51,6 @@ TRIAL_ROWS, TRIAL_K, TARGET = 200, 5, 0.95
 NO_CENTROID = 2**31
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def train(x: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids of unit vectors by Lloyd's iteration from evenly spread starts; the same on every run."""
     rng = np.random.default_rng(5)
@@ -141,17 +143,43 @@ def _enough(index: VectorIndex, rows: DataFrame, drawn: pa.Table) -> int:
     return int(np.quantile(places, TARGET, method="higher")) + 1 if places else 1
 
 
-def _scored(k: int, schema: pa.Schema):
+def _probed(unit: np.ndarray, centers: np.ndarray, probes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, probed): for some rows at a time whether they look into a cell."""
+    many = min(probes, len(centers))
+    step = max(1, NEAR_CELLS // len(centers))
+    for lo in range(0, len(unit), step):
+        like = unit[lo : lo + step] @ centers.T
+        probed = np.zeros(like.shape, bool)
+        np.put_along_axis(probed, np.argpartition(-like, many - 1, axis=1)[:, :many], True, axis=1)
+        yield lo, probed
+
+
+def _scored(k: int, probes: int, shared, schema: pa.Schema):
+    """Best k of a shard for a crowd, each query in the cells it probes."""
+
     def fn(queries: pa.Table, docs: pa.Table) -> pa.Table:
-        if not queries.num_rows or not docs.num_rows:
-            return schema.empty_table()
-        q, d = (_matrix(t.column("vec").combine_chunks()) for t in (queries, docs))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = (q @ d.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1))
-        ok = np.isfinite(scores)
-        ids = docs.column("doc_id").to_numpy().astype(np.int64)
-        found = _topk_rows(queries.column("query_id").to_pylist(), ids, np.where(ok, scores, 0.0), k, ok)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema)], schema=schema)
+        parts = []
+        if queries.num_rows and docs.num_rows:
+            cells = docs.column("cell").to_numpy()
+            ids, vecs = docs.column("doc_id").to_numpy().astype(np.int64), docs.column("vec").combine_chunks()
+            crowd = pa.RecordBatch.from_arrays([queries.column("query_id").combine_chunks(), queries.column("vec").combine_chunks()], ["query_id", "vec"])
+            for width, at, unit in _by_length(crowd, 1):
+                mine = np.flatnonzero(cells >> 32 == width)
+                if not len(mine):
+                    continue
+                mine = mine[np.argsort(cells[mine], kind="stable")]
+                there, stored = _unit(_matrix(vecs.take(pa.array(mine)))), cells[mine] & (2**32 - 1)
+                numbers, starts = np.unique(stored, return_index=True)
+                ends = np.append(starts[1:], len(stored))
+                best = _Best(len(at), k)
+                centers = shared.value.get(width)
+                for lo, probed in _probed(unit, centers, probes) if centers is not None else [(0, None)]:
+                    for cell, a, b in zip(numbers.tolist(), starts, ends):
+                        rows = np.arange(len(unit)) if probed is None else lo + np.flatnonzero(probed[:, cell])
+                        _score_into(best, rows, unit[rows], there[a:b], ids[mine[a:b]])
+                places, found, scores = best.rows()
+                parts.append(pa.Table.from_arrays([crowd.column(0).take(pa.array(at[places])), pa.array(found), pa.array(scores)], names=schema.names).cast(schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return fn
 
@@ -160,31 +188,49 @@ def search(queries: DataFrame, index: VectorIndex, k: int = 5, probes: int | Non
     """``(query_id, doc_id, score, rank)``: the best k of the vectors in the ``probes`` cells nearest to each query."""
     spark, probes = index.spark, probes or index.probes
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(index.centroids)
     struct, schema = _hits_schema(queries.schema["query_id"].dataType)
     rows = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = index.cells.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    shards = max(1, math.ceil(_bytes(index.vectors) / BLOCK_BYTES))
+    shard = F.pmod(F.xxhash64("cell", "part"), F.lit(shards)).cast("int").alias("shard")
+    where: dict[int, set[int]] = {}
+    for r in parts.select("cell", shard).distinct().collect():  # MAX_CELLS and a row per CELL_ROWS at most
+        where.setdefault(r.cell, set()).add(r.shard)
+    held = {w: np.zeros((len(c), shards), bool) for w, c in index.centroids.items()}
+    alone: dict[int, np.ndarray] = {}
+    for cell, some in where.items():
+        width, number = cell >> 32, cell & (2**32 - 1)
+        if width in held and number != NO_CENTROID:
+            held[width][number, sorted(some)] = True
+        else:
+            alone[width] = np.isin(np.arange(shards), sorted(some))
+    shared, placed = spark.sparkContext.broadcast(index.centroids), spark.sparkContext.broadcast((held, alone))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A query once for each shard that it looks into."""
+        step = max(1, 65_536 // shards)
         for batch in batches:
             for width, at, unit in _by_length(batch, 1):
-                centers = shared.value.get(width)
-                if centers is None:
-                    cell = np.full((len(at), 1), NO_CENTROID)
+                held, alone = placed.value
+                if width in alone:
+                    looks = [(0, np.broadcast_to(alone[width], (len(at), shards)))]
+                elif width in held:
+                    looks = ((lo, probed @ held[width]) for lo, probed in _probed(unit, shared.value[width], probes))
                 else:
-                    many = min(probes, len(centers))
-                    cell = np.argpartition(-(unit @ centers.T), many - 1, axis=1)[:, :many]
-                kept = batch.take(pa.array(np.repeat(at, cell.shape[1])))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array((width << 32) + cell.ravel().astype(np.int64))], ["query_id", "vec", "cell"])
-
-    asked = rows.mapInArrow(nearest, f"query_id {dict(rows.dtypes)['query_id']}, vec array<double>, cell long")
-    asked = cut_lineage(asked)
-    crowds = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("crowds"))
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = asked.join(index.cells.select("cell", "parts"), "cell").join(crowds, "cell")
-    left = left.select("query_id", "vec", "cell", span("parts").alias("part"), F.pmod(F.xxhash64("query_id"), "crowds").alias("crowd"))
-    right = index.vectors.join(crowds, "cell").select("cell", "part", "doc_id", "vec", span("crowds").alias("crowd"))
-    keys = ["cell", "part", "crowd"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scored(k, schema), struct)
+                    continue
+                for lo, into in looks:
+                    for a in range(0, len(into), step):
+                        row, to = np.nonzero(into[a : a + step])
+                        kept = batch.take(pa.array(at[lo + a + row]))
+                        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(to.astype(np.int32))], ["query_id", "vec", "shard"])
+
+    many, size = rows.count(), _bytes(rows)
+    crowds = max(1, math.ceil(size / BLOCK_BYTES), math.ceil(many / query_rows))
+    crowd = F.pmod(F.xxhash64("query_id"), F.lit(crowds)).cast("int").alias("crowd")
+    left = rows.mapInArrow(sent, f"query_id {dict(rows.dtypes)['query_id']}, vec array<double>, shard int").select("query_id", "vec", "shard", crowd)
+    right = index.vectors.select("cell", "doc_id", "vec", shard, F.explode(F.sequence(F.lit(0), F.lit(crowds - 1))).alias("crowd"))
+    keys = ["shard", "crowd"]
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_scored(k, probes, shared, schema), struct)
     return _merge_topk(hits, k)
 
 
