@@ -303,7 +303,9 @@ def vector_topk(
                 kept = b.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(starts[q[row]] + own)), *kept.columns[1:]], names=kept.schema.names)
 
-    return best.mapInArrow(named, T.StructType([*st.fields, T.StructField("rank", T.IntegerType())]))
+    hits = best.mapInArrow(named, T.StructType([*st.fields, T.StructField("rank", T.IntegerType())]))
+    alone = len(ids) == pc.count_distinct(ids, mode="all").as_py()
+    return hits if alone else _merge_topk(hits.drop("rank"), k)  # rows with equal ids share their k places
 
 
 def _cuts(sizes: np.ndarray):
