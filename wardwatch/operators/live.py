@@ -36,7 +36,7 @@ def demux(feed_df: DataFrame, event_type: str, schema: T.StructType) -> DataFram
 
 def feed_status(alerts: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Each alert with its recommendation if any; ``processing`` until one arrives."""
-    recs = recommendations.select("alert_id", "urgency_level", "confidence_score")
+    recs = recommendations.select("alert_id", "urgency_level", "confidence_score").hint("merge")  # as many as alerts: never through the driver
     j = alerts.join(recs, "alert_id", "left")
     return j.withColumn("status", F.when(F.col("urgency_level").isNull(), "processing").otherwise("complete"))
 

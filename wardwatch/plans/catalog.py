@@ -536,7 +536,8 @@ def q_ward_roster(spark, sf_dir):
 def q_feed_display(spark, sf_dir):
     from wardwatch.operators import live
 
-    te = triage_events(spark, sf_dir).join(_recommendations(spark, sf_dir).select("alert_id", "urgency_level"), "alert_id", "left")
+    recs = _recommendations(spark, sf_dir).select("alert_id", "urgency_level").hint("merge")  # as many as alerts, though files of events are small
+    te = triage_events(spark, sf_dir).join(recs, "alert_id", "left")
     return live.display_columns(te).select("alert_id", "confidence_text", "processing_text", "urgency_text")
 
 
