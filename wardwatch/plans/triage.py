@@ -28,7 +28,7 @@ from wardwatch.operators.cooldown import accepted_alerts
 from wardwatch.operators.keyword_index import KeywordIndex, search
 from wardwatch.operators.reasoning import build_prompts, parse_replies, recommendations
 from wardwatch.operators.retrieval import attach_documents, query_text, rrf_fuse, vector_topk
-from wardwatch.session import cut_lineage
+from wardwatch.session import cut_lineage, saved
 
 
 class Triaged(NamedTuple):
@@ -61,12 +61,13 @@ def triage(
     accepted = accepted_alerts(alerts, cooldown_s)
     ctx = with_patient_context(accepted, patients, triage_events)
     q = ctx.select("alert_id", query_text(F.col("triggered_rules"), F.col("vitals_snapshot"), F.col("severity")).alias("text"))
+    q = cut_lineage(q)  # read by both searches
     vectors = embed(q).select(F.col("alert_id").alias("query_id"), "vec")
     doc_vecs = docs.where(F.col("embedding").isNotNull()).select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
     v_hits = vector_topk(vectors, doc_vecs, k_each)
     k_hits = search(q.select(F.col("alert_id").alias("query_id"), "text"), index, k_each, match)
     sops = attach_documents(rrf_fuse(v_hits, k_hits, k_final), docs).withColumnRenamed("query_id", "alert_id")
-    prompts = cut_lineage(build_prompts(ctx.join(sops, "alert_id", "left"), "retrieved_sops"))
+    prompts = saved(build_prompts(ctx.join(sops, "alert_id", "left"), "retrieved_sops"))
     replies = cut_lineage(reply(prompts).select("alert_id", "raw_reply"))
     asked = prompts.select("alert_id", "patient_id", "hospital_id", "severity", "timestamp_utc")
     parsed = parse_replies(asked.join(replies, "alert_id", "left"))
