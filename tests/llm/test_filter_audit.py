@@ -3,8 +3,11 @@
 import itertools
 import random
 import re
+import sys
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from wardwatch.llm import filter_audit
@@ -90,3 +93,18 @@ def test_matrix_holds_all_words(spark, code_bits):
             found.append((s.doc_id[i], Counter({words[s.codes[c]]: n for c, n in zip(s.columns[a:b], s.counts[a:b])})))
     key = lambda x: (x[0], sorted(x[1].items()))
     assert sorted(found, key=key) == sorted(((i, Counter(WORD.findall(t or ""))) for i, t, _ in rows), key=key)
+
+
+def test_words_cost_no_python_step_each(monkeypatch):
+    """A text's words are counted and numbered in a few calls, however many distinct ones it has."""
+    monkeypatch.setattr(filter_audit, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{j}" for j in range(i, i + 500)).encode() for i in range(20)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "part": ["a"] * 20, "digest": texts, "points": [len(t) for t in texts], "text": texts})
+    calls = Counter()
+    sys.setprofile(lambda frame, event, _: calls.update([event]))
+    try:
+        out = list(filter_audit._shards(iter([batch]), 1 << 20, 63))
+    finally:
+        sys.setprofile(None)
+    assert [len(x.column("columns")[0]) for x in out] == [20 * 500] and len(out[0].column("vocabulary")[0]) == 519
+    assert sum(calls.values()) < 5000

@@ -35,7 +35,7 @@ from __future__ import annotations
 import itertools
 import uuid
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,14 +62,15 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, code_bits: int)
     """One row per shard: its number, vocabulary and codes, the carried columns, C and D, and the matrix's row bounds, columns and counts."""
     task, made = TaskContext.get().partitionId(), 0
     kept: list[pa.RecordBatch] = []
-    words: dict[bytes, int] = {}
+    words: defaultdict[bytes, int] = defaultdict()
+    words.default_factory = words.__len__  # a word not seen before gets the next column
     late, bounds, columns, counts, size = array("b"), array("q", [0]), array("i"), array("i"), 0
 
     def shard() -> pa.RecordBatch:
         carried = pa.Table.from_batches(kept).combine_chunks()
         lists = [pa.ListArray.from_arrays(pa.array([0, carried.num_rows], pa.int32()), c.combine_chunks()) for c in carried.columns]
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        codes = np.fromiter((xxhash.xxh64_intdigest(w) >> 64 - code_bits for w in words), np.int64, len(words))
+        codes = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - code_bits)).astype(np.int64)
         numbers = [codes, np.frombuffer(late, np.int8), np.frombuffer(bounds, np.int64), np.frombuffer(columns, np.int32), np.frombuffer(counts, np.int32)]
         arrays = [pa.array([(task << 33) + made], pa.int64()), one(pa.array(list(words), pa.binary())), *lists, *[one(pa.array(x)) for x in numbers]]
         return pa.RecordBatch.from_arrays(arrays, ["shard", "vocabulary", *_CARRIED, "codes", "late", "bounds", "columns", "counts"])
@@ -78,9 +79,9 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, code_bits: int)
         narrow, points, texts, first = batch.select(list(_CARRIED)), batch.column("points").to_pylist(), batch.column("text"), 0
         for i in range(batch.num_rows):
             text = texts[i].as_py()
-            for word, n in Counter(text.split()).items():  # bytes are split at ASCII white space only
-                columns.append(words.setdefault(word, len(words)))
-                counts.append(n)
+            found = Counter(text.split())  # bytes are split at ASCII white space only
+            columns.extend(map(words.__getitem__, found))
+            counts.extend(found.values())
             bounds.append(len(columns))
             capitals = len(text) - len(text.translate(None, _CAPITALS))
             late.append(4 * (100 * capitals > CAPITALS_PERCENT * points[i]) + 8 * (len(text.translate(None, SIGNS)) < len(text)))
@@ -89,7 +90,8 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int, code_bits: int)
                 kept.append(narrow.slice(first, i + 1 - first))
                 yield shard()
                 made, first, size = made + 1, i + 1, 0
-                kept, words = [], {}
+                kept = []
+                words.clear()
                 late, bounds, columns, counts = array("b"), array("q", [0]), array("i"), array("i")
         if first < batch.num_rows:
             kept.append(narrow.slice(first))
