@@ -27,14 +27,20 @@ def insert_if_absent(batch: DataFrame, existing: DataFrame, key: str = "alert_id
     return dedup.join(existing.select(key), key, "left_anti")
 
 
-def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table at ``path``; empty if there is none yet. Any other read error is raised."""
+def _found(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """The table at ``path``, None if there is none yet. Any other read error is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table at ``path``; empty if there is none yet. Any other read error is raised."""
+    table = _found(spark, path, schema)
+    return spark.createDataFrame([], schema) if table is None else table
 
 
 def append_audit(
@@ -48,12 +54,13 @@ def append_audit(
     range of dates, a day wider at both ends, is searched: an event without a
     time of its own carries that of its delivery, which a redelivery may move
     past midnight.  A key must come with dates no further apart than that.
+    A first batch meets no table, so it is derived once and nothing is searched.
     """
     spark = batch.sparkSession
     if time is not None:
         batch = batch.withColumn("audit_day", F.to_date(time))
-    existing = stored(spark, target_path, batch.schema)
-    if time is not None:
+    existing = _found(spark, target_path, batch.schema)
+    if time is not None and existing is not None:
         first, last = batch.agg(F.min("audit_day"), F.max("audit_day")).first()
         if first is None and batch.isEmpty():
             return 0
@@ -62,7 +69,8 @@ def append_audit(
             in_range |= F.col("audit_day").between(F.date_sub(F.lit(first), 1), F.date_add(F.lit(last), 1))
         existing = existing.where(in_range)
     seen = Observation()
-    new_rows = insert_if_absent(batch, existing, key, order).observe(seen, F.count(F.lit(1)).alias("n"))
+    absent = first_per_key(batch, key, order or [key]) if existing is None else insert_if_absent(batch, existing, key, order)
+    new_rows = absent.observe(seen, F.count(F.lit(1)).alias("n"))
     writer = new_rows.write.mode("append")
     (writer.partitionBy("audit_day") if time is not None else writer).parquet(target_path)
     return seen.get["n"]

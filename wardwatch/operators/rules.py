@@ -107,9 +107,9 @@ def rule_fired(rule: Rule, v: Vitals) -> Column:
 def rule_text(rule: Rule, v: Vitals) -> Column:
     vals = _values(v)
     if rule.kind == "at_least":
-        met_texts = F.array(*[F.when(c.when(v), render(c.template, vals)) for c in rule.criteria])
-        met = F.filter(met_texts, lambda x: x.isNotNull())
-        return F.concat(render(rule.template, {**vals, "n": F.size(met)}), F.array_join(met, ", "))
+        met_texts = [F.when(c.when(v), render(c.template, vals)) for c in rule.criteria]
+        met = sum((F.when(t.isNotNull(), 1).otherwise(0) for t in met_texts[1:]), F.when(met_texts[0].isNotNull(), 1).otherwise(0))
+        return F.concat(render(rule.template, {**vals, "n": met}), F.concat_ws(", ", *met_texts))
     return render(rule.template, vals)
 
 
@@ -118,10 +118,10 @@ def _ordered(rules: tuple[Rule, ...]) -> list[Rule]:
     return [r for r in rules if r.compound] + [r for r in rules if not r.compound]
 
 
-def fired_rules(vitals_col: str = "vitals", rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
+def rule_texts(vitals_col: str = "vitals", rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
+    """The text of each rule in order, null where it did not fire."""
     v = _accessor(vitals_col)
-    texts = [F.when(rule_fired(r, v), rule_text(r, v)) for r in _ordered(rules)]
-    return F.filter(F.array(*texts), lambda x: x.isNotNull())
+    return F.array(*[F.when(rule_fired(r, v), rule_text(r, v)) for r in _ordered(rules)])
 
 
 def severity(vitals_col: str, rules_col: Column, rules: tuple[Rule, ...] = DEFAULT_RULES) -> Column:
@@ -148,7 +148,9 @@ def detect_alerts(telemetry: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES,
 
     # barrier: the "any rule fired" filter must stay here, not be pushed (with the
     # whole rule array inlined) below an upstream repartition into its map side
-    with_rules = parse_once(telemetry, fired_rules("vitals", rules), "_rules")
+    # the texts are a step of their own, which is compiled; the lambda over them is interpreted
+    texts = parse_once(telemetry, rule_texts("vitals", rules), "_texts")
+    with_rules = parse_once(texts, F.filter("_texts", lambda x: x.isNotNull()), "_rules")
     extra = [c for c in keep if c in telemetry.columns]
     return (
         with_rules.where(F.size("_rules") > 0)  # normal readings leave here

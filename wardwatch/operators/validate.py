@@ -203,11 +203,15 @@ def check_typed(telemetry: DataFrame) -> DataFrame:
     for f in REQUIRED_TEXT_FIELDS[1:]:
         reasons.append(_reason(F.col(f).isNull(), MISSING + f))
     reasons.append(_reason(F.length("nursing_notes") > schemas.NURSING_NOTES_MAX_LEN, NOTES_TOO_LONG))
-    return parse_once(
-        telemetry.withColumn("patient_id", F.upper(pid)),
-        F.filter(F.array(*reasons), lambda r: r.isNotNull()),
-        "rejection_reasons",
-    )
+    # as in validate_telemetry: groups joined as text, since a lambda over an array is interpreted
+    groups = [reasons[i:i + 6] for i in range(0, len(reasons), 6)]
+    names = [f"_reasons_{i}" for i in range(len(groups))]
+    checked = telemetry.withColumn("patient_id", F.upper(pid))
+    for name, group in zip(names, groups):
+        checked = parse_once(checked, F.concat_ws(" ", *group), name)
+    joined = F.concat_ws(" ", *[F.nullif(F.col(n), F.lit("")) for n in names])
+    listed = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
+    return parse_once(checked, listed, "rejection_reasons").drop(*names)
 
 
 TELEMETRY_COLUMNS = [f.name for f in schemas.TELEMETRY.fields]

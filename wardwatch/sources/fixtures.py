@@ -68,12 +68,12 @@ def _case_index(expr: str, values: list[str], default: str = "NULL") -> str:
     return f"CASE {expr} {whens} ELSE {default} END"
 
 
-def _profile_expr() -> str:
+def profile_expr() -> str:
     whens = " ".join(f"WHEN {_q(t)} THEN {PROFILES.index(p)}" for t, p in PROFILE_OF_EVENT_TYPE)
     return f"CASE event_type {whens} ELSE {PROFILES.index('steady')} END"
 
 
-def _vital_raw(i: int) -> str:
+def vital_raw(i: int) -> str:
     """Un-injected integer value of vital ``i`` (tenths for SpO2 / T); needs column ``prof``."""
     p, q = VITAL_MULTIPLIERS[i]
     branches = []
@@ -102,13 +102,13 @@ def telemetry_columns(dialect: str) -> list[tuple[str, str]]:
         ("timestamp_utc", "ts"),
         (
             "heart_rate_bpm",
-            f"CASE WHEN event_id % 97 = 0 THEN 10 WHEN event_id % 103 = 0 THEN 40 ELSE {_vital_raw(0)} END",
+            f"CASE WHEN event_id % 97 = 0 THEN 10 WHEN event_id % 103 = 0 THEN 40 ELSE {vital_raw(0)} END",
         ),
         ("systolic_bp_mmhg", f"CASE WHEN event_id % 107 = 0 THEN 190 ELSE {sbp_raw} END"),
-        ("diastolic_bp_mmhg", f"CASE WHEN event_id % 101 = 0 THEN {sbp_raw} ELSE {_vital_raw(2)} END"),
-        ("spo2_percent", f"CAST({_vital_raw(3)} AS DOUBLE) / 10"),
-        ("respiratory_rate_rpm", _vital_raw(4)),
-        ("temperature_celsius", f"CAST({_vital_raw(5)} AS DOUBLE) / 10"),
+        ("diastolic_bp_mmhg", f"CASE WHEN event_id % 101 = 0 THEN {sbp_raw} ELSE {vital_raw(2)} END"),
+        ("spo2_percent", f"CAST({vital_raw(3)} AS DOUBLE) / 10"),
+        ("respiratory_rate_rpm", vital_raw(4)),
+        ("temperature_celsius", f"CAST({vital_raw(5)} AS DOUBLE) / 10"),
         ("nursing_notes", _case_index("event_id % 11", [_q(n) for n in NOTE_TEXTS])),
         ("is_simulated", "event_id % 2 = 1"),
     ]
@@ -117,8 +117,8 @@ def telemetry_columns(dialect: str) -> list[tuple[str, str]]:
 def telemetry_select_sql(dialect: str, source: str = "events") -> str:
     cols = ",\n  ".join(f"{e} AS {n}" for n, e in telemetry_columns(dialect))
     # profile and un-injected SBP are computed once in inner projections
-    inner = f"SELECT *, {_profile_expr()} AS prof FROM {source}"
-    mid = f"SELECT *, {_vital_raw(1)} AS sbp_raw FROM ({inner}) e0"
+    inner = f"SELECT *, {profile_expr()} AS prof FROM {source}"
+    mid = f"SELECT *, {vital_raw(1)} AS sbp_raw FROM ({inner}) e0"
     return f"SELECT\n  {cols}\nFROM ({mid}) e1"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardwatch import schemas
+from wardwatch.operators.validate import parse_once
 from wardwatch.sources import fixtures as fx
 
 TABLES = (
@@ -38,7 +39,14 @@ def _derive(spark: SparkSession, sql: str, **frames: DataFrame) -> DataFrame:
 
 def telemetry_flat(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Typed bedside readings, one per ``events`` row (vitals flat)."""
-    return _derive(spark, fx.telemetry_select_sql(fx.SPARK, "{events}"), events=table(spark, sf_dir, "events") if events is None else events)
+    rows = table(spark, sf_dir, "events") if events is None else events
+    # Columns of fx.telemetry_select_sql, step by step: in one projection the
+    # generated method is larger than what the JVM compiles.
+    rows = parse_once(parse_once(rows, F.expr(fx.profile_expr()), "prof"), F.expr(fx.vital_raw(1)), "sbp_raw")
+    columns = dict(fx.telemetry_columns(fx.SPARK))
+    for name in schemas.VITAL_NAMES:
+        rows = parse_once(rows, F.expr(columns[name]), name)
+    return rows.select(*[F.col(n) if n in schemas.VITAL_NAMES else F.expr(e).alias(n) for n, e in columns.items()])
 
 
 def telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
