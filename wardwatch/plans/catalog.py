@@ -604,23 +604,30 @@ def q_stream_triage_chain(spark, sf_dir):
     )
 
 
+ROWS_A_FILE = 100_000
+
+
 def q_stream_dedup(spark, sf_dir):
     """Alerts delivered up to three times over several micro-batches, each once: five days a batch, repeats in the same batch and the next."""
     from wardwatch import schemas
-    from wardwatch.session import cut_lineage
     from wardwatch.streaming import chain as ch
     from wardwatch.streaming.alert_stream import scratch_checkpoint
     from wardwatch.streaming.topic import consume, once_per_key, publish
 
     days = F.expr("CAST(floor(timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', timestamp_utc) / 5) AS INT)")
-    sent = cut_lineage(ru.to_keyed_json(alerts(spark, sf_dir).withColumn("batch", days), keep=("event_seq", "batch")))
     chain = ch.Chain(scratch_checkpoint(spark, "dedup"))
-    batches = sorted(r.batch for r in sent.select("batch").distinct().collect())
+    # stored by batch, so that a batch reads its own rows and those of the one before, not all
+    messages = ru.to_keyed_json(alerts(spark, sf_dir).withColumn("batch", days), keep=("event_seq", "batch"))
+    messages.write.partitionBy("batch").option("compression", "zstd").parquet(chain.sent)
+    sent = spark.read.schema(messages.schema).parquet(chain.sent)
+    sizes = {r.batch: r["count"] for r in sent.groupBy("batch").count().collect()}
+    batches = sorted(sizes)
+    files = max(2, max(sizes.values(), default=0) // ROWS_A_FILE)
     for batch in [*batches, *[b + 1 for b in batches[-1:]]]:
         now, before = sent.where(F.col("batch") == batch), sent.where(F.col("batch") == batch - 1)
         deliveries = now.unionByName(now.where("event_seq % 2 = 0")).unionByName(before.where("event_seq % 3 = 0"))
-        deliveries.select("key", "value").repartition(2).write.mode("append").parquet(chain.alerts)
-    found, _ = ch.read_alerts(consume(spark, chain.alerts, files_per_batch=2))
+        deliveries.select("key", "value").repartition(files).write.mode("append").parquet(chain.alerts)
+    found, _ = ch.read_alerts(consume(spark, chain.alerts, files_per_batch=files))
     publish(once_per_key(found, delay="12 days"), chain.clean, chain.clean_checkpoint).awaitTermination()
     return spark.read.schema(schemas.ALERT).parquet(chain.clean).select("alert_id", "patient_id", "severity", "timestamp_utc")
 
