@@ -7,22 +7,24 @@ by ``shard`` (some segments of together about ``SHARD_DOCS`` documents):
 
 - a row per segment and term: ``at`` the documents, by number within the
   segment, that hold it, ``n`` how often, ``df`` how many they are;
-- a row per segment without a term: ``ids`` its documents, ``n`` their lengths.
+- a row per segment without a term: ``ids`` its documents, ``n`` their lengths,
+  ``packed`` the whole segment once more, for searches of many terms.
 
 Numbers of documents and of terms' documents are sums over the segments, so a
 search computes the BM25 weights itself, of its own terms alone.  It numbers
 the terms of its queries, takes queries with the same known terms as one, and
 scores them shard by shard where the postings lie; no score is shuffled, only
-the best k of each query and shard.  Queries of up to ``BROADCAST_ROWS`` terms
-are broadcast; more meet the shards in crowds of ``CROWD_TERMS``, so a task
-holds one shard and one crowd.
+the best k of each query and shard.  That holds for queries of up to
+``BROADCAST_ROWS`` terms, which are broadcast; more of them, or of the scores
+of their pairs with documents, are searched by ``keyword_blocks``.
 
 With ``prune`` the documents of a shard are put in the order of their length
 and cut into blocks of ``block_docs``; a search bounds the score of any
 document of a block by the sum of its terms' largest weights there, scores the
 best ``seed_blocks`` blocks of each query to learn a score that k documents
 reach, and then only the blocks whose bound reaches it too.  The result is the
-same and exact.  It pays for short queries.
+same and exact.  It pays for few short queries; ``keyword_blocks`` has a way of
+its own for many.
 """
 
 from __future__ import annotations
@@ -40,8 +42,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardwatch.operators.keyword_blocks import packed_postings, search_blocks
 from wardwatch.operators.retrieval import BM25_B, BM25_K1, STOP_WORDS, _Best, _lengths, _merge_topk, _words, distinct_tokens
-from wardwatch.session import cut_lineage, ensure_checkpoint_dir, ship_package
+from wardwatch.session import cut_lineage, ensure_checkpoint_dir, saved, ship_package
 
 BLOCK_DOCS = 64
 SEED_BLOCKS = 2
@@ -51,11 +54,10 @@ SHARD_DOCS, SEGMENT_POSTINGS, MAX_BUCKETS = 4096, 4_000_000, 4096
 COUNTED_DOCS = 512
 #: Bounds are sums of doubles in another order than the scores.
 ROUNDING = 1e-6
-#: Query terms that are broadcast (16 bytes each); more of them meet the shards in crowds.
-BROADCAST_ROWS = 2_000_000
+#: Query terms that are broadcast (16 bytes each) and scores that are worked out one by one; more go to ``keyword_blocks``.
+BROADCAST_ROWS, BROADCAST_SCORES = 2_000_000, 200_000_000
 #: Rows with texts (terms, ids) that are broadcast to a join.
 BROADCAST_TEXTS = 200_000
-CROWD_TERMS = 2_000_000
 #: Distinct terms that are pushed to the scan of the postings as a filter.
 PUSHED_TERMS = 1000
 #: Scores that are held at a time, and weights of a shard's frequent terms.
@@ -101,17 +103,19 @@ def _segment(held: list, ids: list, kind: pa.DataType, shard: int, segment: int)
     kept = np.flatnonzero(lengths)
     doc = (np.cumsum(lengths > 0) - 1)[doc].astype(np.int32)
     listed = lambda values, kind, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values, kind))
-    names = ["shard", "segment", "term", "df", "at", "n", "ids"]
+    names = ["shard", "segment", "term", "df", "at", "n", "ids", "packed"]
 
-    def rows(many: int, term: pa.Array, df: pa.Array, at: pa.Array, n: pa.Array, ids: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(many, shard, np.int32)), pa.array(np.full(many, segment, np.int64)), term, df, at, n, ids], names)
+    def rows(many: int, term: pa.Array, df: pa.Array, at: pa.Array, n: pa.Array, ids: pa.Array, packed: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(many, shard, np.int32)), pa.array(np.full(many, segment, np.int64)), term, df, at, n, ids, packed], names)
 
-    yield rows(1, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), listed(lengths[kept], pa.int32(), [len(kept)]), listed([ids[i] for i in kept], kind, [len(kept)]))
     numbers, starts = np.unique(term, return_index=True)
     sizes = np.diff(np.append(starts, len(term)))
+    words, of = terms.dictionary.take(pa.array(numbers)), pa.array([ids[i] for i in kept], kind)
+    packed = pa.array([packed_postings(of, lengths[kept], words, sizes, doc, counts)], pa.binary())
+    yield rows(1, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int32())), listed(lengths[kept], pa.int32(), [len(kept)]), listed(of, kind, [len(kept)]), packed)
     yield rows(
-        len(numbers), terms.dictionary.take(pa.array(numbers)), pa.array(sizes.astype(np.int64)),
-        listed(doc, pa.int32(), sizes), listed(counts, pa.int32(), sizes), pa.nulls(len(numbers), pa.list_(kind)),
+        len(numbers), words, pa.array(sizes.astype(np.int64)),
+        listed(doc, pa.int32(), sizes), listed(counts, pa.int32(), sizes), pa.nulls(len(numbers), pa.list_(kind)), pa.nulls(len(numbers), pa.binary()),
     )
 
 
@@ -170,7 +174,7 @@ def build(docs: DataFrame, text: Column, path: str | None = None, block_docs: in
     kind = rows.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("shard", T.IntegerType()), T.StructField("segment", T.LongType()), T.StructField("term", T.StringType()), T.StructField("df", T.LongType()),
-        T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(kind)),
+        T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(kind)), T.StructField("packed", T.BinaryType()),
     ])
     found = rows.select("doc_id", _words(F.col("text")).alias("words")).mapInArrow(_segments(shards), schema)
     # more buckets than shards, so that few shards share one
@@ -340,7 +344,11 @@ def search(queries: DataFrame, index: KeywordIndex, k: int = 5, match: str = "an
         raise ValueError('match is "any" or "all"')
     spark = index.spark
     ship_package(spark)
-    terms = queries.select("query_id", F.explode(distinct_tokens(F.col("text"))).alias("term"))
+    asked = saved(queries.select("query_id", distinct_tokens(F.col("text")).alias("words")).where("size(words) > 0"))
+    size = asked.agg(F.count(F.lit(1)).alias("queries"), F.sum(F.size("words")).alias("terms")).first()
+    if (size["terms"] or 0) > BROADCAST_ROWS or (not prune and size["queries"] * index.n_docs > BROADCAST_SCORES):
+        return search_blocks(asked, index, k, match)
+    terms = asked.select("query_id", F.explode("words").alias("term"))
     wanted = cut_lineage(terms.select("term").distinct())
     pushed = [r.term for r in wanted.limit(PUSHED_TERMS + 1).collect()]
     lists = index.postings.where("term IS NOT NULL").select("term", "df")
@@ -364,18 +372,9 @@ def search(queries: DataFrame, index: KeywordIndex, k: int = 5, match: str = "an
 
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", to_arrow_type(kind)), ("score", pa.float64())])
     scored = _scored(k, match, index, prune, seed_blocks, schema)
-    pairs = groups.agg(F.sum(F.size("tids"))).first()[0] or 0
-    if pairs <= BROADCAST_ROWS:
-        table = groups.select("gid", "tids").toArrow()
-        shared = spark.sparkContext.broadcast((table.column("gid").to_numpy(), *_term_numbers(table.column("tids"))))
-        hits = held.groupBy("shard").applyInArrow(lambda rows: scored(rows, *shared.value), struct)
-    else:
-        crowds = math.ceil(pairs / CROWD_TERMS)
-        span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = groups.select("gid", "tids", F.pmod(F.xxhash64("gid"), F.lit(crowds)).cast("int").alias("crowd"), span(index.shards).alias("shard"))
-        right = held.withColumn("crowd", span(crowds))
-        crowd = lambda asked, rows: scored(rows, asked.column("gid").to_numpy(), *_term_numbers(asked.column("tids")))
-        hits = left.groupBy("shard", "crowd").cogroup(right.groupBy("shard", "crowd")).applyInArrow(crowd, struct)
+    table = groups.select("gid", "tids").toArrow()
+    shared = spark.sparkContext.broadcast((table.column("gid").to_numpy(), *_term_numbers(table.column("tids"))))
+    hits = held.groupBy("shard").applyInArrow(lambda rows: scored(rows, *shared.value), struct)
     best = _merge_topk(hits, k).withColumnRenamed("query_id", "gid")
     members = sets.join(_sized(groups, BROADCAST_TEXTS), "tids").select("query_id", "gid")
     return best.join(_sized(members, BROADCAST_TEXTS), "gid").select("query_id", "doc_id", "score", "rank")
