@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardwatch import schemas
-from wardwatch.session import ship_package
+from wardwatch.operators.validate import parse_once
+from wardwatch.session import saved, ship_package
 
 # --- FIXED VALUES: retrieval parameters --------------------------------------
 BM25_K1 = 1.2
@@ -237,6 +238,20 @@ def _bytes(rows: DataFrame) -> int:
     return rows.agg(F.sum(F.coalesce(F.size("vec"), F.lit(0)).cast("long") * 8 + 16)).first()[0] or 0
 
 
+def _vector_key() -> Column:
+    return F.xxhash64("vec")
+
+
+def _distinct_vectors(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vec) of the distinct vectors, numbered, and (query_id, number) of the queries that have them."""
+    keyed = asked.where("size(vec) > 0").withColumn("key", _vector_key())
+    numbered = saved(keyed.select("key", "vec").distinct().withColumn("number", F.monotonically_increasing_id()))
+    found = numbered.agg(F.count(F.lit(1)).alias("vectors"), F.count_distinct("key").alias("keys")).first()
+    on = ["key"] if found["keys"] == found["vectors"] else ["key", "vec"]  # two vectors with one key are told apart by themselves
+    members = saved(keyed.join(numbered.select("number", *on), on).select("query_id", "number"))
+    return numbered.select(F.col("number").alias("query_id"), "vec"), members
+
+
 def _blocked(queries: DataFrame, docs: DataFrame, n_q: int, n_d: int, of_q: str = "query_id", of_d: str = "doc_id"):
     """Queries and documents grouped by all pairs of their blocks: a block is copied, a pair is not held by anything but its task."""
     span = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -251,12 +266,15 @@ def vector_topk(
     k: int = 5,
     block_bytes: int = 64 << 20,
     dims: int = 768,
+    distinct: bool = False,
 ) -> DataFrame:
     """T04/X07, exact: ``queries(query_id, vec)`` x ``docs(doc_id, vec)`` -> ``(query_id, doc_id, score, rank)``.
 
     Queries that fit ``block_bytes`` are broadcast, equal ones as one, and the
     documents are scored where they lie: one pass, no shuffle but that of the
-    best k of each partition.  More queries meet the documents block by block;
+    best k of each partition.  Of more queries equal ones are taken as one first
+    (unless they are known to be ``distinct``); if that isn't enough, they meet
+    the documents block by block;
     a task holds one block of each, half of ``block_bytes`` at most, so its
     memory doesn't grow with either table.  Blocks are sized by the vectors'
     own lengths (``dims`` is kept for callers that give it).
@@ -269,6 +287,12 @@ def vector_topk(
     asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
     size = _bytes(asked)
+    if size > block_bytes and not distinct:
+        numbered, members = _distinct_vectors(asked)
+        found = vector_topk(numbered, rows, k, block_bytes, dims, distinct=True).withColumnRenamed("query_id", "number")
+        hits = found.join(members, "number").select("query_id", "doc_id", "score", "rank")
+        twice = members.groupBy("query_id").count().where("count > 1").limit(1).count()
+        return _merge_topk(hits.drop("rank"), k) if twice else hits  # rows with equal ids share their k places
     if size > block_bytes:
         n_q, n_d = (max(1, math.ceil(2 * x / block_bytes)) for x in (size, _bytes(rows)))
         return _merge_topk(_blocked(asked, rows, n_q, n_d).applyInArrow(_pair(k, ar), st), k)
@@ -316,6 +340,10 @@ def _cuts(sizes: np.ndarray):
         yield from zip(edges[:-1].tolist(), edges[1:].tolist())
 
 
+#: Queries that share one copy of their documents' texts.
+GROUP_ROWS = 512
+
+
 # --- fusion -----------------------------------------------------------------------
 
 def rrf_fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k_final: int = 3, rrf_k: int = schemas.RRF_K) -> DataFrame:
@@ -326,7 +354,7 @@ def rrf_fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k_final: int = 3,
     """
     v = vector_hits.select("query_id", "doc_id", F.col("rank").alias("v_rank"), F.lit(None).cast("int").alias("k_rank"))
     kw = keyword_hits.select("query_id", "doc_id", F.lit(None).cast("int").alias("v_rank"), F.col("rank").alias("k_rank"))
-    u = v.unionByName(kw)
+    u = v.unionByName(kw).repartition("query_id")  # the sum and the ranks need no other exchange
     term = 1.0 / (F.lit(rrf_k) + F.coalesce(F.col("v_rank"), F.col("k_rank")))
     g = u.groupBy("query_id", "doc_id").agg(
         F.sum(term).alias("rrf"), F.min("v_rank").alias("v_rank"), F.min("k_rank").alias("k_rank")
@@ -346,11 +374,42 @@ def rrf_fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k_final: int = 3,
     )
 
 
-def attach_documents(fused: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per query the fused documents as an ordered ``array<struct>``."""
-    j = fused.join(docs.select(F.col("id").alias("doc_id"), "title", "category", "content"), "doc_id")
-    return j.groupBy("query_id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("rank", "title", "category", "content", "relevance_score", "retrieval_method"))
-        ).alias("retrieved_sops")
-    )
+def attach_documents(fused: DataFrame, docs: DataFrame, onto: DataFrame | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Per query the fused documents as an ordered ``array<struct>``, by themselves or as a column of ``onto`` (which has ``query_id``).
+
+    Queries in the order of their documents are cut into groups, and a
+    document goes once to each group that has it, not once to each query: the
+    texts that move are those of the documents, not those of all answers.
+    """
+    hit = F.struct("rank", "doc_id", "relevance_score", "retrieval_method")
+    hits = saved(fused.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits")))
+    ordered = hits.repartitionByRange("hits").sortWithinPartitions("hits")
+    hits = saved(ordered.withColumn("_group", F.floor(F.monotonically_increasing_id() / group_rows)))
+    most = hits.agg(F.max(F.size("hits"))).first()[0] or 0
+
+    wanted = hits.select("_group", F.explode(F.col("hits.doc_id")).alias("doc_id")).distinct()
+    texts = wanted.join(docs.select(F.col("id").alias("doc_id"), F.struct("title", "category", "content").alias("copy")), "doc_id").repartition("_group")
+    texts = texts.groupBy("_group", "doc_id").agg(F.collect_list("copy").alias("copies"))
+    texts = texts.groupBy("_group").agg(F.collect_list(F.struct("doc_id", "copies")).alias("_texts"))
+
+    rows = hits if onto is None else onto.join(hits, "query_id", "left")
+    alone = -1 - F.pmod(F.xxhash64("query_id"), F.lit(1 << 20))  # rows without documents are no group
+    rows = rows.withColumn("_group", F.coalesce("_group", alone)).join(texts, "_group", "left")
+    found = []
+    for i in range(most):
+        own = F.get("hits", F.lit(i))
+        place = F.array_position(F.col("_texts.doc_id"), own["doc_id"]).cast("int") - 1
+        found.append(F.struct(own.alias("hit"), F.get("_texts", F.when(place >= 0, place))["copies"].alias("copies")))
+    # a step of its own, so that a row takes its own documents out of its group's and nothing else is copied
+    rows = parse_once(rows, F.array(*found), "_found").drop("hits", "_group", "_texts")
+    sops = F.flatten(F.transform(
+        F.filter("_found", lambda x: x["copies"].isNotNull()),
+        lambda x: F.transform(x["copies"], lambda d: F.struct(
+            x["hit"]["rank"].alias("rank"), d["title"].alias("title"), d["category"].alias("category"), d["content"].alias("content"),
+            x["hit"]["relevance_score"].alias("relevance_score"), x["hit"]["retrieval_method"].alias("retrieval_method"),
+        )),
+    ))
+    rows = parse_once(rows, F.array_sort(sops), "retrieved_sops").drop("_found")
+    if onto is None:
+        return rows.where("size(retrieved_sops) > 0")
+    return rows.withColumn("retrieved_sops", F.when(F.size("retrieved_sops") > 0, F.col("retrieved_sops")))

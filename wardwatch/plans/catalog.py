@@ -693,9 +693,9 @@ def q_stream_live_top50(spark, sf_dir):
 def _triaged(spark, sf_dir):
     """The agent chain on every accepted alert; vectors of the queries and replies of the model come from tables."""
     from wardwatch.plans.triage import triage
-    from wardwatch.session import cut_lineage
+    from wardwatch.session import saved
 
-    al = cut_lineage(alerts(spark, sf_dir))
+    al = saved(alerts(spark, sf_dir))
     vectors = tb.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     many = vectors.agg(F.count(F.lit(1)).alias("many"))
     seq = al.select("alert_id", (F.col("event_seq") % many.scalar()).alias("vec_id"))
@@ -716,9 +716,7 @@ def q_triage_recommendations(spark, sf_dir):
 
 def q_prompt_with_documents(spark, sf_dir):
     """The prompts of the accepted alerts, with the three fused documents in them."""
-    return _triaged(spark, sf_dir).prompts.select(
-        "alert_id", F.size("retrieved_sops").cast("bigint").alias("n_documents"), F.length("prompt").cast("bigint").alias("prompt_length"), F.sha2("prompt", 256).alias("prompt_sha256")
-    )
+    return _triaged(spark, sf_dir).asked.select("alert_id", "n_documents", "prompt_length", "prompt_sha256")
 
 
 def build() -> dict[str, Query]:

@@ -12,8 +12,10 @@ model or parse error) while the rows go on:
 
 The hooks are DataFrame functions: a table of stored vectors or replies can be
 joined, and ``reasoning.embed`` and ``reasoning.score`` wrap a caller's batch
-function.  Prompts and replies are saved once, so that several outputs may be
-written without asking the model again.
+function.  Every prompt is built whole; its length and SHA-256 are saved, and
+its text, many times the size of the documents, is built again from saved rows
+for whoever reads it.  Replies are saved, so that several outputs may be written
+without asking the model again.
 """
 
 from __future__ import annotations
@@ -32,11 +34,15 @@ from wardwatch.session import cut_lineage, saved
 
 
 class Triaged(NamedTuple):
-    """``prompts`` and ``parsed`` have every accepted alert, ``recommendations`` those with a valid reply."""
+    """``prompts``, ``parsed`` and ``asked`` have every accepted alert, ``recommendations`` those with a valid reply.
+
+    ``asked`` is the stored record of the prompts: documents, length and SHA-256.
+    """
 
     recommendations: DataFrame
     parsed: DataFrame
     prompts: DataFrame
+    asked: DataFrame
 
 
 def triage(
@@ -59,16 +65,19 @@ def triage(
     takes the prompts (alert_id, prompt, ...) and returns (alert_id, raw_reply).
     """
     accepted = accepted_alerts(alerts, cooldown_s)
-    ctx = with_patient_context(accepted, patients, triage_events)
+    ctx = saved(with_patient_context(accepted, patients, triage_events))
     q = ctx.select("alert_id", query_text(F.col("triggered_rules"), F.col("vitals_snapshot"), F.col("severity")).alias("text"))
-    q = cut_lineage(q)  # read by both searches
     vectors = embed(q).select(F.col("alert_id").alias("query_id"), "vec")
     doc_vecs = docs.where(F.col("embedding").isNotNull()).select(F.col("id").alias("doc_id"), F.col("embedding").alias("vec"))
     v_hits = vector_topk(vectors, doc_vecs, k_each)
     k_hits = search(q.select(F.col("alert_id").alias("query_id"), "text"), index, k_each, match)
-    sops = attach_documents(rrf_fuse(v_hits, k_hits, k_final), docs).withColumnRenamed("query_id", "alert_id")
-    prompts = saved(build_prompts(ctx.join(sops, "alert_id", "left"), "retrieved_sops"))
+    sops = attach_documents(rrf_fuse(v_hits, k_hits, k_final), docs, ctx.withColumnRenamed("alert_id", "query_id"))
+    prompts = build_prompts(sops.withColumnRenamed("query_id", "alert_id").select(*ctx.columns, "retrieved_sops"), "retrieved_sops")
+    asked = saved(prompts.select(
+        "alert_id", "patient_id", "hospital_id", "severity", "timestamp_utc", F.size("retrieved_sops").cast("bigint").alias("n_documents"),
+        F.length("prompt").cast("bigint").alias("prompt_length"), F.sha2("prompt", 256).alias("prompt_sha256"),
+    ))
     replies = cut_lineage(reply(prompts).select("alert_id", "raw_reply"))
-    asked = prompts.select("alert_id", "patient_id", "hospital_id", "severity", "timestamp_utc")
-    parsed = parse_replies(asked.join(replies, "alert_id", "left"))
-    return Triaged(recommendations(parsed, model_name), parsed, prompts)
+    of_alert = asked.select("alert_id", "patient_id", "hospital_id", "severity", "timestamp_utc")
+    parsed = parse_replies(of_alert.join(replies, "alert_id", "left"))
+    return Triaged(recommendations(parsed, model_name), parsed, prompts, asked)
