@@ -53,8 +53,10 @@ SHORT_LIST = 32
 PREFIX_PLACES = 16_000_000
 #: Measured seconds of a step by prefix and of a posting there, of a query by document and of a document there.
 STEP_S, POSTING_S, QUERY_S, DOCUMENT_S = 1e-5, 4e-9, 1e-4, 2.5e-8
-#: Doubles added in another order differ by less.
+#: What lies nearer to the k-th best score may round to it.
 NEAR = 2 * 10.0**-RANK_DECIMALS
+#: Bits of a weight after the point: sums up to 32,768 are exact, so that copies of a text score alike in whatever part and order.
+WEIGHT_BITS = 38
 
 
 # --- small tables as one value ---------------------------------------------------
@@ -229,7 +231,8 @@ class _Asked:
         idf = np.zeros(len(part.terms))
         idf[of[of >= 0]] = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[of >= 0]
         self.many, self.edge = part.many, np.concatenate(([0], np.cumsum(part.many)))
-        self.at, self.weight, self.n_docs = part.at, np.repeat(idf, self.many) * part.tf, len(part.ids)
+        self.weight = np.ldexp(np.rint(np.ldexp(np.repeat(idf, self.many) * part.tf, WEIGHT_BITS)), -WEIGHT_BITS)
+        self.at, self.n_docs = part.at, len(part.ids)
 
 
 def _by_prefix(asked: _Asked) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
