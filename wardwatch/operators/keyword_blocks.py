@@ -412,7 +412,7 @@ def search_blocks(asked: DataFrame, index, k: int, match: str) -> DataFrame:
     if by_term:
         lists = lists.where(F.col("term").isin(few))
     postings = lists.agg(F.sum("df")).first()[0] or 0
-    parts = max(1, math.ceil(postings / PART_POSTINGS))
+    parts = min(index.shards, max(1, math.ceil(postings / PART_POSTINGS)))
     key = F.pmod("shard", F.lit(parts)).alias("part")
     if by_term:
         rows = index.postings.where(F.col("term").isNull() | F.col("term").isin(few)).select(key, "segment", "term", "at", "n", "ids")
